@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("sessions",)
+MODULES = ("sessions", "elements")
 
 
 def load_all() -> None:
