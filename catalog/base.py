@@ -19,8 +19,8 @@ ORACLE: dict[str, str] = {}
 # Session gap used on the driver tables, whose events are sparse (FIXTURES.md).
 GAP = 720
 DAY_GAP = 1440
-# End of the history window of the driver tables: 2025-01-01 00:00:00 UTC.
-WINDOW_END = 1735689600
+# End of the history window of the driver tables: 2024-01-31 00:00:00 UTC.
+WINDOW_END = 1706659200
 
 
 def register(name: str, sql: str | None = None, doubles: str = ""):
@@ -35,7 +35,7 @@ def register(name: str, sql: str | None = None, doubles: str = ""):
 
         QUERIES[name] = run
         if sql is not None:
-            rounded = ", ".join(f"round({c}::double, 6) + 0.0::double as {c}" for c in doubles.split())
+            rounded = ", ".join(f"round({c}::double + 1e-9::double, 6) + 0.0::double as {c}" for c in doubles.split())
             ORACLE[name] = f"select * replace ({rounded}) from ({sql}) q" if rounded else sql
         return build
 
@@ -47,8 +47,8 @@ def plain(df: DataFrame) -> DataFrame:
     for field in df.schema.fields:
         column = F.col(f"`{field.name}`")
         if isinstance(field.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            # Adding zero turns a rounded -0.0 into 0.0.
-            column = F.round(column.cast("double"), 6) + F.lit(0.0)
+            # The shift keeps exact halves off the rounding edge; adding zero turns -0.0 into 0.0.
+            column = F.round(column.cast("double") + F.lit(1e-9), 6) + F.lit(0.0)
         elif isinstance(field.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             column = column.cast("bigint")
         columns.append(column.alias(field.name))

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("sessions", "elements")
+MODULES = ("sessions", "elements", "cleaning", "windowed", "dims", "rules", "detail", "insights")
 
 
 def load_all() -> None:

@@ -97,3 +97,152 @@ FUNCTION_TRAITS = (
 
 SESSION_BUCKETS = ("G1", "G2", "G3", "G4", "G5+")
 BASELINE_LEVELS = ("hero_role_function", "hero_function", "function", "role", "overall")
+
+# Key, kind, dimensions, required elements, family, tier, and the OR-of-AND zone clauses.
+PATTERNS = (
+    (
+        "same_playbook",
+        "identity",
+        ("hero_identity",),
+        ("hero_pool_breadth", "toolkit_breadth"),
+        "breadth_toolkit",
+        "A",
+        ((("hero_pool_breadth", ("Varied", "Wide")), ("toolkit_breadth", ("Compact", "Focused"))),),
+    ),
+    (
+        "comfort_edge",
+        "contradiction",
+        ("hero_identity", "adaptability"),
+        ("hero_pool_breadth", "off_pool_performance"),
+        "breadth_transfer",
+        "A",
+        ((("hero_pool_breadth", ("Varied", "Wide")), ("off_pool_performance", ("Slips", "Falls off"))),),
+    ),
+    (
+        "partial_transfer",
+        "contradiction",
+        ("combat_expression", "adaptability"),
+        ("off_pool_activity_stability", "off_pool_performance"),
+        "presence_transfer",
+        "A",
+        ((("off_pool_activity_stability", ("Holds", "Unchanged")), ("off_pool_performance", ("Slips", "Falls off"))),),
+    ),
+    (
+        "versatile_core",
+        "identity",
+        ("hero_identity",),
+        ("hero_pool_breadth", "toolkit_breadth"),
+        "breadth_toolkit",
+        "A",
+        ((("hero_pool_breadth", ("Focused", "Selective")), ("toolkit_breadth", ("Versatile", "Diverse"))),),
+    ),
+    (
+        "proven_flexibility",
+        "edge",
+        ("hero_identity", "adaptability"),
+        ("hero_pool_breadth", "off_pool_performance"),
+        "breadth_transfer",
+        "A",
+        ((("hero_pool_breadth", ("Varied", "Wide")), ("off_pool_performance", ("Travels", "Carries over"))),),
+    ),
+    (
+        "bounceback",
+        "edge",
+        ("session_response", "hero_identity"),
+        ("post_loss_performance_response", "post_loss_familiarity_shift", "post_loss_activity_shift"),
+        "post_loss_recovery",
+        "B",
+        (
+            (
+                ("post_loss_performance_response", ("Recovers", "Surges")),
+                ("post_loss_familiarity_shift", ("Branches out", "Explores", "Returns", "Comfort pick")),
+            ),
+            (
+                ("post_loss_performance_response", ("Recovers", "Surges")),
+                ("post_loss_activity_shift", ("Pulls back", "Quieter", "Speeds up", "Accelerates")),
+            ),
+        ),
+    ),
+    (
+        "performance_slide",
+        "leak",
+        ("session_response", "hero_identity"),
+        ("post_loss_performance_response", "post_loss_familiarity_shift", "post_loss_activity_shift"),
+        "post_loss_recovery",
+        "B",
+        (
+            (
+                ("post_loss_performance_response", ("Drops", "Slips")),
+                ("post_loss_familiarity_shift", ("Branches out", "Explores", "Returns", "Comfort pick")),
+            ),
+            (
+                ("post_loss_performance_response", ("Drops", "Slips")),
+                ("post_loss_activity_shift", ("Pulls back", "Quieter", "Speeds up", "Accelerates")),
+            ),
+        ),
+    ),
+    (
+        "controlled_presence",
+        "style",
+        ("combat_expression", "risk_survival"),
+        ("combat_involvement", "death_exposure"),
+        "involvement_deaths",
+        "B",
+        ((("combat_involvement", ("Active", "Everywhere")), ("death_exposure", ("Elusive", "Safe"))),),
+    ),
+    (
+        "presence_tax",
+        "leak",
+        ("combat_expression", "risk_survival"),
+        ("combat_involvement", "death_exposure"),
+        "involvement_deaths",
+        "B",
+        ((("combat_involvement", ("Active", "Everywhere")), ("death_exposure", ("Exposed", "Frequent"))),),
+    ),
+    (
+        "session_fade",
+        "leak",
+        ("session_response",),
+        ("session_length_tendency", "late_session_performance"),
+        "session_drift",
+        "B",
+        ((("session_length_tendency", ("Long", "Marathon")), ("late_session_performance", ("Drops", "Fades"))),),
+    ),
+    (
+        "session_rise",
+        "edge",
+        ("session_response",),
+        ("session_length_tendency", "late_session_performance"),
+        "session_drift",
+        "B",
+        (
+            (
+                ("session_length_tendency", ("Medium", "Long", "Marathon")),
+                ("late_session_performance", ("Warms up", "Finishes strong")),
+            ),
+        ),
+    ),
+)
+PATTERN_MINIMUM_CONFIDENCE = 0.45
+
+# Direction of a qualified pattern; the two recovery patterns depend on the clause.
+PATTERN_DIRECTIONS = {
+    "same_playbook": "hero_names_change_toolkit_holds",
+    "comfort_edge": "wide_pool_results_slip_off_pool",
+    "partial_transfer": "presence_holds_results_slip",
+    "versatile_core": "focused_pool_varied_toolkit",
+    "proven_flexibility": "wide_pool_results_travel",
+    "controlled_presence": "active_with_controlled_exposure",
+    "presence_tax": "active_with_presence_tax",
+    "session_fade": "late_session_decline",
+    "session_rise": "late_session_improvement",
+}
+DIMENSIONS = (
+    "hero_identity",
+    "role_identity",
+    "combat_expression",
+    "risk_survival",
+    "adaptability",
+    "consistency_form",
+    "session_response",
+)
