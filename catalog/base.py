@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from habitscope.session import tune
+from habitscope.session import cut, tune
 from habitscope.sources import views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -157,7 +157,8 @@ def measured(gap_minutes: int = GAP) -> str:
 def measures(spark: SparkSession, folder: str, gap_minutes: int = GAP) -> DataFrame:
     from habitscope.operators.measures import match_measures
 
-    return match_measures(matches(spark, folder), gap_minutes, WINDOW_END)
+    # Many operators read the measure table several times; it is written once.
+    return cut(match_measures(matches(spark, folder), gap_minutes, WINDOW_END))
 
 
 def session_rows(rows: DataFrame, gap_minutes: int = GAP) -> DataFrame:

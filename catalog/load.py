@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("sessions", "elements", "cleaning", "windowed", "dims", "rules", "detail", "insights")
+MODULES = ("sessions", "elements", "cleaning", "windowed", "dims", "rules", "detail", "insights", "deep")
 
 
 def load_all() -> None:
