@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("sessions", "elements", "cleaning", "windowed", "dims", "rules", "detail", "insights", "deep")
+MODULES = ("sessions", "elements", "cleaning", "windowed", "dims", "rules", "detail", "insights", "deep", "heroes")
 
 
 def load_all() -> None:

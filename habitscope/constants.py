@@ -246,3 +246,57 @@ DIMENSIONS = (
     "consistency_form",
     "session_response",
 )
+
+# Functional jobs, demand families, aliases, coverage families, and families by role.
+JOBS = (
+    "initiation",
+    "counter_initiation",
+    "catch",
+    "fight_control",
+    "frontline",
+    "save",
+    "sustain",
+    "forced_movement",
+    "repositioning",
+    "mobility",
+    "burst",
+    "sustained_damage",
+    "wave_clear",
+    "push",
+    "global_presence",
+    "vision",
+    "scaling",
+)
+DEMANDS = ("commitment", "access", "repositioning", "economy", "timing", "execution", "exposure", "micro")
+JOB_ALIASES = {
+    "teamfight": "fight_control",
+    "teamfight_control": "fight_control",
+    "pickoff": "catch",
+    "displacement": "forced_movement",
+    "global_pressure": "global_presence",
+    "damage": "sustained_damage",
+}
+FAMILIES = {
+    "engage_control": ("initiation", "counter_initiation", "catch", "fight_control", "forced_movement"),
+    "frontline_protection": ("frontline", "save", "sustain"),
+    "damage_finish": ("burst", "sustained_damage", "scaling"),
+    "map_objectives": ("wave_clear", "push", "global_presence", "vision"),
+    "mobility_reach": ("mobility", "repositioning"),
+}
+ROLE_FAMILIES = {
+    "carry": ("engage_control", "damage_finish", "map_objectives", "mobility_reach"),
+    "mid": ("engage_control", "frontline_protection", "damage_finish", "map_objectives", "mobility_reach"),
+    "offlane": ("engage_control", "frontline_protection", "damage_finish", "map_objectives", "mobility_reach"),
+    "soft_support": ("engage_control", "frontline_protection", "map_objectives", "mobility_reach"),
+    "hard_support": ("engage_control", "frontline_protection", "map_objectives", "mobility_reach"),
+    "roamer": ("engage_control", "frontline_protection", "map_objectives", "mobility_reach"),
+    "jungle": ("damage_finish", "map_objectives", "mobility_reach"),
+}
+ROLE_POSITIONS = {
+    "carry": "1",
+    "mid": "2",
+    "offlane": "3",
+    "soft_support": "4",
+    "roamer": "4",
+    "hard_support": "5",
+}

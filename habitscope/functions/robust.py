@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from habitscope.functions.ordered import chunked, is_plain, scan, unchunked
+from habitscope.session import cut
 
 TOLERANCE = 1e-9
 
@@ -209,7 +210,8 @@ def select_without_group(
     )
     slack = F.lit(TOLERANCE) * F.col("_all")
     points = at(F.col("_all") - F.col("_own"), F.col("_n") - F.col("_k"))
-    asked = (
+    # One row per cell and group, read twice below.
+    asked = cut(
         own.groupBy(*cell, group)
         .agg(
             F.first(F.col("_n") - F.col("_k")).alias("reference_rows"),

@@ -46,6 +46,7 @@ from habitscope.operators.pools import (
 )
 from habitscope.operators.sessions import transitions
 from habitscope.operators.windows import numbered, recent_and_prior, transition_groups
+from habitscope.session import cut
 
 
 def by_role(values: Mapping[str, float], default: float, role: Column | None = None) -> Column:
@@ -567,7 +568,7 @@ def curve_rows(rows: DataFrame, sessions: DataFrame) -> DataFrame:
 
 def session_bucket_residuals(rows: DataFrame, sessions: DataFrame, mean: bool = False) -> DataFrame:
     """Residual against the comparable baseline per session and bucket; ``rows`` carry ``function``."""
-    usable = curve_rows(rows, sessions)
+    usable = cut(curve_rows(rows, sessions))
     targets = usable.where(~(F.col("left_censored") & (F.col("session_index") == 1)))
     baseline = leave_session_out(usable, targets)
     residual = F.col("performance") - F.col("baseline")
