@@ -286,13 +286,13 @@ _TRAIT_FAMILY = " ".join(f"when '{t}' then '{f}'" for f, ts in portfolio.TRAIT_F
 
 @register(
     "her_themes",
-    f"""with {_PICKS}, w as (select *, case when is_signature then 1 else greatest(0.25, comfort_score) end as w from ip),
-    wt as (select *, sum(w) over (partition by account_id) as t from w),
+    f"""with {_PICKS}, twt as (select *, case when is_signature then 1 else greatest(0.25, comfort_score) end as w from ip),
+    wt as (select *, sum(w) over (partition by account_id) as t from twt),
     idf as (select trait, ln((count(*) + 1) / (count(*) filter (value >= 0.65) + 1)) as idf from hero_trait group by 1),
-    s as (select account_id, trait, sum(case when value >= 0.65 then w else 0 end) / any_value(t) as ag, sum(w * value) / any_value(t) as it from wt join hero_trait using (hero_id) group by 1, 2),
-    f as (select *, ag * idf * (0.5 + 0.5 * it) as score, case trait {_TRAIT_FAMILY} end as family from s join idf using (trait) where ag >= 0.6 - 1e-12),
-    b as (select *, row_number() over (partition by account_id, family order by round(score, 9) desc, trait) as k from f where family is not null)
-    select account_id, family, trait, score, row_number() over (partition by account_id order by round(score, 9) desc, family, trait) as place from b where k = 1""",
+    tsc as (select account_id, trait, sum(case when value >= 0.65 then w else 0 end) / any_value(t) as ag, sum(w * value) / any_value(t) as it from wt join hero_trait using (hero_id) group by 1, 2),
+    tff as (select *, ag * idf * (0.5 + 0.5 * it) as score, case trait {_TRAIT_FAMILY} end as family from tsc join idf using (trait) where ag >= 0.6 - 1e-12),
+    tbb as (select *, row_number() over (partition by account_id, family order by round(score, 9) desc, trait) as k from tff where family is not null)
+    select account_id, family, trait, score, row_number() over (partition by account_id order by round(score, 9) desc, family, trait) as place from tbb where k = 1""",
     "score",
 )
 def her_themes(spark, folder):
