@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("sessions", "elements", "cleaning", "windowed", "dims", "rules", "detail", "insights", "deep", "heroes", "acts", "refdata")
+MODULES = ("sessions", "elements", "cleaning", "windowed", "dims", "rules", "detail", "insights", "deep", "heroes", "acts", "refdata", "pipeline")
 
 
 def load_all() -> None:

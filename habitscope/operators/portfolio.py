@@ -1287,3 +1287,18 @@ def recommend_by_traits(rows: DataFrame, picks: DataFrame, traits: DataFrame, li
         band.alias("fit_band"),
     )
 
+
+
+def job_clusters(rows: DataFrame, knowledge: DataFrame, limit: int = 4) -> DataFrame:
+    """The jobs that most of an account's heroes share, with those heroes."""
+    used = rows.where(F.col("hero_id").isNotNull()).select("account_id", "hero_id").distinct()
+    records = dimension(knowledge).where(F.col("reviewed")).select("hero_id", "functions")
+    grouped = (
+        used.join(records, "hero_id")
+        .select("account_id", "hero_id", F.explode("functions").alias("job"))
+        .groupBy("account_id", "job")
+        .agg(F.array_sort(F.collect_set("hero_id")).alias("heroes"))  # at most the roster
+        .withColumn("hero_count", F.size("heroes"))
+    )
+    order = Window.partitionBy("account_id").orderBy(F.desc("hero_count"), "job")
+    return grouped.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
