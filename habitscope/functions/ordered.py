@@ -61,7 +61,7 @@ def chunked(
         df.join(F.broadcast(hot), list(keys), "left")
         .withColumn(HOT, F.col("_lo").isNotNull())
         .withColumn(CHUNK, F.coalesce(slot, F.lit(0)).cast("bigint"))
-        .drop("_lo", "_width")
+        .select(*df.columns, HOT, CHUNK)
     )
 
 
@@ -146,7 +146,7 @@ def scan(
         )
     carried_state = df.where(F.col(HOT)).groupBy(*cell).agg(*summary).select(*cell, *carry)
     out = df.withColumns(local).join(F.broadcast(carried_state), cell, "left")
-    return out.withColumns(merged).drop(*[f"_l_{n}" for n in specs], *[f"_c_{n}" for n in specs])
+    return out.withColumns(merged).select(*[c for c in df.columns if c not in specs], *specs)
 
 
 def unchunked(df: DataFrame) -> DataFrame:
