@@ -181,10 +181,10 @@ def agg_intervals(spark, folder):
 def agg_robust_effect(spark, folder):
     table = features(spark, folder).select("account_id", "impact_score")
     own = spread(table, ["account_id"], "impact_score")
-    overall = spread(table, [], "impact_score", "gc", "gm").drop("sample")
+    overall = spread(table.withColumn("all", F.lit(1)), ["all"], "impact_score", "gc", "gm").drop("sample")
     scale = F.greatest(1.4826 * F.col("gm"), 1.4826 * F.col("mad"), F.lit(1e-9))
     # One row: the overall centre and spread.
-    return own.join(F.broadcast(overall)).select(
+    return own.withColumn("all", F.lit(1)).join(F.broadcast(overall), "all").select(
         "account_id", ((F.col("centre") - F.col("gc")) / scale).alias("robust_effect")
     )
 

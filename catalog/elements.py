@@ -499,14 +499,15 @@ def join_leave_session_out(spark, folder):
     return baselines.leave_session_out(usable, targets)
 
 
-@register(
-    "join_primary_function",
-    f"with {HERO_SQL} select hero_id::bigint as hero_id, function from hero_function "
-    "where hero_id in (select (p_partkey % 20) + 1 from part)",
+# The part table as a roster: trait values and primary function of every part.
+PART_SQL = HERO_SQL.replace("h.hero_id,", "h.p_partkey as hero_id,").replace("h.hero_id *", "h.p_partkey *").replace(
+    "range(1, 21) h(hero_id)", "part h"
 )
+
+
+@register("join_primary_function", f"with {PART_SQL} select hero_id, function from hero_function")
 def join_primary_function(spark, folder):
-    used = views.table(spark, folder, "part").select((F.col("p_partkey") % 20 + 1).alias("hero_id")).distinct()
-    return baselines.primary_functions(heroes(spark)).join(used, "hero_id", "left_semi")
+    return baselines.primary_functions(views.part_heroes(spark, folder))
 
 
 _BUCKET_SQL = f"""

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from catalog.base import DAY_GAP, MATCH_ROWS, matches, measured, measures, register
-from catalog.elements import _JS, HERO_SQL, familiar_sql
+from catalog.elements import _JS, HERO_SQL, PART_SQL, familiar_sql
 from habitscope.constants import FAMILIES, JOBS, ROLE_FAMILIES
 from habitscope.operators import portfolio, windows
 from habitscope.session import cut
@@ -24,31 +24,26 @@ def traits(spark):
 
 
 def knowledge(spark):
-    return heroes.knowledge(traits(spark))
+    # One row per hero, read by many joins: written once.
+    return cut(heroes.knowledge(traits(spark)))
 
 
-_USED = "(select distinct (p_partkey % 20) + 1 as hero_id from part)"
-
-
-def _used(spark, folder):
-    return views.table(spark, folder, "part").select((F.col("p_partkey") % 20 + 1).alias("hero_id")).distinct()
+PART_KNOW_SQL = KNOW_SQL.replace(HERO_SQL, PART_SQL).replace(
+    "from range(1, 21) h(hero_id)", "from (select p_partkey as hero_id from part) h"
+)
 
 
 @register(
     "src_hero_knowledge",
-    f"""with {KNOW_SQL} select hero_id, array_to_string(functions[1:3], ',') as primary_functions, array_to_string(functions[4:7], ',') as secondary_functions,
-      case when reviewed then 'reviewed' else 'unreviewed' end as review_status from hero where hero_id in {_USED}""",
+    f"""with {PART_KNOW_SQL} select hero_id, array_to_string(functions[1:3], ',') as primary_functions, array_to_string(functions[4:7], ',') as secondary_functions,
+      case when reviewed then 'reviewed' else 'unreviewed' end as review_status from hero""",
 )
 def src_hero_knowledge(spark, folder):
-    return (
-        knowledge(spark)
-        .join(_used(spark, folder), "hero_id", "left_semi")
-        .select(
-            "hero_id",
-            F.concat_ws(",", "primary_functions").alias("primary_functions"),
-            F.concat_ws(",", "secondary_functions").alias("secondary_functions"),
-            "review_status",
-        )
+    return heroes.knowledge(views.part_heroes(spark, folder)).select(
+        "hero_id",
+        F.concat_ws(",", "primary_functions").alias("primary_functions"),
+        F.concat_ws(",", "secondary_functions").alias("secondary_functions"),
+        "review_status",
     )
 
 
@@ -396,18 +391,17 @@ def her_semantic_profile(spark, folder):
 
 @register(
     "her_relationships",
-    f"""with {HERO_SQL}, p as (select a.hero_id as hero_a, b.hero_id as hero_b, a.trait, a.value as x, b.value as y from hero_trait a join hero_trait b on a.trait = b.trait and a.hero_id <> b.hero_id)
-    select hero_a::bigint as hero_a, hero_b::bigint as hero_b, greatest(0, 1 - sqrt(avg((x - y) * (x - y)))) as similarity, coalesce(string_agg(trait, ',' order by least(x, y) desc, trait) filter (x >= 0.65 and y >= 0.65), '') as shared_primary,
-      coalesce(string_agg(trait, ',' order by trait) filter (x >= 0.65 and y < 0.45), '') as unique_to_a, max(abs(x - y)) filter (trait = 'complexity') as complexity_distance
-    from p where hero_a in {_USED} and hero_b in {_USED} group by 1, 2""",
+    f"""with {PART_SQL}, ht as (select h.hero_id, t.trait, ((h.hero_id * 37 + t.i * 53) % 101) / 100.0::double as value from range(1, 21) h(hero_id), trait_names t),
+    p as (select a.hero_id as hero_a, p_size % 20 + 1 as hero_b, a.trait, a.value as x, b.value as y from hero_trait a join part on p_partkey = a.hero_id join ht b on b.trait = a.trait and b.hero_id = p_size % 20 + 1)
+    select hero_a, hero_b::bigint as hero_b, greatest(0, 1 - sqrt(avg((x - y) * (x - y)))) as similarity, coalesce(string_agg(trait, ',' order by least(x, y) desc, trait) filter (x >= 0.65 and y >= 0.65), '') as shared_primary,
+      coalesce(string_agg(trait, ',' order by trait) filter (x >= 0.65 and y < 0.45), '') as unique_to_a, max(abs(x - y)) filter (trait = 'complexity') as complexity_distance from p group by 1, 2""",
     "similarity complexity_distance",
 )
 def her_relationships(spark, folder):
-    used = _used(spark, folder)
-    pairs = portfolio.relationships(traits(spark))
-    pairs = pairs.join(used.withColumnRenamed("hero_id", "hero_a"), "hero_a", "left_semi").join(
-        used.withColumnRenamed("hero_id", "hero_b"), "hero_b", "left_semi"
+    partner = views.table(spark, folder, "part").select(
+        F.col("p_partkey").cast("bigint").alias("hero_id"), (F.col("p_size") % 20 + 1).cast("bigint").alias("other_id")
     )
+    pairs = portfolio.relationships(views.part_heroes(spark, folder).join(partner, "hero_id"), traits(spark))
     return pairs.select(
         "hero_a",
         "hero_b",
@@ -482,16 +476,15 @@ def her_trait_recommendations(spark, folder):
 
 @register(
     "her_situations",
-    f"""with {HERO_SQL}, s as (select * from (values ('initiation', 'the team lacks reliable initiation'), ('mobility', 'the enemy lineup is highly mobile'), ('save', 'the team needs save / reset options'),
+    f"""with {PART_SQL}, s as (select * from (values ('initiation', 'the team lacks reliable initiation'), ('mobility', 'the enemy lineup is highly mobile'), ('save', 'the team needs save / reset options'),
       ('sustain', 'the team needs sustained frontline presence'), ('wave_clear', 'the team needs wave clear'), ('push', 'the team needs global pressure or push'), ('global_presence', 'the team needs global pressure'),
       ('burst', 'the enemy backline is difficult to reach'), ('frontline', 'the team needs stronger frontline presence'), ('repositioning', 'the team needs stronger disengage'), ('pickoff', 'the enemy draft is vulnerable to isolated pickoffs')) s(trait, txt)),
     k as (select h.hero_id, txt, row_number() over (partition by h.hero_id order by h.trait) as k from hero_trait h join s using (trait) where value >= 0.6)
-    select u.hero_id, coalesce(string_agg(txt, '; ' order by k) filter (k <= 3), '') as situations from {_USED} u left join k using (hero_id) group by 1""",
+    select u.hero_id, coalesce(string_agg(txt, '; ' order by k) filter (k <= 3), '') as situations from (select p_partkey as hero_id from part) u left join k using (hero_id) group by 1""",
 )
 def her_situations(spark, folder):
     strong = F.array_sort(F.map_keys(F.map_filter("traits", lambda _, v: v >= 0.60)))
     return (
-        traits(spark)
-        .join(_used(spark, folder), "hero_id", "left_semi")
+        views.part_heroes(spark, folder)
         .select("hero_id", F.concat_ws("; ", portfolio.situations(strong)).alias("situations"))
     )

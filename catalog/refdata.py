@@ -173,10 +173,16 @@ def knw_functions(spark, folder):
     )
 
 
-_HERO_IDS = "(select distinct p_partkey % 20 + 1 as hero_id from part)"
+_HERO_IDS = "(select p_partkey as hero_id from part)"
+_PLAYED = "(select distinct p_partkey % 20 + 1 as hero_id from part)"
 
 
 def _ids(spark, folder):
+    return views.table(spark, folder, "part").select(F.col("p_partkey").cast("bigint").alias("hero_id"))
+
+
+def _played(spark, folder):
+    """Heroes of the detail rows."""
     return views.table(spark, folder, "part").select((F.col("p_partkey") % 20 + 1).alias("hero_id")).distinct()
 
 
@@ -201,10 +207,10 @@ def src_optional_status(spark, folder):
     "knw_source_confidence",
     f"""with {PROFILE_SQL} select h.hero_id, case when h.hero_id % 2 = 0 then 'high' else 'moderate' end as band,
       concat_ws(',', case when h.hero_id % 2 = 0 then 'mechanics' end, 'aggregate', case when h.hero_id % 4 <> 0 and not (h.hero_id % 3 = 0 and h.hero_id % 5 = 0) then 'optional' end) as derived_from
-    from {_HERO_IDS} h join (select hero_id, sum(picks) as p from br group by 1) using (hero_id)""",
+    from {_PLAYED} h join (select hero_id, sum(picks) as p from br group by 1) using (hero_id)""",
 )
 def knw_source_confidence(spark, folder):
-    ids = _ids(spark, folder)
+    ids = _played(spark, folder)
     table = K.source_confidence(
         ids,
         ids.where(F.col("hero_id") % 2 == 0),
@@ -218,11 +224,11 @@ def knw_source_confidence(spark, folder):
     "join_snapshot_build",
     f"""with {PROFILE_SQL} select h.hero_id, sum(picks)::bigint as picks, case when h.hero_id % 4 = 0 then 'unavailable' when h.hero_id % 3 = 0 and h.hero_id % 5 = 0 then 'unavailable'
       when h.hero_id % 3 = 0 or h.hero_id % 5 = 0 then 'partial' else 'available' end as optional_status, case when h.hero_id % 10 = 0 then 'unreviewed' else 'reviewed' end as review_status
-    from {_HERO_IDS} h join br using (hero_id) group by 1""",
+    from {_PLAYED} h join br using (hero_id) group by 1""",
 )
 def join_snapshot_build(spark, folder):
     known = knowledge(spark)
-    base = _ids(spark, folder).join(known.select("hero_id", F.slice("functions", 1, 1).alias("functions")), "hero_id")
+    base = _played(spark, folder).join(known.select("hero_id", F.slice("functions", 1, 1).alias("functions")), "hero_id")
     aggregate = K.bracket_profile(stats(spark, folder)).groupBy("hero_id").agg(F.sum("picks").alias("picks"))
     reviewed = known.where(F.col("reviewed")).select("hero_id", "functions", "review_status")
     built = K.build_snapshot(base, aggregate, _optional(spark, folder), reviewed)
@@ -341,13 +347,13 @@ def dq_aggregates(spark, folder):
 
 @register(
     "dq_semantic_layer",
-    f"select hero_id, 'hero_not_approved' as violation from {_HERO_IDS} union all select hero_id, 'unknown_function' from {_HERO_IDS} where hero_id % 6 = 0",
+    f"select hero_id, 'hero_not_approved' as violation from {_HERO_IDS} union all select hero_id, 'unknown_function' from {_HERO_IDS} where hero_id % 6 = 0 "
+    f"union all select hero_id, 'invalid_hero_id' from {_HERO_IDS} where hero_id <= 0",
 )
 def dq_semantic_layer(spark, folder):
     h = F.col("hero_id")
     records = (
-        knowledge(spark)
-        .join(_ids(spark, folder), "hero_id", "left_semi")
+        H.knowledge(views.part_heroes(spark, folder))
         .withColumns(
             {
                 "primary_functions": F.when(h % 6 == 0, F.array(F.lit("dancing"))).otherwise(F.col("primary_functions")),
@@ -363,7 +369,8 @@ def dq_semantic_layer(spark, folder):
 @register(
     "dq_roster",
     f"""select hero_id, 'missing_display_name' as violation from {_HERO_IDS} where hero_id % 5 = 0
-    union all select hero_id, 'duplicate_internal_name' from {_HERO_IDS} where hero_id in (1, 11)""",
+    union all select hero_id, 'duplicate_internal_name' from {_HERO_IDS} where hero_id in (1, 11)
+    union all select hero_id, 'invalid_hero_id' from {_HERO_IDS} where hero_id <= 0""",
 )
 def dq_roster(spark, folder):
     h = F.col("hero_id")
@@ -382,9 +389,7 @@ def dq_roster(spark, folder):
 )
 def dq_taxonomy(spark, folder):
     bad = F.when(F.col("hero_id") % 8 == 0, F.transform_values("traits", lambda _, v: v + 2)).otherwise(F.col("traits"))
-    return quality.taxonomy(
-        traits(spark).join(_ids(spark, folder), "hero_id", "left_semi").withColumn("traits", bad), 20
-    )
+    return quality.taxonomy(views.part_heroes(spark, folder).withColumn("traits", bad))
 
 
 @register(
@@ -401,7 +406,7 @@ def dq_manifest(spark, folder):
     f"select hero_id, 'missing_editorial' as error from {_HERO_IDS} where hero_id % 7 = 0 union all select hero_id, 'missing_factual' from {_HERO_IDS} where hero_id % 9 = 0 and hero_id % 7 <> 0",
 )
 def src_trait_dimension(spark, folder):
-    table = traits(spark).join(_ids(spark, folder), "hero_id", "left_semi")
+    table = views.part_heroes(spark, folder)
     factual = table.where((F.col("hero_id") % 9 != 0) | (F.col("hero_id") % 7 == 0)).select("hero_id")
     return H.trait_errors(factual, table.where(F.col("hero_id") % 7 != 0))
 

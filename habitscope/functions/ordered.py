@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-HOT_ROWS = 5_000_000
+HOT_ROWS = 2_000_000
 CHUNK = "_chunk"
 HOT = "_hot"
 

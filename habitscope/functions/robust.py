@@ -26,9 +26,8 @@ def spread(df: DataFrame, keys: Sequence[str], value: str, centre: str = "centre
     """Median and median absolute deviation per key, from the distinct values."""
     histogram = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
     centres = histogram.groupBy(*keys).agg(F.expr(f"percentile({value}, 0.5, _c)").alias(centre))
-    joined = histogram.join(centres, list(keys)) if keys else histogram.crossJoin(centres)
     return (
-        joined.withColumn("_d", F.abs(F.col(value) - F.col(centre)))
+        histogram.join(centres, list(keys)).withColumn("_d", F.abs(F.col(value) - F.col(centre)))
         .groupBy(*keys)
         .agg(
             F.first(centre).alias(centre),

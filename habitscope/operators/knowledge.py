@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -180,19 +181,35 @@ TAG_RULES = {
 }
 
 
+def shows(text: Column, pattern: str) -> Column:
+    """Does the text match the pattern?  Plain words are searched as words, and a real pattern
+    runs only on texts that contain its fixed parts."""
+    outside = re.sub(r"\([^()]*\)", "\0", pattern)
+    # A letter before a question mark is optional and ends the fixed part.
+    fixed = [w for w in re.split(r"\w\?|\.\*|[^a-z ]", outside) if len(w.strip()) > 2]
+    found = [F.contains(text, F.lit(w)) for w in fixed]
+    if re.fullmatch(r"[a-z ]+(\w\?)?", pattern) and len(fixed) == 1:
+        return found[0]
+    return reduce(lambda a, b: a & b, [*found, text.rlike(pattern)])
+
+
 def tags(abilities: DataFrame, rules: dict[str, tuple[str, ...]] = TAG_RULES) -> DataFrame:
     """One row per ability text and characteristic it shows; whole texts, each lowered once.
 
     ``abilities`` has ``hero_id``, ``ref`` and ``text``.  References stay rows, so a hero with any
     number of texts is never held together.
     """
-    text = F.lower("text")
+    lowered = abilities.select("hero_id", "ref", F.lower("text").alias("text"))
+    text = F.col("text")
     area = (
         F.contains(text, F.lit("radius")) | F.contains(text, F.lit("area")) | F.contains(text, F.lit("nearby"))
     ) & F.contains(text, F.lit("damage"))
-    hits = [F.when(text.rlike("|".join(f"(?:{p})" for p in patterns)), F.lit(name)) for name, patterns in rules.items()]
+    hits = [
+        F.when(reduce(lambda a, b: a | b, [shows(text, p) for p in patterns]), F.lit(name))
+        for name, patterns in rules.items()
+    ]
     hits.append(F.when(area, F.lit("area")))
-    return abilities.select(
+    return lowered.select(
         "hero_id", "ref", F.explode(F.array_compact(F.array(*hits))).alias("characteristic")
     )
 

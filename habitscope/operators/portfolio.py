@@ -903,19 +903,24 @@ def semantic_profile(rows: DataFrame, knowledge: DataFrame) -> DataFrame:
 # Relationships and candidates ----------------------------------------------------------------
 
 
-def relationships(traits: DataFrame) -> DataFrame:
-    """Every ordered pair of heroes of the dimension: similarity, shared and own traits, distances."""
-    table = dimension(traits).select("hero_id", "role", "traits", trait_vector().alias("v"), F.lit(1).alias("_one"))
-    left = table.select("_one", F.col("hero_id").alias("hero_a"), F.col("v").alias("a"), F.col("role").alias("role_a"))
-    right = table.select("_one", F.col("hero_id").alias("hero_b"), F.col("v").alias("b"), F.col("role").alias("role_b"))
-    # Pairs of a dimension of fixed size, not of data rows.
-    pairs = left.join(right, "_one").where(F.col("hero_a") != F.col("hero_b"))
+def relationship(pairs: DataFrame) -> DataFrame:
+    """Similarity, shared and own traits, and distances of pairs of heroes.
+
+    ``pairs`` has ``hero_a``, ``hero_b``, the trait vectors ``a`` and ``b`` and the roles ``role_a``
+    and ``role_b``.
+    """
     names = F.array(*[F.lit(t) for t in TRAITS])
-    both = F.zip_with(F.zip_with("a", "b", lambda x, y: F.struct(x.alias("x"), y.alias("y"))), names, lambda p, n: F.struct(p["x"].alias("x"), p["y"].alias("y"), n.alias("n")))
+    both = F.zip_with(
+        F.zip_with("a", "b", lambda x, y: F.struct(x.alias("x"), y.alias("y"))),
+        names,
+        lambda p, n: F.struct(p["x"].alias("x"), p["y"].alias("y"), n.alias("n")),
+    )
 
     def shared(threshold: float) -> Column:
         hits = F.filter(both, lambda p: (p["x"] >= threshold) & (p["y"] >= threshold))
-        ranked = F.array_sort(F.transform(hits, lambda p: F.struct((-F.least(p["x"], p["y"])).alias("k"), p["n"].alias("n"))))
+        ranked = F.array_sort(
+            F.transform(hits, lambda p: F.struct((-F.least(p["x"], p["y"])).alias("k"), p["n"].alias("n")))
+        )
         return F.transform(ranked, lambda p: p["n"])
 
     place = {t: i + 1 for i, t in enumerate(TRAITS)}
@@ -936,6 +941,20 @@ def relationships(traits: DataFrame) -> DataFrame:
     )
 
 
+def relationships(heroes: DataFrame, traits: DataFrame) -> DataFrame:
+    """Relationship of every row of ``heroes`` (with ``hero_id`` and ``other_id``) to its partner."""
+    left = heroes.select(
+        F.col("hero_id").alias("hero_a"),
+        F.col("other_id").alias("hero_b"),
+        trait_vector().alias("a"),
+        F.col("role").alias("role_a"),
+    )
+    right = dimension(traits).select(
+        F.col("hero_id").alias("hero_b"), trait_vector().alias("b"), F.col("role").alias("role_b")
+    )
+    return relationship(left.join(right, "hero_b"))
+
+
 def hero_against_pool(profile: DataFrame, traits: DataFrame) -> DataFrame:
     """Every hero of the roster against the pool of every account.
 

@@ -149,7 +149,7 @@ def compose(structure: DataFrame, reviewed: DataFrame) -> DataFrame:
         F.array(*[F.lit(p) for p in POSITIONS]), F.array(*[F.lit("unknown") for _ in POSITIONS])
     )
     ok = F.coalesce("_reviewed", F.lit(False))
-    out = structure.join(F.broadcast(records), "hero_id", "left").select(
+    out = structure.join(records, "hero_id", "left").select(
         "hero_id",
         "traits",
         "roles",

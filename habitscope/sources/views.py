@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The 17 traits of the hero dimension, alphabetical.
@@ -153,17 +153,31 @@ def detail_rows(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def hero_traits(spark: SparkSession, heroes: int = 20) -> DataFrame:
-    """The generated hero dimension: one row per hero with a trait map and a role."""
-    hero = F.col("id")
-    traits = F.map_from_arrays(
+def trait_map(hero: Column) -> Column:
+    """Generated trait values of a hero id."""
+    return F.map_from_arrays(
         F.array(*[F.lit(t) for t in TRAITS]),
         F.array(*[((hero * 37 + F.lit(i * 53)) % 101) / F.lit(100.0) for i in range(len(TRAITS))]),
     )
-    return spark.range(1, heroes + 1).select(
-        hero.alias("hero_id"),
-        traits.alias("traits"),
+
+
+def as_heroes(ids: DataFrame) -> DataFrame:
+    """Trait map, review status and role for every ``hero_id``."""
+    hero = F.col("hero_id")
+    return ids.select(
+        "hero_id",
+        trait_map(hero).alias("traits"),
         F.when(hero % 10 == 0, "unreviewed").otherwise("reviewed").alias("review_status"),
         F.element_at(F.array(*[F.lit(r) for r in VIEW_ROLES]), (hero % 5 + 1).cast("int")).alias("role"),
         F.lit(True).alias("available"),
     )
+
+
+def hero_traits(spark: SparkSession, heroes: int = 20) -> DataFrame:
+    """The generated hero dimension: one row per hero with a trait map and a role."""
+    return as_heroes(spark.range(1, heroes + 1).withColumnRenamed("id", "hero_id"))
+
+
+def part_heroes(spark: SparkSession, folder: str) -> DataFrame:
+    """The part table as a roster of heroes, for the jobs that derive and check hero records."""
+    return as_heroes(table(spark, folder, "part").select(F.col("p_partkey").cast("bigint").alias("hero_id")))
