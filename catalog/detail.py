@@ -7,6 +7,7 @@ from catalog.base import register
 from habitscope.functions import expr
 from habitscope.functions.robust import spread
 from habitscope.operators import cohorts, matches
+from habitscope.session import cut
 from habitscope.sources import views
 
 DETAIL_SQL = """
@@ -113,7 +114,7 @@ def targets(table):
 
 
 def population(spark, folder):
-    return features(spark, folder).withColumn("row_id", F.struct("match_id", "player_no"))
+    return cut(features(spark, folder)).withColumn("row_id", F.struct("match_id", "player_no"))
 
 
 @register(

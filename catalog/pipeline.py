@@ -152,7 +152,17 @@ def nrm_mean_coverage(spark, folder):
     return M.mean_coverage(M.coverage(documents(spark, folder))).where(F.col("family").isin("time_series", "wards"))
 
 
-@register("agg_event_features")
+@register(
+    "agg_event_features",
+    f"""with {DETAIL_SQL}, k as (select match_id, player_no, account_id % 100 + 1 as victim, 300 + line_no * 90 + i * 60 as t from (select *, unnest(range(kills % 3)) as i from dr)),
+    v as (select d.match_id, d.player_no, count(*) as n, max((k.t <= 600)::int) as early from dr d join k on k.match_id = d.match_id and k.victim = d.account_id and k.player_no <> d.player_no group by 1, 2),
+    m as (select match_id, any_value(duration_seconds) as dur from dr group by 1)
+    select d.match_id, d.player_no - 1 as player_no, kills + assists * 0.45 + hero_damage / 1000 + tower_damage / 800 + case when dur > 2400 then 0.8 else 0 end as impact_score, (kills % 3)::bigint as kill_events,
+      case when kills % 3 > 0 or deaths % 2 = 1 or (deaths % 4 = 0 and deaths % 5 > 0) or obs_placed % 3 > 0 or v.n > 0 then (case when deaths % 4 = 0 then deaths % 5 else 0 end + coalesce(v.n, 0))::bigint end as death_events,
+      case when (deaths % 4 = 0 and deaths % 5 > 0) or v.early = 1 then 1.0 else 0.0 end as early_death
+    from dr d join m using (match_id) left join v on v.match_id = d.match_id and v.player_no = d.player_no""",
+    "impact_score early_death",
+)
 def agg_event_features(spark, folder):
     docs = documents(spark, folder)
     return M.match_features(M.participants(docs), M.events(docs)).select(
@@ -160,7 +170,14 @@ def agg_event_features(spark, folder):
     )
 
 
-@register("knw_hero_mechanics")
+@register(
+    "knw_hero_mechanics",
+    """with r as (select p_partkey, unnest(['Carry', 'Support', 'Nuker', 'Disabler', 'Jungler', 'Durable', 'Escape', 'Pusher', 'Initiator']) as role, unnest(range(9)) as i from part),
+    g as (select p_partkey, string_agg(role, ',' order by i) filter ((p_partkey + i) % 3 > 0) as roles from r group by 1)
+    select p_partkey as hero_id, ['strength', 'agility', 'intelligence', 'universal'][p_partkey % 4 + 1] as primary_attribute, roles, 'ability_' || p_partkey as ability, p_size::double as size_value, p_brand as facet
+    from part join g using (p_partkey)""",
+    "size_value",
+)
 def knw_hero_mechanics(spark, folder):
     """Hero documents in the shape of the roster source, one per part."""
     key = F.col("p_partkey").cast("bigint")
