@@ -258,7 +258,23 @@ def act_controlled_presence(spark, folder):
     return actions.controlled_presence(contexts, active=0.3, safe=0.9).select("account_id", "kind", "identity", "rank")
 
 
-@register("act_presence_tax")
+@register(
+    "act_presence_tax",
+    f"""with {_PRESENCE}, gs as (select account_id, hero_id, functions[1] as job, count(*) as n, sum(kills + assists) as ka, sum(deaths) as d, sum(duration_seconds / 60) as m
+      from match_rows join hero using (hero_id) where len(functions) > 0 group by 1, 2, 3),
+    gp as (select a.account_id, a.n, a.ka, a.d, a.m, coalesce(sum(b.n), 0) as pn, coalesce(sum(b.d), 0) as pd, coalesce(sum(b.m), 0) as pm from gs a left join gs b on a.account_id = b.account_id and a.job = b.job and a.hero_id <> b.hero_id
+      group by a.account_id, a.hero_id, a.n, a.ka, a.d, a.m),
+    gg as (select account_id, greatest(0, max(case when n >= 5 and pn >= 5 and least(n, pn) >= 10 and least(1, ka / greatest(m, 1) / 1.2) >= 0.3 and least(1, d / greatest(m / 10, 1) / 1.2) >= 0.6
+      then least(1, d / greatest(m / 10, 1) / 1.2) - least(1, pd / greatest(pm / 10, 1) / 1.2) end)) as gap from gp group by 1),
+    kp as (select * from pc where confidence_score >= 0.5 and involvement >= 0.3 and exposure >= 0.6),
+    kr as (select *, row_number() over (partition by account_id order by round(exposure, 9) desc, {_PSPEC} desc, round(confidence_score, 9) desc, identity) as k from kp),
+    ka as (select account_id, count(*) as exposed_contexts, count(*) filter (kind = 'function' and identity in ('initiation', 'frontline', 'catch', 'fight_control')) as contact,
+      count(*) filter (kind = 'function' and identity not in ('initiation', 'frontline', 'catch', 'fight_control')) as other, count(distinct case when kind = 'function' then identity end) as jobs from kp group by 1),
+    ks as (select account_id, exposed_contexts, case when coalesce(gap, 0) >= 0.18 then 'hero_specific' when contact > 0 and other = 0 then 'job_shaped' when jobs >= 2 then 'cross_context'
+      when contact > 0 then 'job_shaped' else 'unresolved' end as shape from ka left join gg using (account_id))
+    select account_id, shape, kind, identity, exposure, exposed_contexts, shape <> 'unresolved' as deep_candidate, confidence_score from ks join kr using (account_id) where k = 1""",
+    "exposure confidence_score",
+)
 def act_presence_tax(spark, folder):
     rows = matches(spark, folder)
     contexts = actions.presence_contexts(rows, knowledge(spark))

@@ -677,9 +677,14 @@ def presence_tax(
         F.count_if(F.coalesce(contact, F.lit(False))).alias("_contact"),
         F.count_if(F.coalesce(~contact, F.lit(False))).alias("_other"),
         F.count_distinct(job).alias("_jobs"),
-        F.max_by(
+        F.min_by(
             F.struct("kind", "identity", "exposure", "confidence_score"),
-            F.struct(F.round("exposure", 9).alias("e"), _specificity().alias("s"), "confidence_score"),
+            F.struct(
+                (-F.round("exposure", 9)).alias("e"),
+                (-_specificity()).alias("s"),
+                (-F.round("confidence_score", 9)).alias("c"),
+                "identity",
+            ),
         ).alias("top"),
         F.count(F.lit(1)).alias("exposed_contexts"),
     )
