@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +25,11 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a scratch one only where unset."""
+    """The folder that the cluster names in spark.checkpoint.dir, which all executors share.
+
+    Where nothing is named, a local master, whose executors are this process, gets a scratch folder; any other
+    master is refused, because executors could not see a folder of the driver's machine.
+    """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     current = context.getCheckpointDir()
@@ -33,6 +38,8 @@ def checkpoint_folder(spark: SparkSession) -> str:
             context.setCheckpointDir(named)
         return named
     if current is None:
+        if not re.match(r"local($|\[)", context.master):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         current = tempfile.mkdtemp(prefix="habitscope-")
         context.setCheckpointDir(current)
     return current
