@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from habitscope.llm import chunk_bpe
 from habitscope.llm.common import table
 from habitscope.llm.token_counts import token_counts
 from habitscope.session import tune
@@ -33,3 +34,14 @@ def register(name: str, sql: str | None = None):
 def _token_counts(spark: SparkSession, folder: str) -> DataFrame:
     counts = token_counts(table(spark, folder, "documents"))
     return counts.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@register("op4_chunk_bpe")
+def _chunk_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    rows = chunk_bpe.decode(chunk_bpe.encode(table(spark, folder, "documents")))
+    return rows.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
