@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from habitscope.llm import chunk_bpe
-from habitscope.llm.common import table
+from habitscope.llm import chunk_bpe, line_windows, mixing
+from habitscope.llm.chunk_dedup import exact_groups
+from habitscope.llm.common import hex_digest, table
 from habitscope.llm.token_counts import token_counts
 from habitscope.session import tune
 
@@ -45,3 +46,97 @@ def _chunk_bpe(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@register(
+    "op2_exact_dedup",
+    """
+    with t as (select doc_id, coalesce(text, '') as text from documents),
+    g as (select text, max(doc_id) as keep_id, count(*) as group_size from t group by text)
+    select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(text) as text_sha256
+    from t join g using (text)""",
+)
+def _exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_groups(table(spark, folder, "documents"))
+
+
+@register(
+    "op5_mix_sources",
+    r"""
+    with d as (
+      select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
+             md5('20:' || doc_id::varchar || ':' || coalesce(text, '')) as h
+      from documents),
+    s as (
+      select source, sum(size)::bigint as source_size, count(*) as n from d group by 1),
+    w as (
+      select *, [1, 2, 3][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int]::double as weight,
+             row_number() over (order by source nulls last) as rk
+      from s),
+    r as (
+      select *, row_number() over o as step,
+             (sum(source_size) over () - 3.0::double * coalesce(sum(source_size) over
+                (order by source_size / weight, rk rows between unbounded preceding and 1 preceding), 0))::double
+             / (sum(weight) over () - coalesce(sum(weight) over
+                (order by source_size / weight, rk rows between unbounded preceding and 1 preceding), 0)) as rate
+      from w window o as (order by source_size / weight, rk)),
+    f as (select min(step) as step, arg_min(rate, step) as rate from r where not rate * weight > 3.0 * source_size),
+    t as (
+      select r.source, r.source_size, r.n, r.rk,
+             (case when r.step < f.step then 3.0 * r.source_size else f.rate * r.weight end)::double as target
+      from r cross join f),
+    seats as (
+      select source, rk, target / (2 * i - 1) as q, i
+      from t, generate_series(1, (select ceil(sum(target) / 16)::bigint + 1 from t)) g(i)
+      where target > 0 and i <= 2 + ceil(target / 16)),
+    quota as (
+      select source, count(*) as quota from (
+        select source, row_number() over (order by q desc, rk, i) as place from seats)
+      where place <= (select round(sum(target) / 16)::bigint from t) group by 1),
+    p as (
+      select d.*, t.source_size, t.target, coalesce(quota.quota, 0) as source_quota,
+             ('0x' || substr(h, 25, 8))::bigint % least(4096, ceil(t.n / 1000.0))::bigint as shard
+      from d join t on d.source is not distinct from t.source left join quota on d.source is not distinct from quota.source),
+    z as (select source, shard, sum(size)::bigint as shard_size, any_value(source_quota) as source_quota from p group by 1, 2),
+    zq as (
+      select source, shard, count(*) as quota from (
+        select source, shard, source_quota, row_number() over (partition by source order by shard_size / (2 * i - 1) desc, shard, i) as place
+        from z, generate_series(1, (select max(source_quota) from z)) g(i) where shard_size > 0 and i <= source_quota)
+      where place <= source_quota group by 1, 2),
+    v as (
+      select p.*, z.shard_size, least(coalesce(zq.quota, 0) * 16, 3 * z.shard_size) as read,
+             sum(size) over (partition by p.source, p.shard order by h, doc_id, size) - size as start
+      from p join z on p.source is not distinct from z.source and p.shard = z.shard
+        left join zq on p.source is not distinct from zq.source and p.shard = zq.shard)
+    select doc_id, size, source_size, target,
+           (case when shard_size = 0 then 0 else
+              (read // shard_size) * size + greatest(0, least(size, read - (read // shard_size) * shard_size - start)) end)::bigint as taken
+    from v""",
+)
+def _mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, folder, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@register(
+    "op9_line_windows",
+    """
+    with l as (
+      select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+    e as (select doc_id, lines, unnest(range(len(lines))) as pos from l),
+    w as (
+      select doc_id, pos, lines[pos + 1] as a, lines[pos + 2] as b, lines[pos + 3] as c
+      from e where pos + 3 <= len(lines)),
+    later as (
+      select doc_id, pos from (
+        select doc_id, pos, row_number() over (partition by a, b, c order by doc_id, pos) as n from w) where n > 1),
+    gone as (select distinct doc_id, unnest([pos, pos + 1, pos + 2]) as pos from later),
+    kept as (
+      select e.doc_id, count(*) as n_lines, count(g.pos) as n_removed,
+             coalesce(string_agg(e.lines[e.pos + 1], chr(10) order by e.pos) filter (where g.pos is null), '') as text
+      from e left join gone g on e.doc_id = g.doc_id and e.pos = g.pos group by 1)
+    select doc_id, n_lines, n_removed, sha256(text) as text_sha256 from kept""",
+)
+def _line_windows(spark: SparkSession, folder: str) -> DataFrame:
+    rows = line_windows.without_repeats(table(spark, folder, "documents"))
+    return rows.select("doc_id", "n_lines", "n_removed", hex_digest(F.col("text")).alias("text_sha256"))
