@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from habitscope.llm import chunk_bpe, line_windows, mixing
 from habitscope.llm.chunk_dedup import exact_groups
 from habitscope.llm.common import hex_digest, table
+from habitscope.llm.near_dups import near_groups
 from habitscope.llm.token_counts import token_counts
 from habitscope.session import tune
 
@@ -140,3 +141,8 @@ def _mix_sources(spark: SparkSession, folder: str) -> DataFrame:
 def _line_windows(spark: SparkSession, folder: str) -> DataFrame:
     rows = line_windows.without_repeats(table(spark, folder, "documents"))
     return rows.select("doc_id", "n_lines", "n_removed", hex_digest(F.col("text")).alias("text_sha256"))
+
+
+@register("op7_near_dups")
+def _near_dups(spark: SparkSession, folder: str) -> DataFrame:
+    return near_groups(table(spark, folder, "documents"))
