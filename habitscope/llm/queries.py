@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from habitscope.llm import chunk_bpe, line_windows, mixing
+from habitscope.llm import chunk_bpe, language, line_windows, mixing
 from habitscope.llm.chunk_dedup import exact_groups
 from habitscope.llm.common import hex_digest, table
 from habitscope.llm.near_dups import near_groups
@@ -146,3 +146,11 @@ def _line_windows(spark: SparkSession, folder: str) -> DataFrame:
 @register("op7_near_dups")
 def _near_dups(spark: SparkSession, folder: str) -> DataFrame:
     return near_groups(table(spark, folder, "documents"))
+
+
+@register("op3_language_id")
+def _language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = language.fit(docs.where(F.col("doc_id").isNotNull() & ~language.held_out(F.col("doc_id"))))
+    told = language.identify(docs, model)
+    return told.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
