@@ -14,11 +14,19 @@ from pyspark.sql import functions as F
 
 from habitscope.llm.common import WORD, written
 
+SEED = 20
+
 
 def words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
+def row_hash(seed: int = SEED) -> Column:
+    """The seeded hash of doc_id and text that orders the rows of a shard."""
+    text, number = F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))
+    return F.md5(F.concat(F.lit(f"{seed}:"), number, F.lit(":"), text).cast("binary"))
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0) -> DataFrame:
     """source, source_size, n_docs, target. ``sizes``: source and size of every document.
 
@@ -100,23 +108,22 @@ def mix(
     weights: tuple[int, ...] = (1, 2, 3),
     most: float = 3.0,
     block: int = 16,
-    seed: int = 20,
+    seed: int = SEED,
     shard_rows: int = 1000,
     most_shards: int = 4096,
 ) -> DataFrame:
     """doc_id, source, row_hash, size, source_size, target, taken: one row for each row of ``docs``.
 
     ``size`` counts words, none for a null text; a document without words is never taken. ``taken`` is at most
-    ``most`` times the size, because a shard is read at most so often. Reruns agree: the order is a seeded hash of doc_id and text, and rows
-    that repeat both are alike in all they hold. An empty table gives no rows, other columns are not read.
+    ``most`` times the size, because a shard is read at most so often. Reruns agree: the order is a seeded hash of
+    doc_id and text, and rows that repeat both are alike in all they hold. An empty table gives no rows, other
+    columns are not read.
 
     A source has one shard for each ``shard_rows`` documents, at most ``most_shards``, so a source that holds a
     third of all rows is ordered by many tasks; sources and shards are aggregates.
     """
-    text, number = F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))
-    row_hash = F.md5(F.concat(F.lit(f"{seed}:"), number, F.lit(":"), text).cast("binary"))
     rows = written(
-        docs.select("doc_id", "source", words(F.col("text")).alias("size"), row_hash.alias("row_hash")),
+        docs.select("doc_id", "source", words(F.col("text")).alias("size"), row_hash(seed).alias("row_hash")),
         "mix-sizes",
     )
     sources = source_targets(rows.select("source", "size"), weights, most)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from habitscope.llm import chunk_bpe, language, line_windows, mixing
 from habitscope.llm.chunk_dedup import exact_groups
 from habitscope.llm.common import hex_digest, table
@@ -154,3 +155,8 @@ def _language_id(spark: SparkSession, folder: str) -> DataFrame:
     model = language.fit(docs.where(F.col("doc_id").isNotNull() & ~language.held_out(F.col("doc_id"))))
     told = language.identify(docs, model)
     return told.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@register("pipeline", corpus_pipeline.ORACLE_SQL)
+def _pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)
