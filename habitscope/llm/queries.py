@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from habitscope.llm import chunk_bpe, language, line_windows, mixing
+from habitscope.llm import chunk_bpe, language, line_windows, mixing, secret_crf
 from habitscope.llm.chunk_dedup import exact_groups
 from habitscope.llm.common import hex_digest, table
 from habitscope.llm.near_dups import near_groups
@@ -160,3 +160,19 @@ def _language_id(spark: SparkSession, folder: str) -> DataFrame:
 @register("pipeline", corpus_pipeline.ORACLE_SQL)
 def _pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
+
+
+@register("op1_secret_crf")
+def _secret_crf(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = secret_crf.find_secrets(docs, secret_crf.fit(docs))
+    base = F.filter("spans", lambda s: s["kind"] != "crf")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        hex_digest(secret_crf.spans_text(base)).alias("base_sha256"),
+        secret_crf.spans_text(F.col("spans")).alias("spans"),
+    )
