@@ -12,6 +12,7 @@ from habitscope.llm import chunk_bpe, language, line_windows, mixing, secret_crf
 from habitscope.llm.chunk_dedup import exact_groups
 from habitscope.llm.common import hex_digest, table
 from habitscope.llm.near_dups import near_groups
+from habitscope.llm.projections import nearest
 from habitscope.llm.token_counts import token_counts
 from habitscope.session import tune
 
@@ -176,3 +177,9 @@ def _secret_crf(spark: SparkSession, folder: str) -> DataFrame:
         hex_digest(secret_crf.spans_text(base)).alias("base_sha256"),
         secret_crf.spans_text(F.col("spans")).alias("spans"),
     )
+
+
+@register("op6_projected_neighbours")
+def _projected_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return nearest(vectors, F.col("vec_id") % 20 == 0)
