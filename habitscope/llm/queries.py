@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from habitscope.llm import chunk_bpe, language, line_windows, mixing, secret_crf
+from habitscope.llm import chunk_bpe, language, line_windows, mixing, secret_crf, site_quality
 from habitscope.llm.chunk_dedup import exact_groups
 from habitscope.llm.common import hex_digest, table
 from habitscope.llm.near_dups import near_groups
@@ -183,3 +183,12 @@ def _secret_crf(spark: SparkSession, folder: str) -> DataFrame:
 def _projected_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings")
     return nearest(vectors, F.col("vec_id") % 20 == 0)
+
+
+@register("op8_site_quality")
+def _site_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents have no URL: the source is the host, and its part in one language the path."""
+    docs = table(spark, folder, "documents")
+    model = site_quality.fit(docs, table(spark, folder, "labels"))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))
+    return site_quality.posteriors(docs, model, F.col("source"), path)
