@@ -149,7 +149,8 @@ def _strength(sites: DataFrame, centre: Column, noise: float, rate: float) -> fl
     """
     weight = F.col("n")
     gap = F.col("total") / F.col("n") - centre
-    count, spread, total = sites.agg(F.count("*"), F.sum(weight * gap * gap), F.sum(weight)).first()
+    spread = F.sum(F.round(weight * gap * gap * 10**9).cast("decimal(38, 0)")) / 10**9
+    count, spread, total = sites.agg(F.count("*"), spread.cast("double"), F.sum(weight)).first()
     if not count or not total:
         return 1.0
     between = max(spread / total - noise * count / total, 1e-6)
@@ -174,14 +175,20 @@ def posteriors(
     if model is None:
         model = Classifier(np.zeros(MEASURES), np.ones(MEASURES), np.zeros(2 * MEASURES + 1), 0.5)
     scored = rows.mapInArrow(_scored(model), f"doc_id {kind}, host string, path string, logit double")
-    scored = written(scored.withColumn("p_doc", 1 / (1 + F.exp(-F.col("logit")))), "scored")
-
-    paths = written(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p_doc").alias("total"), F.sum(F.col("p_doc") * F.col("p_doc")).alias("squares")), "paths")
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-    n, total, squares = paths.agg(F.sum("n"), F.sum("total"), F.sum("squares")).first()
+    # Evidence is rounded to nine places and summed as whole numbers, so sums don't depend on their order.
+    scored = written(scored.withColumn("p_doc", F.round(1 / (1 + F.exp(-F.col("logit"))), 9)), "scored")
+    summed = lambda value: (F.sum(F.round(value * 10**9).cast("long")) / 10**9)
+    paths = scored.groupBy("host", "path").agg(
+        F.count("*").alias("n"),
+        summed(F.col("p_doc")).alias("total"),
+        summed(F.col("p_doc") * F.col("p_doc")).alias("squares"),
+    )
+    paths = written(paths, "paths")
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), summed(F.col("total")).alias("total"))
+    spread = F.col("squares") - F.col("total") * F.col("total") / F.col("n")
+    n, total, within = paths.agg(F.sum("n"), summed(F.col("total")), summed(spread)).first()
     rate = float(np.clip(total / n, 1e-3, 1 - 1e-3)) if n else 0.5
-    within = paths.agg(F.sum(F.col("squares") - F.col("total") * F.col("total") / F.col("n"))).first()[0] or 0.0
-    noise = max(within / n, 1e-6) if n else 1e-6
+    noise = max(within / n, 1e-6) if n else 1e-6  # variance of the evidence inside a path
     host_worth = _strength(hosts, F.lit(rate), noise, rate)
     shrunk = (F.col("total") + host_worth * rate) / (F.col("n") + host_worth)
     host_rates = hosts.select(
