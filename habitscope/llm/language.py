@@ -103,6 +103,7 @@ def fit(
     per_language: int = 1000,
     width: int = 16,
     epochs: int = 6,
+    least_steps: int = 800,
     rate: float = 0.5,
     reject: float = 0.001,
     most: float = 0.5,
@@ -111,7 +112,7 @@ def fit(
     """A model of the languages in ``docs`` (doc_id, lang, text), or None where nothing is labelled.
 
     The sample has about ``per_language`` documents of each language; each comes to the driver as at most 2^15
-    bucket counts. The threshold is the score that a share ``reject`` of the unfitted sample stays under, but
+    bucket counts. Small samples are gone through more often, for ``least_steps`` steps in all. The threshold is the score that a share ``reject`` of the unfitted sample stays under, but
     never more than ``most``, so that clear texts are not lost.
     """
     bags = training_rows(docs, per_language, seed).mapInArrow(_bags, "lang string, buckets array<int>, counts array<float>")
@@ -143,7 +144,9 @@ def fit(
         return out
 
     size = 32
-    steps = epochs * -(-len(fitted) // size)
+    each = -(-len(fitted) // size)
+    epochs = max(epochs, -(-least_steps // each))
+    steps = epochs * each
     done = 0
     for _ in range(epochs):
         shuffled = fitted[random.permutation(len(fitted))]
