@@ -6,10 +6,11 @@ principle, a chunk with at most one error; enumerating the place of that error g
 such signatures share a key for certain. A pair of documents at similarity s shares none with probability
 (1 - s^4 - 4 s^3 (1 - s))^8: 2e-8 at 0.85 and 1e-6 at 0.8. All links are confirmed on the full sets.
 
-Documents with equal sets are one class from the start. Within a key, each class is first compared with the key's
-smallest one only. Then the keys whose classes are in several components are searched again: each class outside the
-largest component of its key is compared with the classes of the other components, so every pair that shares a key
-is compared or is connected already, and a key that very many near copies share costs one comparison for each.
+Documents with equal sets are one class from the start. Within a key, each class is first compared with one centre
+only, so a key that very many near copies share costs one comparison for each. Then the classes of keys that are
+still in several components are searched again for near pairs across components, through their rarest shingles: of
+such pairs, those that a bound on rare shingles leaves are compared. So every pair that shares a key is compared,
+ruled out by an exact bound, or connected already.
 """
 
 from __future__ import annotations
@@ -25,9 +26,6 @@ from habitscope.llm.common import IS_SPACE, column_bytes, mixed, runs, slices, s
 from habitscope.llm.components import components
 
 VALUES, CHUNK = 32, 4
-# Signatures further apart than this are not compared on full sets; at the lowest similarity in use, 0.8, a pair
-# is further apart with probability 1e-6.
-REACH = 18
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -116,10 +114,6 @@ def masked_keys(signature: Column) -> Column:
     return F.array(*keys)
 
 
-def _distance(a: Column, b: Column) -> Column:
-    return F.size(F.filter(F.arrays_zip(a.alias("x"), b.alias("y")), lambda v: v["x"] != v["y"]))
-
-
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union on their full sets."""
     left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
@@ -131,6 +125,41 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return linked.select("a", "b").distinct()
 
 
+def _rare_pairs(open_sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes (rep, component, shingles) of different components that may be near enough.
+
+    With shingles in one order, the rarest first, two sets of n and m shingles that are near have at least
+    o = percent * (n + m) / (100 + percent) in common, so one of their common shingles is among the first n - o + 1
+    of the one and the first m - o + 1 of the other. Texts whose own parts are larger than that meet nobody,
+    however many others share the rest with them.
+    """
+    most = F.size("shingles") - F.ceil(F.size("shingles") * percent / 100) + 1
+    listed = written(open_sets.select("rep", "component", F.size("shingles").alias("n"), most.alias("most"), "shingles"), "open-sets")
+    each = listed.select("rep", F.explode("shingles").alias("shingle"))
+    common = each.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    # A shingle that one class has comes first in it and meets nobody; only how many there are counts.
+    ordered = each.join(common, "shingle").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("common"))
+    own = F.col("n") - F.size("common")
+    early = (
+        listed.select("rep", "component", "n", "most")
+        .join(ordered, "rep")
+        .where(own < F.col("most"))
+        .select("rep", "component", "n", own.alias("own"), F.posexplode(F.slice("common", 1, (F.col("most") - own).cast("int"))).alias("at", "item"))
+        .select("rep", "component", "n", (F.col("own") + F.col("at")).alias("place"), F.col("item.shingle").alias("shingle"))
+    )
+    early = written(early, "rare-shingles")
+    x, y = early.alias("x"), early.alias("y")
+    shared = F.ceil((F.col("x.n") + F.col("y.n")) * F.lit(percent) / F.lit(100 + percent))
+    near = (
+        (F.col("x.shingle") == F.col("y.shingle"))
+        & (F.col("x.rep") < F.col("y.rep"))
+        & (F.col("x.component") != F.col("y.component"))
+        & (F.col("x.place") <= F.col("x.n") - shared)
+        & (F.col("y.place") <= F.col("y.n") - shared)
+    )
+    return x.join(y, near).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+
+
 def near_groups(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of ``docs``.
 
@@ -153,41 +182,31 @@ def near_groups(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame
         "set-classes",
     )
     keys = classes.select("rep", F.explode(masked_keys(F.col("signature"))).alias("key"))
-    several = keys.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("other")).where("centre <> other")
-    members = written(keys.join(several.select("key", "centre"), "key").select("key", "rep", "centre"), "key-members")
-
+    several = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = written(keys.join(several, "key").select("key", "rep", "n"), "key-members")
+    # The centre of a key is its class with the most company over all keys: of edits of one text, that text.
+    company = members.groupBy("rep").agg(F.sum("n").alias("company"))
+    centres = members.join(company, "rep").groupBy("key").agg(F.max(F.struct("company", "rep")).alias("most"))
+    stars = (
+        members.join(centres, "key")
+        .select(F.col("rep").alias("a"), F.col("most.rep").alias("b"))
+        .where("a <> b")
+        .distinct()
+    )
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     sets = written(
         rows.join(wanted, "doc_id").mapInArrow(_sets(width), f"rep {kind}, shingles array<long>"), "shingle-sets"
     )
-    stars = members.where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
     links = written(_confirmed(stars, sets, percent), "star-links")
     near = written(components(links), "star-components")
 
     placed = members.join(near.withColumnRenamed("node", "rep"), "rep", "left").select(
         "key", "rep", F.coalesce("component", "rep").alias("component")
     )
-    placed = written(placed, "key-components")
-    parts = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    split = (
-        parts.groupBy("key")
-        .agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("parts"))
-        .where("parts > 1")
-    )
-    signature = classes.select("rep", "signature")
-    open_rows = written(
-        placed.join(split.select("key", "largest"), "key").join(signature, "rep"), "open-members"
-    )
-    outside = open_rows.where("component <> largest").alias("x")
-    # Of two rows that are both outside the largest component, the one with the smaller id asks.
-    asks = (
-        (F.col("x.component") != F.col("y.component"))
-        & ((F.col("y.component") == F.col("y.largest")) | (F.col("x.rep") < F.col("y.rep")))
-        & (_distance(F.col("x.signature"), F.col("y.signature")) <= REACH)
-    )
-    rest = outside.join(open_rows.alias("y"), (F.col("x.key") == F.col("y.key")) & asks)
-    rest = rest.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    more = written(_confirmed(rest.join(stars, ["a", "b"], "left_anti"), sets, percent), "other-links")
+    split = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+    open_reps = written(placed.join(split.select("key"), "key").select("rep", "component").distinct(), "open-classes")
+    rest = _rare_pairs(open_reps.join(sets, "rep"), percent)
+    more = written(_confirmed(rest, sets, percent), "other-links")
     if not more.isEmpty():
         near = written(components(links.union(more)), "components")
 
