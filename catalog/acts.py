@@ -14,7 +14,7 @@ from catalog.base import (
     session_rows,
 )
 from catalog.elements import _BUCKET_SQL, _CURVE_SQL, HERO_SQL, baseline_sql, with_function
-from catalog.heroes import KNOW_SQL, knowledge, sparse
+from catalog.heroes import KNOW_SQL, ROSTER, knowledge
 from catalog.rules import element_table
 from habitscope.operators import actions, patterns
 from habitscope.session import cut
@@ -120,14 +120,14 @@ def act_versatile_core(spark, folder):
 
 @register("act_versatile_additions")
 def act_versatile_additions(spark, folder):
-    rows = cut(sparse(spark, folder))
-    core = cut(actions.versatile_core(rows, knowledge(spark)))
-    return actions.versatile_additions(rows, core, knowledge(spark))
+    rows, known = cut(matches(spark, folder)), knowledge(spark, ROSTER)
+    core = cut(actions.versatile_core(rows, known))
+    return actions.versatile_additions(rows, core, known)
 
 
 @register("act_same_playbook")
 def act_same_playbook(spark, folder):
-    table = actions.same_playbook(cut(sparse(spark, folder)), knowledge(spark))
+    table = actions.same_playbook(cut(matches(spark, folder)), knowledge(spark, ROSTER))
     return table.select(
         "account_id",
         "status",

@@ -23,9 +23,9 @@ def traits(spark):
     return views.hero_traits(spark)
 
 
-def knowledge(spark):
+def knowledge(spark, roster=20):
     # One row per hero, read by many joins: written once.
-    return cut(heroes.knowledge(traits(spark)))
+    return cut(views.hero_knowledge(views.hero_traits(spark, roster)))
 
 
 PART_KNOW_SQL = KNOW_SQL.replace(HERO_SQL, PART_SQL).replace(
@@ -39,7 +39,7 @@ PART_KNOW_SQL = KNOW_SQL.replace(HERO_SQL, PART_SQL).replace(
       case when reviewed then 'reviewed' else 'unreviewed' end as review_status from hero""",
 )
 def src_hero_knowledge(spark, folder):
-    return heroes.knowledge(views.part_heroes(spark, folder)).select(
+    return views.hero_knowledge(views.part_heroes(spark, folder)).select(
         "hero_id",
         F.concat_ws(",", "primary_functions").alias("primary_functions"),
         F.concat_ws(",", "secondary_functions").alias("secondary_functions"),
@@ -433,27 +433,24 @@ def her_hero_against_pool(spark, folder):
     )
 
 
-def sparse(spark, folder):
-    """A history that leaves some heroes of the roster unplayed by each account."""
-    rows = matches(spark, folder)
-    return rows.where((F.col("hero_id") + F.col("account_id")) % 3 != 0)
+# Heroes that an account has not played are the rest of the roster: 20 of these ids occur in the data.
+ROSTER = 127
 
 
 @register("her_semantic_recommendations")
 def her_semantic_recommendations(spark, folder):
-    rows = cut(sparse(spark, folder))
+    rows, known = cut(matches(spark, folder)), knowledge(spark, ROSTER)
     picked = None
-    for intent in ("double_down", "adjacent_move", "change_angle", "specialist"):
-        one = portfolio.recommend(portfolio.rationales(rows, knowledge(spark), intent)).withColumn(
-            "intent", F.lit(intent)
-        )
+    for intent in ("double_down", "adjacent_move", "fill_gap", "change_angle", "specialist"):
+        family = F.lit("control") if intent == "fill_gap" else None
+        one = portfolio.recommend(portfolio.rationales(rows, known, intent, family)).withColumn("intent", F.lit(intent))
         picked = one if picked is None else picked.unionByName(one)
     return picked
 
 
 @register("her_rationales")
 def her_rationales(spark, folder):
-    return portfolio.rationales(sparse(spark, folder), knowledge(spark)).select(
+    return portfolio.rationales(matches(spark, folder), knowledge(spark, ROSTER)).select(
         "account_id",
         "hero_id",
         "eligible",
@@ -469,9 +466,9 @@ def her_rationales(spark, folder):
 def her_trait_recommendations(spark, folder):
     from habitscope.operators.measures import match_measures
 
-    rows = cut(match_measures(sparse(spark, folder), DAY_GAP))
-    picks = portfolio.identity_picks(portfolio.identity_components(rows, traits(spark)))
-    return portfolio.recommend_by_traits(rows, picks, traits(spark))
+    rows, table = cut(match_measures(matches(spark, folder), DAY_GAP)), views.hero_traits(spark, ROSTER)
+    picks = portfolio.identity_picks(portfolio.identity_components(rows, table))
+    return portfolio.recommend_by_traits(rows, picks, table)
 
 
 @register(

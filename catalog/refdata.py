@@ -353,7 +353,7 @@ def dq_aggregates(spark, folder):
 def dq_semantic_layer(spark, folder):
     h = F.col("hero_id")
     records = (
-        H.knowledge(views.part_heroes(spark, folder))
+        views.hero_knowledge(views.part_heroes(spark, folder))
         .withColumns(
             {
                 "primary_functions": F.when(h % 6 == 0, F.array(F.lit("dancing"))).otherwise(F.col("primary_functions")),

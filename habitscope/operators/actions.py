@@ -251,7 +251,7 @@ def demand_hypotheses(rows: DataFrame, knowledge: DataFrame) -> DataFrame:
     )
     used = rows.where(F.col("hero_id").isNotNull()).select("account_id", "hero_id").distinct()
     sided = (
-        used.join(F.broadcast(bands), "hero_id")
+        used.join(bands, "hero_id")
         .join(core, ["account_id", "hero_id"], "left")
         .withColumn("core", F.coalesce("_core", F.lit(False)))
     )

@@ -18,16 +18,20 @@ from habitscope.functions.expr import LN2, clamp, ratio
 from habitscope.operators.patterns import let
 from habitscope.operators.pools import diversity, familiar_pool, shift_of_counts
 from habitscope.operators.windows import balanced_windows, numbered, persistence, quarter_recurrence
-from habitscope.sources.heroes import family_of, literal_map, roster_ids
+from habitscope.sources.heroes import family_of, literal_map, packed_roster
 from habitscope.sources.views import TRAITS
 
 ROLE_KEYS = ("carry", "mid", "offlane", "soft_support", "hard_support", "roamer", "jungle")
 
 
 def dimension(knowledge: DataFrame) -> DataFrame:
-    """The hero dimension as a broadcast side, checked to be one."""
-    roster_ids(knowledge)
-    return F.broadcast(knowledge)
+    """The hero dimension; whether a join broadcasts it follows from its size."""
+    return knowledge
+
+
+def with_roster(accounts: DataFrame, dimension: DataFrame) -> DataFrame:
+    """``accounts`` with the roster in one array column, packed to a single row inside the plan."""
+    return accounts.join(F.broadcast(packed_roster(dimension)), F.lit(True))
 
 
 def full_metrics() -> Column:
@@ -121,7 +125,7 @@ def common_thread(eligible: DataFrame, knowledge: DataFrame, semantic: bool = Tr
     strong = F.col("value") >= (1.0 if semantic else 0.55)
     scored = (
         sized.withColumn("_w", weight)
-        .join(F.broadcast(_job_vector(knowledge, semantic)), "hero_id")
+        .join(_job_vector(knowledge, semantic), "hero_id")
         .groupBy("account_id", "feature")
         .agg(
             F.try_divide(F.sum(F.col("_w") * F.col("value")), F.greatest(F.sum("_w"), F.lit(1.0))).alias("score"),
@@ -167,7 +171,7 @@ def exception(eligible: DataFrame, knowledge: DataFrame, semantic: bool = True)
     chosen = eligible.where(F.col("for_exception")).select("account_id", "hero_id", "matches")
     account = Window.partitionBy("account_id")
     sized = chosen.withColumn("candidates", F.count(F.lit(1)).over(account)).where(F.col("candidates") >= 4)
-    vectors = sized.join(F.broadcast(_job_vector(knowledge, semantic)), "hero_id")
+    vectors = sized.join(_job_vector(knowledge, semantic), "hero_id")
     feature = Window.partitionBy("account_id", "feature")
     others = (F.sum("value").over(feature) - F.col("value")) / (F.col("candidates") - 1)
     distances = (
@@ -589,14 +593,14 @@ def themes(picks: DataFrame, traits: DataFrame) -> DataFrame:
         "total", F.sum("w").over(Window.partitionBy("account_id"))
     )
     scored = (
-        weighted.join(F.broadcast(heroes), "hero_id")
+        weighted.join(heroes, "hero_id")
         .groupBy("account_id", "trait")
         .agg(
             (F.sum(F.when(F.col("value") >= 0.65, F.col("w")).otherwise(0.0)) / F.first("total")).alias("agreement"),
             (F.sum(F.col("w") * F.col("value")) / F.first("total")).alias("intensity"),
         )
         .where(F.col("agreement") >= 0.60 - 1e-12)
-        .join(F.broadcast(rarity), "trait")
+        .join(rarity, "trait")
         .withColumn("score", F.col("agreement") * F.col("idf") * (0.5 + 0.5 * F.col("intensity")))
         .withColumn("family", F.try_element_at(literal_map({t: f for f, ts in TRAIT_FAMILIES.items() for t in ts}), F.col("trait")))
         .where(F.col("family").isNotNull())
@@ -958,14 +962,10 @@ def relationships(heroes: DataFrame, traits: DataFrame) -> DataFrame:
 def hero_against_pool(profile: DataFrame, traits: DataFrame) -> DataFrame:
     """Every hero of the roster against the pool of every account.
 
-    The output has accounts times roster rows by definition; the roster side is a checked
-    dimension that is broadcast.
+    The output has accounts times roster rows by definition.
     """
-    ids = roster_ids(traits)
-    table = F.broadcast(traits.select("hero_id", "role", "traits", trait_vector().alias("v")))
-    wide = profile.withColumn("hero_id", F.explode(F.array(*[F.lit(i).cast("bigint") for i in ids]))).join(
-        table, "hero_id"
-    )
+    table = traits.select("hero_id", "role", "traits", trait_vector().alias("v"))
+    wide = with_roster(profile, traits).withColumn("hero_id", F.explode("roster")).drop("roster").join(table, "hero_id")
     place = {t: i + 1 for i, t in enumerate(TRAITS)}
 
     def distance(t: str) -> Column:
@@ -1038,22 +1038,19 @@ def rationales(rows: DataFrame, knowledge: DataFrame, intent: str = "adjacent_mo
             "target_family": family if family is not None else F.lit(None).cast("string"),
         }
     )
-    ids = roster_ids(knowledge)
-    pool = F.array_except(F.array(*[F.lit(i).cast("bigint") for i in ids]), "used")
-    records = F.broadcast(
-        knowledge.select(
-            "hero_id",
-            "functions",
-            "primary_functions",
-            "demands",
-            "reviewed",
-            "empirical_support",
-            F.col("confidence").alias("_confidence"),
-            "position_credibility",
-            F.col("roles").alias("hero_roles"),
-        )
+    pool = F.array_except("roster", "used")
+    records = knowledge.select(
+        "hero_id",
+        "functions",
+        "primary_functions",
+        "demands",
+        "reviewed",
+        "empirical_support",
+        F.col("confidence").alias("_confidence"),
+        "position_credibility",
+        F.col("roles").alias("hero_roles"),
     )
-    wide = state.withColumn("hero_id", F.explode(pool)).join(records, "hero_id")
+    wide = with_roster(state, knowledge).withColumn("hero_id", F.explode(pool)).drop("roster").join(records, "hero_id")
     known = F.array(*[F.lit(d) for d in DEMANDS])
 
     def band(source: str, key: Column) -> Column:
@@ -1194,7 +1191,7 @@ def recommend(candidates: DataFrame, limit: int = 3) -> DataFrame:
 def recommend_by_traits(rows: DataFrame, picks: DataFrame, traits: DataFrame, limit: int = 3) -> DataFrame:
     """Trait recommendations: score minus 0.20 of the similarity to what was picked, one role change at most."""
     comfort = picks.where(F.col("comfort_place").isNotNull())
-    heroes = F.broadcast(traits.where(F.col("available")).select("hero_id", "role", "traits", trait_vector().alias("v")))
+    heroes = traits.where(F.col("available")).select("hero_id", "role", "traits", trait_vector().alias("v"))
     weight = F.greatest(F.col("comfort_score"), F.lit(0.01))
     centroid = (
         comfort.withColumn("_w", weight)
@@ -1218,11 +1215,10 @@ def recommend_by_traits(rows: DataFrame, picks: DataFrame, traits: DataFrame, li
     role_map = roles.where(F.col("c") >= 3).groupBy("account_id").agg(
         F.map_from_entries(F.collect_list(F.struct("role_hint", "c"))).alias("_roles"), F.sum("c").alias("_role_total")
     )
-    ids = roster_ids(traits)
     wide = (
-        centroid.join(exposure, "account_id")
-        .join(role_map, "account_id", "left")
-        .withColumn("hero_id", F.explode(F.array_except(F.array(*[F.lit(i).cast("bigint") for i in ids]), "_known")))
+        with_roster(centroid.join(exposure, "account_id").join(role_map, "account_id", "left"), traits)
+        .withColumn("hero_id", F.explode(F.array_except("roster", "_known")))
+        .drop("roster")
         .join(heroes, "hero_id")
     )
     names = F.array(*[F.lit(t) for t in TRAITS])

@@ -10,7 +10,6 @@ from habitscope.constants import DEMANDS, FAMILIES, JOB_ALIASES, JOBS, ROLE_POSI
 from habitscope.sources.views import TRAITS
 
 POSITIONS = ("1", "2", "3", "4", "5")
-MAXIMUM_ROSTER = 1_000
 
 
 def literal_map(values: dict[str, str]) -> Column:
@@ -173,43 +172,16 @@ def compose(structure: DataFrame, reviewed: DataFrame) -> DataFrame:
 
 
 def knowledge(traits: DataFrame, reviewed: DataFrame | None = None) -> DataFrame:
-    """The composed dimension; without a reviewed snapshot the trait table's own status is used."""
+    """The composed dimension; without reviewed records every hero keeps its structural one."""
     structure = structural(traits)
     if reviewed is None:
-        own = traits.select("hero_id", "review_status")
-        reviewed = structure.join(own, "hero_id").select(
-            "hero_id",
-            "review_status",
-            "primary_functions",
-            "secondary_functions",
-            # Fixed rules give the generated records demand, support and confidence bands.
-            F.map_from_arrays(
-                F.array(*[F.lit(d) for d in DEMANDS]),
-                F.array(
-                    *[
-                        F.element_at(
-                            F.array(*[F.lit(b) for b in ("low", "medium", "low", "high", "unknown", "low", "medium")]),
-                            ((F.col("hero_id") * 3 + i * 5) % 7 + 1).cast("int"),
-                        )
-                        for i in range(len(DEMANDS))
-                    ]
-                ),
-            ).alias("demands"),
-            "position_credibility",
-            F.when(F.col("hero_id") % 3 == 0, "high").when(F.col("hero_id") % 3 == 1, "medium").otherwise("low").alias(
-                "empirical_support"
-            ),
-            F.when(F.col("hero_id") % 4 == 0, "medium").otherwise("high").alias("confidence"),
-        )
+        reviewed = structure.limit(0)
     return compose(structure, reviewed)
 
 
-def roster_ids(dimension: DataFrame) -> list[int]:
-    """Ids of the roster, after a check that the table is a dimension."""
-    ids = [r["hero_id"] for r in dimension.select("hero_id").limit(MAXIMUM_ROSTER + 1).collect()]
-    if len(ids) > MAXIMUM_ROSTER:
-        raise ValueError(f"a hero dimension has at most {MAXIMUM_ROSTER} rows")
-    return sorted(ids)
+def packed_roster(dimension: DataFrame) -> DataFrame:
+    """One row with the sorted ids of the roster."""
+    return dimension.agg(F.sort_array(F.collect_set("hero_id")).alias("roster"))
 
 
 EVIDENCE = T.StructType(

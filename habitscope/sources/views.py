@@ -181,3 +181,29 @@ def hero_traits(spark: SparkSession, heroes: int = 20) -> DataFrame:
 def part_heroes(spark: SparkSession, folder: str) -> DataFrame:
     """The part table as a roster of heroes, for the jobs that derive and check hero records."""
     return as_heroes(table(spark, folder, "part").select(F.col("p_partkey").cast("bigint").alias("hero_id")))
+
+
+def hero_knowledge(heroes: DataFrame) -> DataFrame:
+    """The dimension of generated heroes: fixed rules give their records demand, support and confidence bands."""
+    from habitscope.constants import DEMANDS
+    from habitscope.sources.heroes import knowledge, structural
+
+    hero = F.col("hero_id")
+    bands = F.array(*[F.lit(b) for b in ("low", "medium", "low", "high", "unknown", "low", "medium")])
+    demands = F.array(*[F.element_at(bands, ((hero * 3 + i * 5) % 7 + 1).cast("int")) for i in range(len(DEMANDS))])
+    reviewed = (
+        structural(heroes)
+        .drop("review_status")
+        .join(heroes.select("hero_id", "review_status"), "hero_id")
+        .select(
+            "hero_id",
+            "review_status",
+            "primary_functions",
+            "secondary_functions",
+            F.map_from_arrays(F.array(*[F.lit(d) for d in DEMANDS]), demands).alias("demands"),
+            "position_credibility",
+            F.when(hero % 3 == 0, "high").when(hero % 3 == 1, "medium").otherwise("low").alias("empirical_support"),
+            F.when(hero % 4 == 0, "medium").otherwise("high").alias("confidence"),
+        )
+    )
+    return knowledge(heroes, reviewed)
