@@ -1,15 +1,16 @@
 """Ordered scans per key that stay parallel when one key holds much of the table.
 
 A plain window over a key puts all rows of the key in one task.  Here a key with
-more than ``hot_rows`` rows is cut into chunks along the first ordering column, the
-window runs inside each chunk, and a small table of chunk summaries carries the
-state from chunk to chunk.
+more than ``hot_rows`` rows is cut into chunks along the ordering columns, the
+window runs inside each chunk, and a table of chunk summaries carries the state
+from chunk to chunk by running windows of its own.
 
 A table is examined once (:func:`chunked`): one pre-aggregated count per key.  Where no
 key is hot the frame only gets a marker column and every later scan is the plain window
-on one shuffle.  The list of hot keys has at most ``rows / hot_rows`` entries and the
-carry table a few entries per ``hot_rows`` rows, which is the size bound behind the
-broadcasts.
+on one shuffle.  Hot keys are cut at quantiles of the first ordering column, and inside a
+value that fills a quantile, at quantiles of the tie column, so neither long tails nor
+equal values fill a chunk.  Nothing here is broadcast by order: the summaries of a scan
+by fine keys may approach the rows in number.
 """
 
 from __future__ import annotations
@@ -18,11 +19,14 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 HOT_ROWS = 2_000_000
 CHUNK = "_chunk"
 HOT = "_hot"
+# Cuts of a hot key along each of the two columns.
+CUTS = 128
 
 
 def is_plain(df: DataFrame) -> bool:
@@ -30,13 +34,30 @@ def is_plain(df: DataFrame) -> bool:
     return CHUNK in df.columns and HOT not in df.columns
 
 
+def rank_number(column: Column, kind: T.DataType) -> Column:
+    """A number that never falls where the column rises.
+
+    Of text and bytes, the first six bytes; of a struct, that of its first field.
+    """
+    if isinstance(kind, T.StructType):
+        return rank_number(column[kind.names[0]], kind[0].dataType)
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.conv(F.rpad(F.hex(column), 12, "0"), 16, 10).cast("double")
+    return column.cast("double")
+
+
 def chunked(
-    df: DataFrame, keys: Sequence[str], order: str, hot_rows: int | None = None, plain: bool = False
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    hot_rows: int | None = None,
+    plain: bool = False,
+    tie: str | None = None,
 ) -> DataFrame:
     """Examine a frame and add chunk numbers where a key is hot.
 
-    ``order`` is numeric and not null.  Pass ``plain`` for a frame derived from one that has
-    no hot key, since it then has none either.
+    ``order`` is numeric and not null; ``tie`` is the next ordering column, for keys with many
+    equal values.  Pass ``plain`` for a frame derived from one that has no hot key, since it then has none either.
     """
     if CHUNK in df.columns:
         return df
@@ -44,23 +65,47 @@ def chunked(
         return df.withColumn(CHUNK, F.lit(0).cast("bigint"))
     limit = hot_rows or HOT_ROWS
     position = F.col(order).cast("double")
-    hot = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(position).alias("_lo"), F.max(position).alias("_hi"))
-        .where(F.col("_n") > limit)
-        .select(
-            *keys,
-            "_lo",
-            ((F.col("_hi") - F.col("_lo")) / (F.ceil(F.col("_n") / F.lit(limit)) * 4)).alias("_width"),
-        )
-    )
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(*keys)
     if hot.isEmpty():
         return df.withColumn(CHUNK, F.lit(0).cast("bigint"))
-    slot = F.floor((position - F.col("_lo")) / F.when(F.col("_width") > 0, F.col("_width")))
+    shares = F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)])
+    bounds = (
+        df.join(hot, list(keys), "left_semi")
+        .groupBy(*keys)
+        .agg(F.percentile_approx(position, shares, CUTS * 100).alias("_bounds"))
+    )
+
+    def below(cuts: str, value: Column) -> Column:
+        return F.size(F.filter(cuts, lambda b: b < value))
+
+    # A value that is a bound has a chunk number of its own, between those of its neighbours.
+    values = F.array_distinct("_bounds")
+    placed = (
+        df.join(bounds.withColumn("_bounds", values), list(keys), "left")
+        .withColumn(HOT, F.col("_bounds").isNotNull())
+        .withColumn(
+            CHUNK,
+            F.when(
+                F.col(HOT),
+                2 * below("_bounds", position) + F.array_contains("_bounds", position).cast("int"),
+            ).otherwise(0).cast("bigint"),
+        )
+        .drop("_bounds")
+    )
+    if tie is None:
+        return placed.select(*df.columns, HOT, CHUNK)
+    second = rank_number(F.col(tie), df.schema[tie].dataType)
+    heavy = (
+        placed.where(F.col(HOT))
+        .groupBy(*keys, CHUNK)
+        .agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx(second, shares, CUTS * 100).alias("_ties"))
+        .where((F.col("_n") > limit) & (F.col(CHUNK) % 2 == 1))
+        .select(*keys, CHUNK, F.array_distinct("_ties").alias("_ties"))
+    )
+    inner = F.when(F.col("_ties").isNull(), 0).otherwise(below("_ties", second))
     return (
-        df.join(F.broadcast(hot), list(keys), "left")
-        .withColumn(HOT, F.col("_lo").isNotNull())
-        .withColumn(CHUNK, F.coalesce(slot, F.lit(0)).cast("bigint"))
+        placed.join(heavy, [*keys, CHUNK], "left")
+        .withColumn(CHUNK, F.col(CHUNK) * CUTS + inner)
         .select(*df.columns, HOT, CHUNK)
     )
 
@@ -145,7 +190,7 @@ def scan(
             {n: local[f"_l_{n}"]["v"] if kind in boxed_kinds else local[f"_l_{n}"] for n, (kind, _) in specs.items()}
         )
     carried_state = df.where(F.col(HOT)).groupBy(*cell).agg(*summary).select(*cell, *carry)
-    out = df.withColumns(local).join(F.broadcast(carried_state), cell, "left")
+    out = df.withColumns(local).join(carried_state, cell, "left")
     return out.withColumns(merged).select(*[c for c in df.columns if c not in specs], *specs)
 
 

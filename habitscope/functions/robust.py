@@ -196,7 +196,7 @@ def select_without_group(
     order = (value, tie)
     one, w = F.lit(1).cast("bigint"), F.col(weight)
     cells = scan(
-        chunked(unchunked(rows), cell, value, hot_rows, plain),
+        chunked(unchunked(rows), cell, value, hot_rows, plain, tie),
         cell,
         order,
         {"_w": ("sum", w), "_all": ("total", w), "_all2": ("total", w * w), "_n": ("total", one)},
@@ -255,7 +255,7 @@ def select_without_group(
         ).alias("_q"),
     ).select(*cell, "_q._at", F.lit(0).alias("_step"), F.lit(None).cast("double").alias("_value"), group, "_q._name")
     answered = scan(
-        chunked(steps.unionByName(questions), cell, "_at", hot_rows, plain),
+        chunked(steps.unionByName(questions), cell, "_at", hot_rows, plain, "_step"),
         cell,
         ("_at", "_step"),
         {"_found": ("next", F.col("_value"))},

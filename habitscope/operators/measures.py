@@ -65,7 +65,7 @@ def match_measures(
     hot_rows: int | None = None,
 ) -> DataFrame:
     """Sessions, rates, performance and recency weight of every eligible dated match."""
-    base = chunked(matches.where(F.col("started_at").isNotNull()), ("account_id",), "started_at", hot_rows)
+    base = chunked(matches.where(F.col("started_at").isNotNull()), ("account_id",), "started_at", hot_rows, tie="match_id")
     measured = with_performance(base, hot_rows)
     if not is_plain(base):
         # Scans of a table with hot keys read it twice; start them from written files.

@@ -279,7 +279,7 @@ def newest_per_account(rows: DataFrame, limit: int, hot_rows: int | None = None)
     """The newest ``limit`` rows of every account."""
     keys, one = ("account_id",), F.lit(1).cast("bigint")
     placed = scan(
-        chunked(rows.where(F.col("started_at").isNotNull()), keys, "started_at", hot_rows),
+        chunked(rows.where(F.col("started_at").isNotNull()), keys, "started_at", hot_rows, tie="match_id"),
         keys,
         ("started_at", "match_id"),
         {"_rn": ("sum", one), "_n": ("total", one)},

@@ -209,17 +209,18 @@ def expanding_familiar(rows: DataFrame, hot_rows: int | None = None) -> DataFram
         per_chunk = (
             base.where(F.col(HOT) & valid).groupBy("account_id", CHUNK, "hero_id").agg(F.count(F.lit(1)).alias("c"))
         )
-        later = base.where(F.col(HOT)).select("account_id", F.col(CHUNK).alias("_to")).distinct()
-        # One row per hot account, chunk and hero of the chunks before it: far below the rows themselves.
+        # Every chunk of a hot account with every hero of it, so that counts run on where a hero pauses.
+        chunks = base.where(F.col(HOT)).select("account_id", CHUNK).distinct()
+        grid = chunks.join(per_chunk.select("account_id", "hero_id").distinct(), "account_id")
+        earlier = Window.partitionBy("account_id", "hero_id").orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
         carried = (
-            per_chunk.join(later, "account_id")
-            .where(F.col(CHUNK) < F.col("_to"))
-            .groupBy("account_id", F.col("_to").alias(CHUNK), "hero_id")
-            .agg(F.sum("c").alias("c"))
+            grid.join(per_chunk, ["account_id", CHUNK, "hero_id"], "left")
+            .withColumn("c", F.sum("c").over(earlier))
+            .where(F.col("c") > 0)
             .groupBy("account_id", CHUNK)
             .agg(F.map_from_entries(F.collect_list(F.struct("hero_id", "c"))).alias("carry"))
         )
-        work = work.join(F.broadcast(carried), ["account_id", CHUNK], "left")
+        work = work.join(carried, ["account_id", CHUNK], "left")
     else:
         work = work.withColumn("carry", F.lit(None).cast("map<bigint,bigint>"))
 

@@ -29,7 +29,7 @@ def sessionize(
     history), ``session_no``, ``session_index`` and ``session_corrupt``.
     """
     gap = F.col(gap_column) * 60 if gap_column else F.lit(max(1, gap_minutes) * 60)
-    dated = chunked(matches.where(F.col("started_at").isNotNull()), keys, "started_at", hot_rows)
+    dated = chunked(matches.where(F.col("started_at").isNotNull()), keys, "started_at", hot_rows, tie="match_id")
     one = F.lit(1).cast("bigint")
     neighbours = scan(
         dated,
@@ -118,7 +118,7 @@ def legacy_sessions(rows: DataFrame, gap_minutes: int = 90, hot_rows: int | None
     Undated rows come last and each opens its own session; an overlap never splits.
     """
     keys = ("account_id",)
-    dated = chunked(rows.where(F.col("started_at").isNotNull()), keys, "started_at", hot_rows)
+    dated = chunked(rows.where(F.col("started_at").isNotNull()), keys, "started_at", hot_rows, tie="match_id")
     one = F.lit(1).cast("bigint")
     placed = scan(
         dated,
@@ -179,7 +179,7 @@ def transitions(rows: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """
     keys = ("account_id",)
     placed = scan(
-        chunked(rows, keys, "started_at", hot_rows),
+        chunked(rows, keys, "started_at", hot_rows, tie="match_id"),
         keys,
         ORDER,
         {

@@ -93,7 +93,7 @@ def balanced_windows(rows: DataFrame, limit: int = 24, hot_rows: int | None = No
 def longest_streak(rows: DataFrame, value: str, hot_rows: int | None = None) -> DataFrame:
     """Longest run of neighbouring rows with the same value, per account."""
     keys = ("account_id",)
-    base = chunked(rows, keys, "started_at", hot_rows)
+    base = chunked(rows, keys, "started_at", hot_rows, tie="match_id")
     one = F.lit(1).cast("bigint")
     placed = scan(base, keys, ORDER, {"_rn": ("sum", one), "_prev": ("lag", F.col(value))})
     breaks = ~F.coalesce(F.col(value) == F.col("_prev"), F.lit(False))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from catalog.base import WINDOW_END
 from conftest import table
-from habitscope.functions.ordered import HOT
+from habitscope.functions.ordered import CHUNK, HOT, chunked, scan, unchunked
 from habitscope.functions.robust import leave_one_out, lower_weighted_median
 from habitscope.operators import baselines, elements, measures, normalize, pools, sessions, windows
 from habitscope.operators.cohorts import cohort_metrics, select_narrowest
@@ -143,3 +143,27 @@ def test_elements_run_on_a_chunked_table(spark, folder):
         assert table(scorer(plain), "account_id", "score", "sample_size") == table(
             scorer(hot), "account_id", "score", "sample_size"
         )
+
+
+def test_one_cell_of_equal_values_is_cut(spark):
+    """Half of a cell's values are equal, and its rows belong to many groups."""
+    rows = spark.range(4000).selectExpr(
+        "'all' as cell",
+        "cast(if(id % 2 = 0, 0, id % 97 * exp(id % 13)) as double) as value",
+        "cast(id as bigint) as tie",
+        "id % 500 as group",
+    )
+    cut = chunked(rows, ["cell"], "value", 100, tie="tie")
+    sizes = [r["count"] for r in cut.groupBy(CHUNK).count().collect()]
+    assert max(sizes) <= 120 and sum(sizes) == 4000
+    specs = {"_sum": ("sum", F.col("tie")), "_next": ("next", F.col("tie")), "_lag": ("lag", F.col("tie"))}
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for keys in (["cell"], ["cell", "group"]):
+            hot = unchunked(scan(cut, keys, ["value", "tie"], specs))
+            plain = unchunked(scan(chunked(rows, ["cell"], "value"), keys, ["value", "tie"], specs))
+            assert "BroadcastHashJoin" not in hot._jdf.queryExecution().executedPlan().toString()
+            assert table(hot, "tie", "group", "_sum", "_next", "_lag") == table(plain, "tie", "group", "_sum", "_next", "_lag")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
