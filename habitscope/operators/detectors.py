@@ -12,6 +12,9 @@ from habitscope.functions.expr import ratio
 from habitscope.functions.ordered import chunked, scan, unchunked
 from habitscope.operators.windows import numbered
 
+# What makes a match comparable with others; fields that a table lacks count as unknown.
+CONTEXT = ("lane_role", "average_rank", "party_size", "started_at")
+
 
 def duration_bucket(seconds: Column) -> Column:
     return F.when(seconds < 1800, "short").when(seconds <= 2700, "medium").otherwise("long")
@@ -386,6 +389,10 @@ def candidates(rows: DataFrame, primary: DataFrame, available: DataFrame | None
         families = F.array_union(families, F.coalesce("families", F.array().cast("array<string>")))
     missing = F.array_sort(F.array_except("required", families))
     deaths = F.col("deaths")
+
+    def context(name: str) -> Column:
+        return F.when(F.col(name).isNotNull(), 0.15).otherwise(0.0) if name in merged.columns else F.lit(0.0)
+
     return merged.select(
         "account_id",
         "match_id",
@@ -402,7 +409,7 @@ def candidates(rows: DataFrame, primary: DataFrame, available: DataFrame | None
             F.lit(1.0),
             0.5 + F.when(F.col("won"), 0.1).otherwise(0.0) + F.when(deaths >= 6, 0.25).otherwise(0.0),
         ).alias("contrast"),
-        F.least(F.lit(1.0), 0.4 + F.when(F.col("started_at").isNotNull(), 0.15).otherwise(0.0)).alias("comparability"),
+        F.least(F.lit(1.0), sum((context(c) for c in CONTEXT), F.lit(0.4))).alias("comparability"),
         F.when(deaths.isNull(), 0.4).otherwise(F.least(F.lit(1.0), 0.4 + deaths / 12)).alias("extremeness"),
         missing.alias("missing_families"),
         (F.size(missing) == 0).alias("already_available"),

@@ -83,8 +83,15 @@ def as_bool(value: Column) -> Column:
 
 
 def with_all_columns(raw: DataFrame) -> DataFrame:
+    """Raw rows with all known fields as text; a column of numbers with a fraction loses the fraction."""
     missing = {c: F.lit(None).cast("string") for c in RAW_COLUMNS if c not in raw.columns}
-    return raw.withColumns(missing) if missing else raw
+    fractions = (T.DoubleType, T.FloatType, T.DecimalType)
+    whole = {
+        f.name: F.col(f.name).cast("bigint").cast("string")
+        for f in raw.schema.fields
+        if f.name in RAW_COLUMNS and isinstance(f.dataType, fractions)
+    }
+    return raw.withColumns(missing | whole) if missing or whole else raw
 
 
 def fingerprint(columns: tuple[str, ...] = tuple(sorted(RAW_COLUMNS))) -> Column:

@@ -169,7 +169,14 @@ def manifest(tables: dict[str, DataFrame], version: str) -> DataFrame:
     for name, table in sorted(tables.items()):
         row = F.xxhash64(*[F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(table.columns)]))])
         one = table.agg(
-            F.count(F.lit(1)).alias("rows"), F.coalesce(F.bit_xor(row), F.lit(0).cast("bigint")).alias("checksum")
+            F.count(F.lit(1)).alias("rows"),
+            # Equal rows cancel in an exclusive or, but not in a sum.
+            F.concat_ws(
+                "-",
+                F.count(F.lit(1)),
+                F.coalesce(F.bit_xor(row), F.lit(0).cast("bigint")),
+                F.coalesce(F.sum(row.cast("decimal(38,0)")), F.lit(0)),
+            ).alias("checksum"),
         ).select(F.lit(name).alias("table"), "rows", "checksum", F.lit(version).alias("version"))
         out = one if out is None else out.unionByName(one)
     return out

@@ -12,16 +12,30 @@ from habitscope.operators.normalize import RAW_SUMMARY
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """Raw history rows of all accounts; every field is read as text and typed by the cleaning."""
-    return spark.read.schema(RAW_SUMMARY).json(path)
+    """Raw history rows of all accounts, one JSON document per line.
+
+    Every field is read as text and typed by the cleaning. Numbers lose their fraction here, while
+    it is still known that they are numbers: 12.5 counts as 12, but the text "12.5" is no whole number.
+    """
+    docs = spark.read.option("singleVariantColumn", "doc").json(path)
+
+    def field(name: str) -> Column:
+        place = f"$.{name}"
+        kind = F.schema_of_variant(F.try_variant_get("doc", place, "variant"))
+        whole = F.try_variant_get("doc", place, "double").cast("bigint").cast("string")
+        text = F.try_variant_get("doc", place, "string")
+        return F.when(kind.rlike("^(DOUBLE|FLOAT|DECIMAL)"), whole).otherwise(text)
+
+    return docs.select(*[field(f.name).cast(f.dataType).alias(f.name) for f in RAW_SUMMARY.fields])
 
 
-def read_detail(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(DETAIL).json(path, multiLine=True)
+def read_detail(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
+    """Match details, one document per file, or with ``per_line`` one per line, so that files can be split."""
+    return spark.read.schema(DETAIL).json(path, multiLine=not per_line)
 
 
-def read_roster(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(HERO_DETAIL).json(path, multiLine=True)
+def read_roster(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
+    return spark.read.schema(HERO_DETAIL).json(path, multiLine=not per_line)
 
 
 _ENDPOINTS = {
@@ -114,7 +128,8 @@ def latest_payload(stored: DataFrame, now: int, max_age: int) -> DataFrame:
     return (
         stored.where(F.col("fetched_at") >= now - max_age)
         .groupBy("endpoint", "source_id")
-        .agg(F.max_by("payload_hash", "fetched_at").alias("payload_hash"), F.max("fetched_at").alias("fetched_at"))
+        .agg(F.max(F.struct("fetched_at", "payload_hash")).alias("_last"))
+        .select("endpoint", "source_id", "_last.payload_hash", "_last.fetched_at")
     )
 
 

@@ -77,3 +77,26 @@ def test_a_partitioned_table_is_overwritten_by_partition(spark, tmp_path):
     store.write_table(rows.where("part = 1").withColumn("id", F.col("id") + 100), path, "part", "id")
     got = sorted(r["id"] for r in spark.read.parquet(path).collect())
     assert got == [0, 2, 4, 6, 8, 101, 103, 105, 107, 109]
+
+
+def test_numbers_lose_their_fraction_and_texts_do_not(spark, tmp_path):
+    (tmp_path / "n.json").write_text('{"match_id": 7, "kills": 12.5, "deaths": 12.0, "assists": "12.5"}\n{"match_id": "8", "kills": null}\n')
+    got = store.read_history(spark, str(tmp_path / "n.json")).orderBy("match_id").collect()
+    assert [(r.match_id, r.kills, r.deaths, r.assists) for r in got] == [("7", "12", "12", "12.5"), ("8", None, None, None)]
+    typed = spark.createDataFrame([(12.5, "12.5")], "kills double, deaths string")
+    row = normalize.with_all_columns(typed).first()
+    assert (row.kills, row.deaths) == ("12", "12.5")
+
+
+def test_equal_rows_do_not_cancel_in_a_checksum(spark):
+    from habitscope.operators.quality import manifest
+
+    one, three = spark.range(2, 3), spark.createDataFrame([(2,), (2,), (2,)], "id long")
+    sums = [r.checksum for r in manifest({"a": one, "b": three}, "1").collect()]
+    assert sums[0] != sums[1]
+
+
+def test_latest_payload_of_equal_times(spark):
+    rows = [("e", "1", "b", 5), ("e", "1", "a", 5), ("e", "1", "c", 4)]
+    frame = spark.createDataFrame(rows, "endpoint string, source_id string, payload_hash string, fetched_at long")
+    assert store.latest_payload(frame, 6, 10).first().payload_hash == "b"
