@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from catalog.base import GAP, MATCH_ROWS, WINDOW_END, matches, register
 from catalog.deep import _plan
 from catalog.detail import DETAIL_SQL, rows
-from catalog.heroes import KNOW_SQL, knowledge, traits
+from catalog.heroes import KNOW_SQL, ROSTER, knowledge, traits
 from habitscope.operators import detectors
 from habitscope.operators import knowledge as K
 from habitscope.operators import matches as M
@@ -348,7 +348,7 @@ def out_tiers(spark, folder):
 
 def _analysis(spark, folder):
     return report.analyse(
-        matches(spark, folder), traits(spark), knowledge(spark), WINDOW_END, GAP, (360, GAP, 1440)
+        matches(spark, folder), views.hero_traits(spark, ROSTER), knowledge(spark, ROSTER), WINDOW_END, GAP, (360, GAP, 1440)
     )
 
 
@@ -357,9 +357,24 @@ def out_elements(spark, folder):
     return _analysis(spark, folder)["elements"]
 
 
+@register("out_pattern_actions")
+def out_pattern_actions(spark, folder):
+    """All eleven patterns over scored elements, with what stands behind the qualified ones."""
+    table = _analysis(spark, folder)["patterns"]
+    return table.select(
+        "account_id",
+        "pattern",
+        "status",
+        "action_status",
+        "outcome",
+        "recommendation",
+        F.col("action.action_confidence").alias("action_confidence"),
+    )
+
+
 @register("out_reports")
 def out_reports(spark, folder):
-    table = report.reports(_analysis(spark, folder))
+    table = report.reports(_analysis(spark, folder), secret="catalog")
     return table.select(
         "account_id",
         "report_id",
@@ -374,7 +389,7 @@ def out_reports(spark, folder):
 
 @register("out_public")
 def out_public(spark, folder):
-    table = report.public_projection(report.reports(_analysis(spark, folder)))
+    table = report.public_projection(report.reports(_analysis(spark, folder), secret="catalog"))
     return table.select(
         "report_id", "tier", "overall", F.to_json("elements").alias("elements"), "evolution", "mirror"
     )

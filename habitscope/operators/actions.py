@@ -374,13 +374,11 @@ def versatile_core(rows: DataFrame, knowledge: DataFrame) -> DataFrame:
 
 def versatile_additions(rows: DataFrame, core: DataFrame, knowledge: DataFrame) -> DataFrame:
     """Heroes that would fill the first gap of a qualified core."""
-    gaps = core.where(F.col("qualified") & F.col("primary_gap").isNotNull()).select("account_id", "primary_gap")
-    out = None
-    for family in FAMILIES:
-        mine = rows.join(gaps.where(F.col("primary_gap") == family).select("account_id"), "account_id", "left_semi")
-        one = P.recommend(P.rationales(mine, knowledge, "fill_gap", F.lit(family))).withColumn("family", F.lit(family))
-        out = one if out is None else out.unionByName(one)
-    return out
+    gaps = core.where(F.col("qualified") & F.col("primary_gap").isNotNull())
+    gaps = gaps.select("account_id", F.col("primary_gap").alias("target_family"))
+    mine = rows.join(gaps.select("account_id"), "account_id", "left_semi")
+    picked = P.recommend(P.rationales(mine, knowledge, "fill_gap", targets=gaps))
+    return picked.join(gaps.withColumnRenamed("target_family", "family"), "account_id")
 
 
 # Proven flexibility --------------------------------------------------------------------------

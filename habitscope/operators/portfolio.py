@@ -1029,8 +1029,18 @@ def observed_semantics(rows: DataFrame, knowledge: DataFrame) -> DataFrame:
     return heroes.join(demands, "account_id", "left").join(credible_roles(rows), "account_id", "left")
 
 
-def rationales(rows: DataFrame, knowledge: DataFrame, intent: str = "adjacent_move", family: Column | None = None) -> DataFrame:
-    """Fit bands, anchors, additions and the rank of every unused hero for every account."""
+def rationales(
+    rows: DataFrame,
+    knowledge: DataFrame,
+    intent: str = "adjacent_move",
+    family: Column | None = None,
+    targets: DataFrame | None = None,
+) -> DataFrame:
+    """Fit bands, anchors, additions and the rank of every unused hero for every account.
+
+    The family that ``fill_gap`` looks for is one for all (``family``) or each account's own (``targets``:
+    account_id, target_family; other accounts are left out).
+    """
     state = observed_semantics(rows, knowledge).withColumns(
         {
             "roles": F.coalesce("roles", F.array().cast("array<string>")),
@@ -1038,6 +1048,8 @@ def rationales(rows: DataFrame, knowledge: DataFrame, intent: str = "adjacent_mo
             "target_family": family if family is not None else F.lit(None).cast("string"),
         }
     )
+    if targets is not None:
+        state = state.drop("target_family").join(targets.select("account_id", "target_family"), "account_id")
     pool = F.array_except("roster", "used")
     records = knowledge.select(
         "hero_id",

@@ -144,3 +144,27 @@ def test_pages_become_articles(spark):
     assert [r["page_id"] for r in rejected.collect()] == [2]
     document = text.documents(done).first()["text"]
     assert document.startswith('---\ntitle: "Big day"\ndate: "2024-03-05"\n')
+
+
+def test_additions_fill_each_account_s_own_gap(spark, folder):
+    """One pass with a family for each account gives what one pass for each family gives."""
+    from pyspark.sql import functions as F
+
+    from habitscope.operators import actions, portfolio
+    from habitscope.sources import views
+
+    rows = views.match_rows(spark, folder)
+    known = views.hero_knowledge(views.hero_traits(spark, 127))
+    core = rows.select("account_id").distinct().select(
+        "account_id",
+        F.lit(True).alias("qualified"),
+        F.when(F.col("account_id") % 3 == 0, "engage_control").when(F.col("account_id") % 3 == 1, "map_objectives").alias("primary_gap"),
+    )
+    got = actions.versatile_additions(rows, core, known)
+    want = None
+    for family in ("engage_control", "map_objectives"):
+        mine = rows.join(core.where(F.col("primary_gap") == family).select("account_id"), "account_id", "left_semi")
+        one = portfolio.recommend(portfolio.rationales(mine, known, "fill_gap", F.lit(family))).withColumn("family", F.lit(family))
+        want = one if want is None else want.unionByName(one)
+    rows_of = lambda df: sorted(tuple(r) for r in df.select("account_id", "rank", "hero_id", "family").collect())
+    assert rows_of(got) == rows_of(want) and rows_of(got)
