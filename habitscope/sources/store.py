@@ -134,7 +134,7 @@ def latest_payload(stored: DataFrame, now: int, max_age: int) -> DataFrame:
 
 
 def purge(
-    reports: DataFrame, evidence: DataFrame, payloads: DataFrame, now: int, retention: int
+    reports: DataFrame, evidence: DataFrame, payloads: DataFrame, now: int | Column, retention: int
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """What stays of reports, evidence and payloads, and how many rows go."""
     old = (F.col("expires_at") <= now) | (F.col("created_at") < now - retention)
@@ -165,7 +165,7 @@ def history_hash(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     )
 
 
-def reusable(wanted: DataFrame, reports: DataFrame, now: int, ttl: int) -> DataFrame:
+def reusable(wanted: DataFrame, reports: DataFrame, now: int | Column, ttl: int) -> DataFrame:
     """The newest finished report per wanted account, model, mode and unchanged history, young enough.
 
     ``wanted`` has account_id, fingerprint, mode, history_hash and identity; accounts missing
