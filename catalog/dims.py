@@ -9,6 +9,7 @@ from catalog.base import (
     GAP,
     MATCH_ROWS,
     WINDOW_END,
+    loo,
     matches,
     measured,
     measures,
@@ -166,7 +167,24 @@ def elm_gap_agreement(spark, folder):
     return dimensions.gap_agreement(scores, 720)
 
 
-@register("dim_endurance_by_gap")
+_BY_GAP = " union all ".join(
+    f"""select t.account_id, {g} as gap, coalesce(f + l, 0) as sample_size, case when k >= 12 and f >= 15 and l >= 12 then greatest(0, least(1, 0.5 + slope / 0.8)) end as score
+    from (select distinct account_id from s{g}) t left join e{g}_score using (account_id)"""
+    for g in GAPS
+)
+
+
+@register(
+    "dim_endurance_by_gap",
+    f"with {MATCH_ROWS},{loo('match_rows')}"
+    + "".join(
+        f",{sessionized(g, 'perf', f's{g}')},{session_table(g, f's{g}', f'sess{g}')},"
+        + _ENDURANCE.format(rows=f"s{g}", sess=f"sess{g}").replace("e_", f"e{g}_")
+        for g in GAPS
+    )
+    + f" {_BY_GAP}",
+    "score",
+)
 def dim_endurance_by_gap(spark, folder):
     keys = ("account_id", "gap")
     rows = sessions.by_gap(with_performance(matches(spark, folder)), GAPS)
