@@ -165,6 +165,12 @@ def sel_plan(spark, folder):
     return _plan(spark, folder)[3]
 
 
+@register("sel_state")
+def sel_state(spark, folder):
+    _, primary, options, plan = _plan(spark, folder)
+    return detectors.plan_state(plan, options, primary).withColumn("open_needs", F.to_json("open_needs"))
+
+
 @register("join_hydration")
 def join_hydration(spark, folder):
     _, _, options, plan = _plan(spark, folder)

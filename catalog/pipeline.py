@@ -401,9 +401,14 @@ def out_deep_report(spark, folder):
     table, primary, options, plan = _plan(spark, folder)
     features = table.withColumn("gold_per_min", F.col("kills") * 20 + F.col("assists") * 5)
     findings = detectors.evaluate_hypotheses(primary, plan, options, features)
-    out = report.deep_report(plan, findings)
+    out = report.deep_report(plan, findings, state=detectors.plan_state(plan, options, primary))
     return out.select(
-        "account_id", F.to_json("selection").alias("selection"), F.to_json("findings").alias("findings")
+        "account_id",
+        F.to_json("selection").alias("selection"),
+        F.to_json("findings").alias("findings"),
+        "stopping_reason",
+        "cost",
+        F.to_json("open_needs").alias("open_needs"),
     )
 
 

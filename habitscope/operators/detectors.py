@@ -515,6 +515,51 @@ def plan_selection(
     )
 
 
+def plan_state(
+    plan: DataFrame,
+    options: DataFrame,
+    primary: DataFrame,
+    limit: int = 25,
+    max_cost: float = 50.0,
+    target: int = 3,
+) -> DataFrame:
+    """Why each account's selection stopped, what it costs, and the evidence it still lacks.
+
+    One row for each account with a hypothesis; ``open_needs`` lists hypothesis, group and matches missing,
+    at most three groups of three hypotheses.
+    """
+    chosen = plan.join(options.select("account_id", "match_id", "detail_cost"), ["account_id", "match_id"])
+    spent = chosen.groupBy("account_id").agg(F.count(F.lit(1)).alias("selected"), F.sum("detail_cost").alias("cost"))
+    offered = options.groupBy("account_id").agg(F.count_distinct("match_id").alias("offered"))
+    given = (
+        plan.where(F.col("supports") != "")
+        .select("account_id", F.explode(F.split("supports", ";")).alias("s"))
+        .groupBy("account_id", F.substring_index("s", "=", 1).alias("hypothesis_id"), F.substring_index("s", "=", -1).alias("group"))
+        .agg(F.count(F.lit(1)).alias("given"))
+    )
+    groups = F.explode(F.array(*[F.lit(g) for g in ("control", "negative", "positive")]))
+    needs = primary.select("account_id", "hypothesis_id").distinct().select("*", groups.alias("group"))
+    missing = F.lit(target) - F.coalesce("given", F.lit(0))
+    left = needs.join(given, ["account_id", "hypothesis_id", "group"], "left").groupBy("account_id").agg(
+        F.array_sort(
+            F.collect_list(F.when(missing > 0, F.struct("hypothesis_id", "group", missing.alias("missing"))))
+        ).alias("open_needs")
+    )
+    selected, cost = F.coalesce("selected", F.lit(0)), F.coalesce("cost", F.lit(0.0))
+    return left.join(spent, "account_id", "left").join(offered, "account_id", "left").select(
+        "account_id",
+        selected.alias("selected"),
+        cost.alias("cost"),
+        F.when(selected >= limit, "max_deep_matches")
+        .when(cost >= max_cost, "max_data_cost")
+        .when(F.coalesce("offered", F.lit(0)) == 0, "no_candidates")
+        .when(selected >= F.col("offered"), "evidence_sufficient")
+        .otherwise("marginal_gain_exhausted")
+        .alias("stopping_reason"),
+        "open_needs",
+    )
+
+
 def hydrate(plan: DataFrame, stored: DataFrame, options: DataFrame) -> DataFrame:
     """Where each planned match gets its detail from: stored, not needed, or to be read."""
     flags = options.select("account_id", "match_id", "already_available")

@@ -40,6 +40,26 @@ def test_selection_matches_a_plain_greedy_loop(spark):
         for need in best[2]:
             left[need] -= 1
     assert got == want
+    state = detectors.plan_state(detectors.plan_selection(frame, primary, 12, 6.0), frame, primary, 12, 6.0).first()
+    assert state.selected == len(want) and state.cost == cost
+    assert {(n.hypothesis_id, n.group): n.missing for n in state.open_needs} == {k: v for k, v in left.items() if v}
+    full, spent = len(want) >= 12, cost >= 6.0
+    assert state.stopping_reason == ("max_deep_matches" if full else "max_data_cost" if spent else "marginal_gain_exhausted")
+
+
+def test_equal_gains_take_the_smaller_match(spark):
+    """Many candidates of one role and cost tie after rounding; the cut to the best ones keeps the smallest ids."""
+    import random
+
+    chance = random.Random(11)
+    options = [(1, m, {"h": "positive"}, chance.choice([0.2, 0.4, 0.4 + 1e-12]), 1.0) for m in chance.sample(range(1000), 300)]
+    frame = spark.createDataFrame(
+        options, "account_id bigint, match_id bigint, evidence_roles map<string,string>, base_value double, detail_cost double"
+    )
+    primary = spark.createDataFrame([(1, "h", 0.5, 1)], "account_id bigint, hypothesis_id string, priority double, place int")
+    got = [r["match_id"] for r in detectors.plan_selection(frame, primary).orderBy("selection_order").collect()]
+    best = max(o[3] for o in options)
+    assert got == sorted(o[1] for o in options if o[3] == best)[: len(got)] and len(got) == 3
 
 
 def test_recommendations_pass_over_covered_additions(spark):
