@@ -68,7 +68,7 @@ class Model:
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bucket counts of each text: at most 2^15 numbers, however long it is."""
+    """Bucket counts of each text: at most 2^15 pairs of 16-bit numbers, however long it is."""
     for batch in slices(batches, "text"):
         data, bounds = column_bytes(batch, "text")
         pairs = list(grams(data, bounds))
@@ -76,11 +76,11 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for begin, end in zip(bounds[:-1], bounds[1:], strict=True):
             own = [b[begin:end][c[begin:end]] for b, c in pairs]
             found, times = np.unique(np.concatenate(own) if own else np.empty(0, np.int32), return_counts=True)
-            buckets.append(found.astype(np.int32))
-            counts.append(times.astype(np.float32))
+            buckets.append(found.astype(np.int16))
+            counts.append(np.minimum(times, 32767).astype(np.int16))
         kept = batch.column(batch.schema.get_field_index("lang"))
         yield pa.RecordBatch.from_arrays(
-            [kept, pa.array(buckets, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.float32()))],
+            [kept, pa.array(buckets, pa.list_(pa.int16())), pa.array(counts, pa.list_(pa.int16()))],
             names=["lang", "buckets", "counts"],
         )
 
@@ -115,17 +115,33 @@ def fit(
     bucket counts. Small samples are gone through more often, for ``least_steps`` steps in all. The threshold is the score that a share ``reject`` of the unfitted sample stays under, but
     never more than ``most``, so that clear texts are not lost.
     """
-    bags = training_rows(docs, per_language, seed).mapInArrow(_bags, "lang string, buckets array<int>, counts array<float>")
-    sample = bags.toPandas()
-    sample = sample[sample.counts.map(len) > 0].reset_index(drop=True)
-    if not len(sample):
+    bags = training_rows(docs, per_language, seed).mapInArrow(_bags, "lang string, buckets array<short>, counts array<short>")
+    # Two flat arrays instead of objects for each row keep the driver small.
+    sample = bags.where(F.size("buckets") > 0).toArrow()
+    if not sample.num_rows:
         return None
-    languages = sorted(sample.lang.unique())
-    target = np.searchsorted(languages, sample.lang)
+    names = sample.column("lang").to_pylist()
+    languages = sorted(set(names))
+    target = np.searchsorted(languages, names)
+    flat = {}
+    for name in ("buckets", "counts"):
+        column = sample.column(name).combine_chunks()
+        flat[name] = column.flatten().to_numpy()
+        ends = np.cumsum(column.value_lengths().to_numpy())
+    del sample, column
+    begins = np.concatenate([[0], ends[:-1]])
+
+    def bag(r: int) -> tuple[np.ndarray, np.ndarray]:
+        return flat["buckets"][begins[r] : ends[r]], flat["counts"][begins[r] : ends[r]].astype(np.float32)
+
     random = np.random.default_rng(seed)
     # A fixed order whatever order the rows came in.
-    key = [(len(b), float(np.sum(np.asarray(b, np.float64) * c)), t) for b, c, t in zip(sample.buckets, sample.counts, target, strict=True)]
-    order = np.array(sorted(range(len(sample)), key=key.__getitem__))
+    weights = np.arange(1, (1 << BUCKET_BITS) + 1, dtype=np.float64)
+    key = []
+    for r in range(len(names)):
+        buckets, counts = bag(r)
+        key.append((len(buckets), float(weights[buckets] @ counts), int(target[r])))
+    order = np.array(sorted(range(len(key)), key=key.__getitem__))
     order = order[random.permutation(len(order))]
     split = max(1, len(order) - len(order) // 5)
     fitted, unfitted = order[:split], order[split:]
@@ -136,11 +152,11 @@ def fit(
     def dense(picked: np.ndarray, thin: bool) -> np.ndarray:
         out = np.zeros((len(picked), rows), np.float32)
         for i, r in enumerate(picked):
-            counts = np.asarray(sample.counts[r])
+            buckets, counts = bag(r)
             if thin and random.random() < 0.5:
                 # Half of the examples stand for short texts: some 30 of their grams.
                 counts = random.binomial(counts.astype(np.int64), min(1.0, 30 / counts.sum())).astype(np.float32)
-            out[i, sample.buckets[r]] = counts / max(counts.sum(), 1.0)
+            out[i, buckets] = counts / max(counts.sum(), 1.0)
         return out
 
     size = 32
@@ -168,7 +184,7 @@ def fit(
             embedding -= pace * 100 * (x.T @ slope)
     model = Model(languages, embedding @ linear, bias)
     checked = unfitted if len(unfitted) else fitted
-    logits = np.concatenate([dense(checked[i : i + 256], False) @ model.table + bias for i in range(0, len(checked), 256)])
+    logits = np.concatenate([dense(checked[i : i + size], False) @ model.table + bias for i in range(0, len(checked), size)])
     truth = target[checked]
     losses = []
     tried = np.exp(np.linspace(np.log(0.05), np.log(20), 60))
@@ -183,7 +199,7 @@ def fit(
 def _predict(model: Model, names: list[str]):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels = np.array(model.languages, object)
-        for batch in slices(batches, "text", 1 << 21):
+        for batch in slices(batches, "text"):
             data, bounds = column_bytes(batch, "text")
             total = np.zeros((batch.num_rows, len(labels)), np.float64)
             number = np.zeros(batch.num_rows, np.float64)
