@@ -22,8 +22,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+# Rows of an Arrow batch; the default of 10,000 may be 100 MB and more of whole texts.
+BATCH_ROWS = "500"
+
+
 def texts(docs: DataFrame, *also: str) -> DataFrame:
-    """doc_id, text and the named columns only, so that no other column can clash; a null text is empty."""
+    """doc_id, text and the named columns only, so that no other column can clash; a null text is empty.
+
+    Texts go to Python in small batches from here on.
+    """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *also)
 
 
@@ -59,7 +67,7 @@ def column_bytes(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarr
     return whole[limits[0] : limits[-1]], limits - limits[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], name: str, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], name: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most`` bytes of text; a longer text is a batch of its own."""
     for batch in batches:
         if not batch.num_rows:

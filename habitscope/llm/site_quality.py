@@ -170,8 +170,8 @@ def posteriors(
     plain join, which adaptive execution splits, afterwards.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    text = F.coalesce(F.col("text"), F.lit("")).alias("text")
-    rows = docs.select("doc_id", host.cast("string").alias("host"), path.cast("string").alias("path"), text)
+    sites = docs.select("doc_id", "text", host.cast("string").alias("host"), path.cast("string").alias("path"))
+    rows = texts(sites, "host", "path")
     if model is None:
         model = Classifier(np.zeros(MEASURES), np.ones(MEASURES), np.zeros(2 * MEASURES + 1), 0.5)
     scored = rows.mapInArrow(_scored(model), f"doc_id {kind}, host string, path string, logit double")

@@ -11,6 +11,7 @@ import base64
 import hashlib
 import json
 import re
+from functools import cached_property
 
 import numpy as np
 
@@ -42,31 +43,44 @@ def version(paths: tuple[str, str]) -> str:
 
 
 class Tokenizer:
-    def __init__(self, library_path: str, ranks_path: str):
-        import public_tokenizers
-        import tiktoken
-        import tokenizers
+    """Parts are loaded when first needed: decoding needs the pieces only, and few texts need the library."""
 
+    def __init__(self, library_path: str, ranks_path: str):
+        self.library_path = library_path
         with open(library_path, encoding="utf-8") as file:
             described = json.load(file)
         self.special = {t["content"]: int(t["id"]) for t in described["added_tokens"]}
+        del described
         with open(ranks_path, "rb") as file:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-        self.plain = tiktoken.Encoding(
-            "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
-        )
-        self.library = tokenizers.Tokenizer.from_file(library_path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        size = max([*ranks.values(), *self.special.values()]) + 1
+            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+        size = max([*self.ranks.values(), *self.special.values()]) + 1
         self.pieces = [b""] * size
-        for piece, rank in ranks.items():
+        for piece, rank in self.ranks.items():
             self.pieces[rank] = piece
         for text, rank in self.special.items():
             self.pieces[rank] = text.encode()
         self.lengths = np.array([len(p) for p in self.pieces], np.int64)
         self._parts = re.compile("|".join(sorted(map(re.escape, self.special), key=len, reverse=True)))
-        self._long = re.compile(rf"\S{{{LONG_RUN // 2}}}\S{{{LONG_RUN // 2}}}|\s{{{LONG_RUN // 2}}}\s{{{LONG_RUN // 2}}}")
+        half = LONG_RUN // 2
+        self._long = re.compile(rf"\S{{{half}}}\S{{{half}}}|\s{{{half}}}\s{{{half}}}")
+
+    @cached_property
+    def plain(self):
+        import public_tokenizers
+        import tiktoken
+
+        return tiktoken.Encoding(
+            "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=self.ranks, special_tokens={}
+        )
+
+    @cached_property
+    def library(self):
+        import tokenizers
+
+        loaded = tokenizers.Tokenizer.from_file(self.library_path)
+        loaded.no_truncation()
+        loaded.no_padding()
+        return loaded
 
     def segments(self, text: str) -> list[tuple[str, int | None]]:
         """Plain stretches and special strings, in order; the id is None for a plain stretch."""
