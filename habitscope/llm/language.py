@@ -86,16 +86,18 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def training_rows(docs: DataFrame, per_language: int, seed: int) -> DataFrame:
-    """About ``per_language`` documents of each language, by a seeded hash; all of a language that has fewer."""
-    labelled = docs.where(F.col("lang").isNotNull() & has_letters(F.col("text"))).select("doc_id", "lang", "text")
-    rates = (
-        docs.where(F.col("lang").isNotNull())
-        .groupBy("lang")
-        .agg((F.lit(per_language) / F.count("*")).alias("rate"))
-        .select(F.col("lang").alias("of"), "rate")
-    )
+    """About ``per_language`` documents of each language, by a seeded hash; all of a language that has fewer.
+
+    The counts of the languages come to the driver, as the languages themselves do with the model: the sample is
+    then a filter of the scan and no text is shuffled.
+    """
+    labelled = docs.where(F.col("lang").isNotNull())
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()
+    if not counts:
+        return labelled.select("lang", "text").limit(0)
+    rates = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], per_language / r["n"])])
     place = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) / (1 << 30)
-    return labelled.join(rates, F.col("lang") == F.col("of")).where(place < F.col("rate")).select("lang", "text")
+    return labelled.where((place < rates[F.col("lang")]) & has_letters(F.col("text"))).select("lang", "text")
 
 
 def fit(
