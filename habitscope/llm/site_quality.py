@@ -82,7 +82,8 @@ class Classifier:
         # Standard scores are held to 6, so that no single measure outweighs all others.
         z = np.clip((values - self.mean) / self.scale, -6, 6)
         z = np.concatenate([z, z * z], axis=1)
-        return (z @ self.weights[:-1] + self.weights[-1]).clip(-12, 12)
+        # Row by row, so that a document's evidence does not depend on the batch it came in.
+        return ((z * self.weights[:-1]).sum(axis=1) + self.weights[-1]).clip(-12, 12)
 
 
 def train(values: np.ndarray, good: np.ndarray, shrink: float = 1.0, rounds: int = 30) -> Classifier:
