@@ -79,7 +79,8 @@ def exact_groups(docs: DataFrame, bits: int = 64) -> DataFrame:
     kind = docs.schema["doc_id"].dataType
     listed = written(recipes(docs, bits), "recipes")
     groups = listed.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    several = groups.where("group_size > 1").withColumnRenamed("recipe", "shared_recipe")
+    # Written, so that both sides of the join are plain shuffles, which adaptive execution can split.
+    several = written(groups.where("group_size > 1").withColumnRenamed("recipe", "shared_recipe"), "copy-groups")
     joined = listed.join(several, F.col("recipe") == F.col("shared_recipe"), "left")
     missing = F.col("group_size").isNull()
     keep = F.when(missing, F.col("doc_id")).otherwise(F.col("keep_id")).cast(kind)
