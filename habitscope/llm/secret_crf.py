@@ -2,7 +2,8 @@
 
 The field tags every token as the begin of a secret, inside of one, or outside. Its features are the token's shape,
 the tokens around it and measures of the whole file; the best tags come from the Viterbi algorithm. It is trained
-here: on a sample of documents, whose tokens inside a pattern match are secrets.
+here: on a sample of documents, whose tokens inside a pattern match are secrets. Documents with a match and those
+without are sampled apart, so that rare secrets are learned from in a table of any size.
 
 Decoding is exact but mostly skipped: where the score of a token speaks against a secret by more than all that a
 change of neighbouring tags could win, the best path is outside there, and the path falls apart into the short
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from habitscope.llm.common import byte_table, column_bytes, runs, slices, texts
+from habitscope.llm.common import byte_table, column_bytes, runs, slices, texts, written
 
 KINDS = ("assign", "access", "hex", "crf")
 # The patterns of the base kinds. All their characters are ASCII, so bytes can be searched.
@@ -293,11 +294,41 @@ def spans_text(spans: Column) -> Column:
 _STRETCH = 128
 
 
-def _examples(one_in: int):
-    """Token codes and tags of a text in stretches; all with a secret, and one in so many of the others."""
+def _place(seed: int) -> Column:
+    """A seeded hash of a row; rows that repeat doc_id and text have one place."""
+    return F.xxhash64(F.lit(seed), "doc_id", "text")
+
+
+def _matched(batch: pa.RecordBatch) -> np.ndarray:
+    """For each row: whether a base match there has a token to tag, as all have but those inside a longer word."""
+    data, bounds = column_bytes(batch, "text")
+    view = data.tobytes()
+    out = np.zeros(batch.num_rows, bool)
+    for row, _, _, _, secret in base_spans(view, data, bounds, places(view.translate(_FOLD), KEYWORDS)):
+        out[row] |= secret == bounds[row] or not _IS_WORD[data[secret - 1]]
+    return out
+
+
+def _tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text"):
+        place = batch.column(batch.schema.get_field_index("place"))
+        yield pa.RecordBatch.from_arrays([place, pa.array(_matched(batch))], names=["place", "matched"])
+
+
+def _examples(one_in: int, most: dict[bool, int]):
+    """Token codes and tags of the sampled texts in stretches; all with a secret, and one in so many of the others.
+
+    A text is sampled up to the place in ``most``, by whether it has a match.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
+            matched = _matched(batch)
+            place = batch.column(batch.schema.get_field_index("place")).to_numpy()
+            taken = place <= np.where(matched, most[True], most[False])
+            if not taken.any():
+                continue
+            batch, matched, place = batch.filter(pa.array(taken)), matched[taken], place[taken]
             data, bounds = column_bytes(batch, "text")
             view = data.tobytes()
             keywords = places(view.translate(_FOLD), KEYWORDS)
@@ -311,7 +342,7 @@ def _examples(one_in: int):
                     tags[a] = BEGIN
             row = np.searchsorted(bounds, tokens.starts, side="right") - 1
             codes = np.stack([tokens.shape, *tokens.before, tokens.file, tags]) if len(tags) else np.empty((7, 0), np.int64)
-            out = []
+            out, owner, at_token, secret = [], [], [], []
             edges = np.flatnonzero(np.diff(row)) + 1
             for begin, end in zip([0, *edges.tolist()], [*edges.tolist(), len(tags)], strict=True):
                 at = begin
@@ -322,8 +353,20 @@ def _examples(one_in: int):
                     own = codes[:, at:stop]
                     if own[6].any() or int((own[0] * np.arange(1, own.shape[1] + 1)).sum()) % one_in == 0:
                         out.append(own.astype(np.int32).ravel())
+                        owner.append(int(row[at]))
+                        at_token.append(at - begin)
+                        secret.append(bool(own[6].any()))
                     at = stop
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32()))], names=["codes"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(place[owner], pa.int64()),
+                    pa.array(matched[owner], pa.bool_()),
+                    pa.array(at_token, pa.int32()),
+                    pa.array(secret, pa.bool_()),
+                    pa.array(out, pa.list_(pa.int32())),
+                ],
+                names=["place", "matched", "at", "secret", "codes"],
+            )
 
     return rows
 
@@ -343,19 +386,46 @@ def _shape_parts() -> tuple[np.ndarray, int]:
     return np.concatenate([table, signs]), int(offsets[-1] + 5)
 
 
-def fit(docs: DataFrame, sample: int = 4000, one_in: int = 32, rounds: int = 60, seed: int = 1) -> Model | None:
-    """A field trained on about ``sample`` documents, taken by a seeded hash; None where they hold no secret.
+def fit(
+    docs: DataFrame, sample: int = 4000, one_in: int = 32, rounds: int = 60, seed: int = 1, least_share: float = 0.01
+) -> Model | None:
+    """A field trained on ``sample`` documents, the first by a seeded hash; None only where the whole table has no match.
 
-    All stretches of some 128 tokens with a secret go to the driver as codes, and one in ``one_in`` of the others.
+    All documents are tagged with the base patterns first. A quarter of the sample, or as many as there are, has a
+    match, however rare those are among all; a table of up to ``sample`` rows is used in full. Documents with and
+    without a match weigh in training as much as in the table, but those with one at least ``least_share`` of all.
+    Rows that repeat doc_id and text count once. Of the sample, all stretches of some 128 tokens with a secret go to
+    the driver as codes, and one in ``one_in`` of the others; at most ``sample`` of each, by a hash.
     """
-    rows = docs.count()
-    place = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) / (1 << 30)
-    taken = texts(docs).where(place < sample / max(rows, 1)).select("text")
-    got = [np.asarray(c, np.int64).reshape(7, -1) for c in taken.mapInArrow(_examples(one_in), "codes array<int>").toPandas().codes]
-    if not any(c[6].any() for c in got):
+    placed = texts(docs).withColumn("place", _place(seed))
+    seen = written(placed.select("place", "text").mapInArrow(_tagged, "place long, matched boolean"), "base-tags").distinct()
+    count = {r["matched"]: r["n"] for r in seen.groupBy("matched").agg(F.count("*").alias("n")).collect()}
+    with_match, without = count.get(True, 0), count.get(False, 0)
+    if not with_match:
         return None
-    got.sort(key=lambda c: (c.shape[1], c.tobytes()))
-    return train(got + [hidden(c) for c in got if c[6].any()], rounds)
+    size = {True: min(with_match, max(sample // 4, sample - without, 1))}
+    size[False] = min(without, max(sample - size[True], 0))
+    most = {}
+    for matched, number in size.items():
+        first = seen.where(F.col("matched") == matched).orderBy("place").limit(number)
+        last = first.agg(F.max("place").alias("place")).first()["place"]
+        most[matched] = -(1 << 63) if last is None else last
+    stretches = (
+        placed.select("place", "text")
+        .where(F.col("place") <= max(most.values()))
+        .mapInArrow(_examples(one_in, most), "place long, matched boolean, at int, secret boolean, codes array<int>")
+        .dropDuplicates(["place", "at"])
+    )
+    listed = written(stretches, "secret-stretches")
+    got = []
+    for secret in (True, False):
+        rows = listed.where(F.col("secret") == secret).orderBy(F.xxhash64("codes", "place"), "place", "at").limit(sample)
+        got += [(np.asarray(r.codes, np.int64).reshape(7, -1), r.matched) for r in rows.toPandas().itertuples()]
+    share = max(with_match / (with_match + without), least_share) if without else 1.0
+    weight = {True: share / size[True], False: (1 - share) / max(size[False], 1)}
+    got.sort(key=lambda g: (g[0].shape[1], g[0].tobytes(), g[1]))
+    got += [(hidden(c), m) for c, m in got if c[6].any()]
+    return train([c for c, _ in got], rounds, weights=np.array([weight[m] for _, m in got]))
 
 
 def hidden(stretch: np.ndarray) -> np.ndarray:
@@ -365,8 +435,13 @@ def hidden(stretch: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(stretches: list[np.ndarray], rounds: int = 60, pace: float = 0.15, shrink: float = 1e-4) -> Model:
-    """Maximum likelihood by gradient steps (Adam) with a small penalty. A stretch: seven rows of codes, tags last."""
+def train(
+    stretches: list[np.ndarray], rounds: int = 60, pace: float = 0.15, shrink: float = 1e-4, weights: np.ndarray | None = None
+) -> Model:
+    """Maximum likelihood by gradient steps (Adam) with a small penalty. A stretch: seven rows of codes, tags last.
+
+    Only the ratios of ``weights``, how much each stretch counts, matter.
+    """
     n, longest = len(stretches), max(c.shape[1] for c in stretches)
     padded = np.zeros((7, n, longest), np.int64)
     mask = np.zeros((n, longest), bool)
@@ -381,8 +456,10 @@ def train(stretches: list[np.ndarray], rounds: int = 60, pace: float = 0.15, shr
     gold = padded[6]
     before = np.concatenate([np.zeros((n, 1), np.int64), gold[:, :-1]], axis=1)
     after_last = gold[np.arange(n), mask.sum(axis=1) - 1]
-    follow_gold = np.bincount((before * 3 + gold)[mask], minlength=9).reshape(3, 3).astype(float)
-    follow_gold[:, 0] += np.bincount(after_last, minlength=3)
+    counts = np.ones(n) if weights is None else weights / weights.mean()
+    each = counts[:, None] * mask
+    follow_gold = np.bincount((before * 3 + gold)[mask], weights=each[mask], minlength=9).reshape(3, 3)
+    follow_gold[:, 0] += np.bincount(after_last, weights=counts, minlength=3)
     weights, follow = np.zeros((total, 2)), np.zeros((3, 3))
     barred = np.zeros((3, 3))
     barred[OUTSIDE, INSIDE] = -1e9
@@ -410,8 +487,8 @@ def train(stretches: list[np.ndarray], rounds: int = 60, pace: float = 0.15, shr
             else:
                 behind[:, i] = t[:, OUTSIDE]
         normal = log_sum(ahead[steps, lengths - 1] + t[:, OUTSIDE], 1)
-        chance = np.exp(ahead + behind - normal[:, None, None]) * mask[:, :, None]
-        pull = np.stack([(gold == k) * mask - chance[:, :, k] for k in (1, 2)], axis=2)
+        chance = np.exp(ahead + behind - normal[:, None, None]) * each[:, :, None]
+        pull = np.stack([(gold == k) * each - chance[:, :, k] for k in (1, 2)], axis=2)
         slope = np.zeros((total, 2))
         for c in columns:
             for k in range(2):
@@ -419,7 +496,7 @@ def train(stretches: list[np.ndarray], rounds: int = 60, pace: float = 0.15, shr
         expected = np.zeros((3, 3))
         if longest > 1:
             joint = ahead[:, :-1, :, None] + t + (emitted[:, 1:] + behind[:, 1:])[:, :, None] - normal[:, None, None, None]
-            expected += (np.exp(joint) * mask[:, 1:, None, None]).sum(axis=(0, 1))
+            expected += (np.exp(joint) * each[:, 1:, None, None]).sum(axis=(0, 1))
         expected[OUTSIDE] += chance[:, 0].sum(axis=0)
         expected[:, OUTSIDE] += chance[steps, lengths - 1].sum(axis=0)
         slopes = [slope / n - shrink * weights, (follow_gold - expected) / n - shrink * follow]

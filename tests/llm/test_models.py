@@ -78,6 +78,21 @@ def test_secrets(spark):
     assert [last.text[s.start : s.end] for s in last.spans] == ["16C7e42F292c6912E7710c838347Ae178B4a"]
 
 
+def test_rare_secrets_are_learned_from(spark):
+    """Twelve documents of some three thousand have a match, and the sample has two hundred: all twelve are learned from."""
+    given = [r.text for r in table(spark, SMALL, "documents").where("text is not null").collect()]
+    plain, few = [t for t in given if not base(t)], [t for t in given if base(t)][:12]
+    hidden = "her entry 16C7e42F292c6912E7710c838347Ae178B4a was left, and the 12345 of them"
+    all_texts = [f"{t} {i}" for i in range(3) for t in plain] + few + [hidden]
+    for ids in (range(len(all_texts)), [None] * len(all_texts)):
+        docs = spark.createDataFrame(list(zip(ids, all_texts, strict=True)), "doc_id long, text string")
+        model = secret_crf.fit(docs, sample=200)
+        assert model is not None
+        found = secret_crf.find_secrets(docs.where(F.col("text") == hidden), model).collect()
+        assert [(s.kind, hidden[s.start : s.end]) for r in found for s in r.spans] == [("crf", "16C7e42F292c6912E7710c838347Ae178B4a")]
+        assert secret_crf.fit(docs.where(~F.col("text").isin(few)), sample=200) is None
+
+
 def test_language_on_held_out_documents(spark):
     docs = table(spark, SMALL, "documents")
     held = language.held_out(F.col("doc_id"))
