@@ -229,8 +229,8 @@ def _predict(model: Model, names: list[str]):
     return rows
 
 
-def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, lang_pred, score, rejected: one row for each row of ``docs``, from its text alone.
+def identify(docs: DataFrame, model: Model | None, *also: str) -> DataFrame:
+    """doc_id, the columns ``also``, lang_pred, score, rejected: one row for each row of ``docs``, from its text alone.
 
     A null text, one without letters, and any text where there is no model is ``und`` with score 0 and rejected.
     Others get a learned language; they are rejected where the score is under the model's threshold. Repeated rows
@@ -240,14 +240,19 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     if model is None:
         return docs.select(
-            "doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected")
+            "doc_id", *also, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected")
         )
-    rows = texts(docs).select("doc_id", "text", has_letters(F.col("text")).alias("lettered"))
+    carried = [c for c in also if c != "text"]
+    rows = texts(docs, *carried).withColumn("lettered", has_letters(F.col("text")))
+    names = ["doc_id", *also, "lettered"]
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in also)
     told = rows.mapInArrow(
-        _predict(model, ["doc_id", "lettered"]), f"doc_id {kind}, lettered boolean, lang_pred string, score double"
+        _predict(model, names),
+        f"doc_id {kind}, {kinds}{', ' if also else ''}lettered boolean, lang_pred string, score double",
     )
     return told.select(
         "doc_id",
+        *also,
         F.when(F.col("lettered"), F.col("lang_pred")).otherwise(F.lit(UNKNOWN)).alias("lang_pred"),
         F.when(F.col("lettered"), F.col("score")).otherwise(F.lit(0.0)).alias("score"),
         (~F.col("lettered") | (F.col("score") < model.threshold)).alias("rejected"),

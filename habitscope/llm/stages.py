@@ -5,7 +5,7 @@ All work is on columns doc_id, text, lang, source and n_chars, whatever else a t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from habitscope.llm import chunk_bpe, language, mixing
@@ -17,35 +17,53 @@ SPACE = r"[\x20\x09-\x0D]"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _kept(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id ``decided`` keeps; rows that repeat a doc_id stay or go together."""
-    names = decided.where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(names, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi").select(COLUMNS)
+def _row_key(digest: Column) -> Column:
+    """A row's name from its doc_id and the digest of its text; rows that repeat both have one name."""
+    return F.when(F.col("doc_id").isNull(), F.concat(F.lit("#"), digest)).otherwise(
+        F.concat(F.lit("="), F.col("doc_id").cast("string"), F.lit(":"), digest)
+    )
+
+
+def _text_digest() -> Column:
+    return hex_digest(F.coalesce(F.col("text"), F.lit("")))
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known for certain enough; the model is fitted on the labelled ones among them."""
+    """Documents whose language is known for certain enough; the model is fitted on the labelled ones among them.
+
+    Every row is kept or dropped by its own text, whatever other rows have its doc_id.
+    """
     docs = docs.select(COLUMNS)
-    told = language.identify(docs, language.fit(docs.where(F.col("doc_id").isNotNull())))
-    return _kept(docs, told.select("doc_id", (~F.col("rejected")).alias("kept")))
+    told = language.identify(docs, language.fit(docs.where(F.col("doc_id").isNotNull())), *COLUMNS[1:])
+    return told.where(~F.col("rejected")).select(COLUMNS)
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts, the one with the largest doc_id.
 
-    One row of those that repeat a doc_id or, where there is none, a text.
+    One row of those that repeat doc_id and text; other rows with that doc_id have a text of their own and stay.
     """
     docs, groups = docs.select(COLUMNS), exact_groups(docs)
-    name = lambda digest: F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("#"), digest))
-    names = groups.where("kept").select(name(F.col("text_sha256")).alias("_name")).distinct()
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.withColumn("_name", name(hex_digest(text)))
+    names = groups.where("kept").select(_row_key(F.col("text_sha256")).alias("_name")).distinct()
+    rows = docs.withColumn("_name", _row_key(_text_digest()))
     return rows.join(names, "_name", "left_semi").dropDuplicates(["_name"]).select(COLUMNS)
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that five-word shingles at 0.8 or more link, the one with the smallest doc_id."""
-    return _kept(docs.select(COLUMNS), near_groups(docs, width=5, percent=80).select("doc_id", "kept"))
+    """One document of each group that five-word shingles at 0.8 or more link, the one with the smallest doc_id.
+
+    Rows without a doc_id are documents like all others and stay only where no linked row has one. Rows that repeat
+    a doc_id with other texts are documents of their own; of rows that repeat doc_id and text one stays.
+    """
+    docs = docs.select(COLUMNS)
+    rows = docs.withColumn("_name", _row_key(_text_digest()))
+    linked = near_groups(rows.select(F.col("_name").alias("doc_id"), "text"), width=5, percent=80)
+    # The id from the name, without the digest after it: ids are compared as what they are, not as strings.
+    none = F.col("doc_id").startswith("#")
+    own = F.when(~none, F.expr("substring(doc_id, 2, length(doc_id) - 66)")).cast(docs.schema["doc_id"].dataType)
+    place = F.struct(none.alias("none"), own.alias("id"), F.col("doc_id").alias("_name"))
+    names = linked.groupBy("component_id").agg(F.min(place).alias("first")).select("first._name")
+    return rows.join(names, "_name", "left_semi").dropDuplicates(["_name"]).select(COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

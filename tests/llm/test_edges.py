@@ -117,6 +117,39 @@ def test_stages(spark, docs, nothing, folder, name):
     assert stage(spark, nothing, folder).count() == 0
 
 
+def _documents(spark, some):
+    return spark.createDataFrame(
+        [(i, t, lang, "a", len(t or "")) for i, t, lang in some],
+        "doc_id long, text string, lang string, source string, n_chars long",
+    )
+
+
+def test_a_rejected_row_does_not_come_back_by_its_id(spark, folder):
+    words = "the house and the garden of that old man were there"
+    clear = [(i, f"{words} {i}", "en") for i in range(20)]
+    given = _documents(spark, [*clear, (None, words, "en"), (None, "...", None), (None, None, None), (3, "1234", None)])
+    got = stages.identify_language(spark, given, folder).collect()
+    assert sorted((r.text for r in got)) == sorted([t for _, t, _ in clear] + [words])
+
+
+def test_stages_name_rows_by_id_and_text(spark, folder):
+    long = " ".join(f"word{i}" for i in range(100))
+    given = _documents(
+        spark,
+        [(None, long + " x", None), (None, long + " y", None), (None, long + " y", None)]
+        + [(None, "alone one two three four five", None), (7, "first text of seven", None), (7, "another text of that id here", None)],
+    )
+    exact = stages.drop_exact(spark, given, folder)
+    assert exact.count() == 5
+    kept = sorted(r.text for r in stages.drop_near(spark, given, folder).collect())
+    assert len(kept) == 4 and kept[-1].startswith(long) and kept[:3] == [
+        "alone one two three four five", "another text of that id here", "first text of seven"
+    ]
+    # Ids are compared as numbers, and a row that has one goes before those that have none.
+    given = _documents(spark, [(None, long + " x", None), (10, long + " y", None), (9, long + " z", None), (-1, "other", None)])
+    assert sorted(r.doc_id for r in stages.drop_near(spark, given, folder).collect()) == [-1, 9]
+
+
 def test_vectors(spark):
     nan, inf = float("nan"), float("inf")
     data = [[1.0, 0.0], None, [0.0, 0.0], [nan, 1.0], [inf, 1.0], [None, 1.0], [], [0.5], [1.0, 0.0], [1.0, 0.0], [0.0, 2.0]]
