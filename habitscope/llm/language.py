@@ -232,15 +232,19 @@ def _predict(model: Model, names: list[str]):
 def identify(docs: DataFrame, model: Model | None, *also: str) -> DataFrame:
     """doc_id, the columns ``also``, lang_pred, score, rejected: one row for each row of ``docs``, from its text alone.
 
-    A null text, one without letters, and any text where there is no model is ``und`` with score 0 and rejected.
-    Others get a learned language; they are rejected where the score is under the model's threshold. Repeated rows
-    get equal answers, ties go to the first language in order; an empty table gives no rows; other columns are
-    not read. Whole texts are read, whatever their length, in one pass without a shuffle.
+    A null text and one without letters is ``und`` with score 0 and rejected. Where there is no model, all others are
+    undecided: ``und`` with score 0, but not rejected, since nothing speaks against them. With a model, others get a
+    learned language; they are rejected where the score is under the model's threshold. Repeated rows get equal
+    answers, ties go to the first language in order; an empty table gives no rows; other columns are not read. Whole texts are read, whatever their length, in one pass without a shuffle.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     if model is None:
         return docs.select(
-            "doc_id", *also, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected")
+            "doc_id",
+            *also,
+            F.lit(UNKNOWN).alias("lang_pred"),
+            F.lit(0.0).alias("score"),
+            (~has_letters(F.col("text"))).alias("rejected"),
         )
     carried = [c for c in also if c != "text"]
     rows = texts(docs, *carried).withColumn("lettered", has_letters(F.col("text")))

@@ -132,6 +132,15 @@ def test_a_rejected_row_does_not_come_back_by_its_id(spark, folder):
     assert sorted((r.text for r in got)) == sorted([t for _, t, _ in clear] + [words])
 
 
+def test_documents_stay_where_nothing_is_labelled(spark, folder):
+    given = _documents(spark, [(1, "a clean text", None), (2, "...", None), (3, None, None), (None, "one more", None)])
+    assert language.fit(given) is None
+    assert sorted(r.text for r in stages.identify_language(spark, given, folder).collect()) == ["a clean text", "one more"]
+    told = by_id(language.identify(given, None))
+    assert [told[i].rejected for i in (1, 2, 3, None)] == [False, True, True, False]
+    assert all(r.lang_pred == "und" and r.score == 0 for r in told.values())
+
+
 def test_stages_name_rows_by_id_and_text(spark, folder):
     long = " ".join(f"word{i}" for i in range(100))
     given = _documents(
