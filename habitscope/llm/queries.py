@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from habitscope.llm import chunk_bpe, language, line_windows, mixing, secret_crf, site_quality
+from habitscope.llm import chunk_bpe, conversations, language, line_windows, mixing, secret_crf, site_quality
 from habitscope.llm.chunk_dedup import exact_groups
 from habitscope.llm.common import hex_digest, table
 from habitscope.llm.near_dups import near_groups
 from habitscope.llm.projections import nearest
+from habitscope.llm.simhash import simhash_groups
 from habitscope.llm.token_counts import token_counts
+from habitscope.llm.whitening import whiten
 from habitscope.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -192,3 +194,19 @@ def _site_quality(spark: SparkSession, folder: str) -> DataFrame:
     model = site_quality.fit(docs, table(spark, folder, "labels"))
     path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))
     return site_quality.posteriors(docs, model, F.col("source"), path)
+
+
+@register("op11_conversation_repair")
+def _conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.repair(conversations.damage(table(spark, folder, "conversations")))
+
+
+@register("op12_embedding_whitening")
+def _embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whiten(table(spark, folder, "embeddings"))
+
+
+@register("op13_simhash_groups")
+def _simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
+    groups = simhash_groups(table(spark, folder, "documents"))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

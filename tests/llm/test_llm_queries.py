@@ -30,7 +30,7 @@ def test_query_matches_sql(spark, folder, sql, name):
 
 
 def test_all_operators_have_a_query():
-    assert {n.split("_")[0] for n in QUERIES} == {"pipeline", *(f"op{i}" for i in range(1, 11))}
+    assert {n.split("_")[0] for n in QUERIES} == {"pipeline", *(f"op{i}" for i in range(1, 14))}
 
 
 def test_pipeline(spark, folder):
