@@ -1,11 +1,11 @@
 """SimHash near-duplicates: fingerprints in vantage-point trees, links at a few differing bits.
 
-The distinct fingerprints are dealt into shards by one vantage-point tree that Spark splits level by level: a node
-with more than ``shard`` members takes a member as vantage point and, as radius, a distance near the median of its
-members, from a count for each of the 65 distances. Members inside the radius go to one child, the others to the
-other. A fingerprint whose ball of ``bits`` reaches over the radius also visits the other child: of two linked
-fingerprints in different children, the outer one is always such a visitor, by the triangle inequality, so only outer
-members visit. Visitors of a node visit every child that their ball reaches.
+The distinct fingerprints are dealt into shards by a vantage-point tree, fitted to a sample that follows their number
+and is 2^20 at most: a node takes one of its points as vantage point and, as radius, the distance nearest to the
+median. Points inside the radius go to one child, the others to the other. A fingerprint whose ball of ``bits`` reaches
+over the radius also visits the other child: of two linked fingerprints in different children, the outer one is always
+such a visitor, by the triangle inequality, so only outer members visit. Visitors of a node visit every child that
+their ball reaches.
 
 Inside a shard a local tree of the same kind, in numpy, compares members and visitors with the members of the leaves
 that the triangle bounds leave. Links become a spanning forest there, so a group of many near copies costs one row for
@@ -20,15 +20,16 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from habitscope.llm.common import column_bytes, slices, texts, written
+from habitscope.llm.common import column_bytes, mixed, slices, texts, written
 from habitscope.llm.components import components
 
 SEED, WIDTH, BITS = 42, 3, 3
 SHARD, VISITORS, LEAF = 1 << 16, 1 << 18, 256
-LEVELS = 48
+# Points sampled for each shard to come, and in all; members tried as a vantage point.
+SAMPLED, SAMPLE, TRIED = 64, 1 << 20, 4
 # Shingles hashed at once, and comparisons held at once, so that long texts and large shards need bounded memory.
 _PIECE, _BLOCK = 1 << 16, 1 << 20
 
@@ -70,74 +71,33 @@ def _fingerprints(width: int):
     return rows
 
 
-def _apart(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b))
-
-
-def shards(points: DataFrame, bits: int = BITS, shard: int = SHARD) -> DataFrame:
-    """(fp, node, member) for distinct ``points`` (fp): each is a member of one node and visits others.
-
-    Two points at ``bits`` or fewer differing bits share a node in which one of them, at least, is a member. Nodes have
-    at most ``shard`` members, or are at level ``LEVELS``. Splitting reads counts only: no point reaches the driver.
-    """
-    rows = points.select("fp", F.lit(1).cast("long").alias("node"), F.lit(True).alias("member"))
-    done = None
-    for level in range(LEVELS):
-        rows = written(rows, f"tree-level-{level}")
-        place = F.xxhash64("fp", F.lit(level))
-        sizes = rows.where("member").groupBy("node").agg(F.count("*").alias("n"), F.min_by("fp", place).alias("vantage"))
-        large = written(sizes.where(F.col("n") > shard), f"tree-nodes-{level}")
-        if large.isEmpty():
-            break
-        open_rows = rows.join(large, "node").withColumn("d", _apart(F.col("fp"), F.col("vantage")))
-        counts = open_rows.where("member").groupBy("node", "n", "d").agg(F.count("*").alias("c"))
-        # The 65 counts of a node as an array: the radius whose inner part is nearest to half, with some outside.
-        held = F.array_sort(F.collect_list(F.struct("d", "c")))
-        radii = counts.groupBy("node", "n").agg(held.alias("held"))
-        inner = F.transform(
-            F.sequence(F.lit(1), F.size("held") - 1),
-            lambda i: F.struct(
-                F.abs(2 * F.aggregate(F.slice("held", 1, i), F.lit(0).cast("long"), lambda s, x: s + x["c"]) - F.col("n")).alias("off"),
-                F.element_at("held", i)["d"].alias("d"),
-            ),
-        )
-        radii = radii.select("node", F.array_min(inner)["d"].alias("radius"))
-        placed = open_rows.join(radii, "node")
-        child = lambda side, member: F.struct((F.col("node") * 2 + side).alias("node"), member.alias("member"))
-        home = F.col("member")
-        inside, outside = F.col("d") <= F.col("radius"), F.col("d") > F.col("radius")
-        left = F.when(home & inside, child(0, F.lit(True))).when(F.col("d") - bits <= F.col("radius"), child(0, F.lit(False)))
-        right = F.when(home & outside, child(1, F.lit(True))).when(
-            ~home & (F.col("d") + bits > F.col("radius")), child(1, F.lit(False))
-        )
-        closed = rows.join(large.select("node"), "node", "left_anti").select("fp", "node", "member")
-        done = closed if done is None else done.union(closed)
-        moved = placed.select("fp", F.explode(F.array_compact(F.array(left, right))).alias("to"))
-        rows = moved.select("fp", "to.node", "to.member")
-    else:
-        rows = written(rows, "tree-last-level")
-    return rows if done is None else done.union(rows)
-
-
 class Tree:
-    """A vantage-point tree over distinct 64-bit values; ``near`` gives blocks of positions that may be linked."""
+    """A vantage-point tree over distinct 64-bit values. Leaves hold at most ``leaf`` of them, or what no split parts."""
 
     def __init__(self, points: np.ndarray, leaf: int = LEAF):
-        self.points, self.leaf = points, leaf
-        self.root = self._node(np.arange(len(points)))
+        self.points, self.leaf, self.leaves = points, leaf, 0
+        self.root = self._node(np.argsort(mixed(points), kind="stable"))
 
     def _node(self, at: np.ndarray):
-        if len(at) <= self.leaf:
-            return at
-        vantage = self.points[at[0]]
-        d = np.bitwise_count(self.points[at] ^ vantage)
-        radius = int(np.partition(d, len(d) // 2)[len(d) // 2])
-        radius = radius if radius < d.max() else radius - 1
-        inside = d <= radius
-        if inside.all() or not inside.any():
-            return at
+        split = self._split(at) if len(at) > self.leaf else None
+        if split is None:
+            self.leaves += 1
+            return self.leaves - 1, at
+        vantage, radius = split
+        inside = np.bitwise_count(self.points[at] ^ np.uint64(vantage)) <= radius
         return vantage, radius, self._node(at[inside]), self._node(at[~inside])
 
+    def _split(self, at: np.ndarray, bits: int = BITS) -> tuple[int, int] | None:
+        """Of some members, the vantage point with the fewest others near its radius; each side gets a sixteenth."""
+        found = []
+        for vantage in self.points[at[:TRIED]]:
+            counts = np.bincount(np.bitwise_count(self.points[at] ^ vantage), minlength=65 + bits)
+            inner = np.cumsum(counts)[:64]
+            radius = int(np.argmin(np.abs(2 * inner - len(at))))
+            if 16 * min(inner[radius], len(at) - inner[radius]) >= len(at):
+                found.append((int(counts[radius + 1 : radius + 1 + bits].sum()), int(vantage), radius))
+        return min(found)[1:] if found else None
+
     def near(self, queries: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs (places in ``queries``, places in the tree) at ``bits`` or fewer differing bits, in blocks."""
         stack = [(self.root, np.arange(len(queries)))]
@@ -145,17 +105,86 @@ class Tree:
             node, asked = stack.pop()
             if not len(asked):
                 continue
-            if isinstance(node, tuple):
+            if len(node) == 4:
                 vantage, radius, inside, outside = node
-                d = np.bitwise_count(queries[asked] ^ vantage).astype(np.int64)
+                d = np.bitwise_count(queries[asked] ^ np.uint64(vantage)).astype(np.int64)
                 stack.append((inside, asked[d - bits <= radius]))
                 stack.append((outside, asked[d + bits > radius]))
                 continue
-            step = max(1, _BLOCK // max(1, len(node)))
+            held = node[1]
+            step = max(1, _BLOCK // max(1, len(held)))
             for begin in range(0, len(asked), step):
                 part = asked[begin : begin + step]
-                x, y = np.nonzero(np.bitwise_count(queries[part, None] ^ self.points[None, node]) <= bits)
-                yield part[x], node[y]
+                x, y = np.nonzero(np.bitwise_count(queries[part, None] ^ self.points[None, held]) <= bits)
+                yield part[x], held[y]
+
+    def without_points(self) -> tuple:
+        """The nodes alone, leaves as their numbers."""
+        bare = lambda node: node[0] if len(node) == 2 else (*node[:2], bare(node[2]), bare(node[3]))
+        return bare(self.root)
+
+
+def _placed(root, bits: int):
+    """Rows (fp, node, member): the leaf of each value, and the leaves that it visits."""
+
+    def leaves(values: np.ndarray) -> Iterator[pa.RecordBatch]:
+        stack = [(root, np.arange(len(values)), np.ones(len(values), bool))]
+        out, size = [], 0
+
+        def packed():
+            columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["fp", "node", "member"])
+
+        while stack:
+            node, at, home = stack.pop()
+            if not len(at):
+                continue
+            if isinstance(node, tuple):
+                vantage, radius, inside, outside = node
+                d = np.bitwise_count(values[at] ^ np.uint64(vantage)).astype(np.int64)
+                here = d <= radius
+                # Of two linked members in different children the outer one visits; visitors visit both.
+                left = d - bits <= radius
+                right = np.where(home, ~here, d + bits > radius)
+                stack.append((inside, at[left], (home & here)[left]))
+                stack.append((outside, at[right], (home & ~here)[right]))
+                continue
+            out.append((values[at].view(np.int64), np.full(len(at), node, np.int64), home))
+            size += len(at)
+            if size >= _BLOCK:
+                yield packed()
+                out, size = [], 0
+        if out:
+            yield packed()
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+            size += len(held[-1])
+            if size >= _PIECE:
+                yield from leaves(np.concatenate(held))
+                held, size = [], 0
+        if size:
+            yield from leaves(np.concatenate(held))
+
+    return rows
+
+
+def shards(points: DataFrame, bits: int = BITS, shard: int = SHARD, most: int = SAMPLE) -> DataFrame:
+    """(fp, node, member) for distinct ``points`` (fp): each is a member of one node and visits others.
+
+    Two points at ``bits`` or fewer differing bits share a node in which one of them, at least, is a member. Nodes have
+    about ``shard`` members at most: the tree is fitted to SAMPLED points of each node to come, drawn by a hash, in all
+    about ``most`` at most. Beyond ``most`` / SAMPLED * ``shard`` points nodes grow instead.
+    """
+    count = points.count()
+    wanted = -(-count // shard)
+    share = min(1.0, wanted * SAMPLED / max(1, count), most / max(1, count))
+    drawn = F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30))
+    sample = points.where(drawn).toPandas()["fp"].to_numpy(np.int64).view(np.uint64) if wanted > 1 else np.empty(0, np.uint64)
+    tree = Tree(sample, max(1, int(shard * share))).without_points()
+    return points.select("fp").mapInArrow(_placed(tree, bits), "fp long, node long, member boolean")
 
 
 def _merge(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:

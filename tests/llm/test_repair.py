@@ -258,7 +258,6 @@ def test_links_connect_what_all_pairs_connect(spark, shard):
     want = smallest_reachable(ids, [(ids[a], ids[b]) for a, b in zip(x, y, strict=True) if a < b])
     frame = spark.createDataFrame([(i,) for i in ids], "fp long")
     got = [(r.a, r.b) for r in simhash.links(frame, 3, shard, 50).collect()]
-    assert all((ids.index(a), ids.index(b)) for a, b in got[:5])
     assert smallest_reachable(ids, got) == want
 
 
@@ -270,6 +269,7 @@ def test_every_near_pair_meets_in_a_shard(spark):
     for r in rows:
         (members if r.member else visits).setdefault(r.fp, set()).add(r.node)
     assert all(len(members[i]) == 1 for i in ids.tolist()) and len(members) == len(ids)
+    assert len(set().union(*members.values())) > 10
     x, y = np.nonzero(np.bitwise_count(points[:, None] ^ points[None, :]) <= 3)
     for a, b in zip(ids[x].tolist(), ids[y].tolist(), strict=True):
         here, there = members[a], members[b]
