@@ -113,17 +113,14 @@ def targets(table):
     return table.groupBy("account_id").agg(F.max(newest).alias("t")).select("account_id", "t.*")
 
 
-def population(spark, folder):
-    return cut(features(spark, folder)).withColumn("row_id", F.struct("match_id", "player_no"))
-
-
 @register(
     "join_cohort_selection",
     f"""with {COHORT_SQL} select tg.account_id, ch.level is not null as valid, ch.level::bigint as level, coalesce(sample_size, 0) as sample_size,
       coalesce(distinct_players, 0) as distinct_players from tg left join ch using (account_id)""",
 )
 def join_cohort_selection(spark, folder):
-    table = features(spark, folder)
+    newest = ("account_id", "start_time", "match_id", "player_no", *cohorts.DIMENSIONS)
+    table = cut(features(spark, folder).select(*newest))
     return cohorts.select_narrowest(targets(table), table).select(
         "account_id", "valid", "level", "sample_size", "distinct_players"
     )
@@ -136,9 +133,8 @@ def join_cohort_selection(spark, folder):
     _BUNDLE_DOUBLES,
 )
 def join_cohort_metrics(spark, folder):
-    table = population(spark, folder)
-    selection = cohorts.select_narrowest(targets(table), table)
-    return cohorts.cohort_metrics(selection, table)
+    table = cut(features(spark, folder))
+    return cohorts.cohort_metrics(cohorts.select_narrowest(targets(table), table), table)
 
 
 @register(

@@ -7,34 +7,86 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from habitscope.functions.ordered import chunked, is_plain, scan, unchunked
+from habitscope.functions.ordered import HOT_ROWS, chunked, is_plain, scan, unchunked
 from habitscope.session import cut
 
 TOLERANCE = 1e-9
 
 
-def medians(df: DataFrame, keys: Sequence[str], values: Mapping[str, Column], *extra: Column) -> DataFrame:
-    """Interpolated medians per key.
+def middles(
+    histogram: DataFrame, keys: Sequence[str], value: str, count: str, hot_rows: int | None = None, plain: bool = False
+) -> DataFrame:
+    """Interpolated median of each key from ``count`` of each distinct ``value``: ``middle`` and ``sample``.
 
-    ``median`` merges value-to-count maps before the shuffle, so a hot key moves its
-    distinct values and not its rows.
+    Ranks are running sums of the counts.  A hot key's values are cut into ranges that are summed apart, so no task
+    holds all values of a key.  A histogram that is not ``plain`` is examined and should be a written table.
     """
-    return df.groupBy(*keys).agg(*[F.median(column).alias(name) for name, column in values.items()], *extra)
+    c = F.col(count)
+    ranked = scan(
+        chunked(histogram, keys, value, hot_rows, plain), keys, [value], {"_cum": ("sum", c), "_total": ("total", c)}
+    )
+    at = lambda rank: F.min(F.when(F.col("_cum") >= rank, F.col(value)))
+    both = at(F.floor((F.col("_total") + 1) / 2)) + at(F.ceil((F.col("_total") + 1) / 2))
+    return unchunked(ranked).groupBy(*keys).agg((both / 2).alias("middle"), F.max("_total").alias("sample"))
 
 
-def spread(df: DataFrame, keys: Sequence[str], value: str, centre: str = "centre", mad: str = "mad") -> DataFrame:
-    """Median and median absolute deviation per key, from the distinct values."""
-    histogram = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    centres = histogram.groupBy(*keys).agg(F.expr(f"percentile({value}, 0.5, _c)").alias(centre))
-    return (
-        histogram.join(centres, list(keys)).withColumn("_d", F.abs(F.col(value) - F.col(centre)))
-        .groupBy(*keys)
-        .agg(
-            F.first(centre).alias(centre),
-            F.expr("percentile(_d, 0.5, _c)").alias(mad),
-            F.sum("_c").alias("sample"),
-        )
+def matched(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join on keys in which a null is a value of its own."""
+    renamed = right.withColumnsRenamed({k: f"_on_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_on_{k}")) for k in keys]
+    return left.join(renamed, same, how).drop(*[f"_on_{k}" for k in keys])
+
+
+def long_histogram(df: DataFrame, keys: Sequence[str], values: Mapping[str, Column]) -> DataFrame:
+    """(keys, metric, x, _c): how often each value that is not null comes, for all named columns in one shuffle."""
+    entries = [F.struct(F.lit(name).alias("metric"), column.cast("double").alias("x")) for name, column in values.items()]
+    long = df.select(*keys, F.explode(F.array(*entries)).alias("_e")).select(*keys, "_e.metric", "_e.x")
+    return long.where(F.col("x").isNotNull()).groupBy(*keys, "metric", "x").agg(F.count(F.lit(1)).alias("_c"))
+
+
+def medians(
+    df: DataFrame,
+    keys: Sequence[str],
+    values: Mapping[str, Column],
+    *extra: Column,
+    hot_rows: int | None = None,
+    plain: bool = False,
+) -> DataFrame:
+    """Interpolated medians per key, by rank in the histograms of all columns, beside ``extra`` aggregates."""
+    plain = plain or is_plain(df)
+    histogram = long_histogram(df, keys, values)
+    found = middles(histogram if plain else cut(histogram), [*keys, "metric"], "x", "_c", hot_rows, plain)
+    wide = found.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("metric") == name, F.col("middle"))).alias(name) for name in values]
+    )
+    if not extra:
+        return wide
+    return matched(df.groupBy(*keys).agg(*extra), wide, keys)
+
+
+def spread(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    centre: str = "centre",
+    mad: str = "mad",
+    hot_rows: int | None = None,
+    plain: bool = False,
+) -> DataFrame:
+    """Median and median absolute deviation per key, by rank in the histograms of values and of distances."""
+    plain = plain or is_plain(df)
+    keep = (lambda frame: frame) if plain else cut
+    histogram = keep(
+        df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    )
+    centres = middles(histogram, keys, value, "_c", hot_rows, plain).select(*keys, F.col("middle").alias(centre))
+    distances = keep(
+        histogram.join(centres, list(keys))
+        .groupBy(*keys, F.abs(F.col(value) - F.col(centre)).alias("_d"))
+        .agg(F.first(centre).alias(centre), F.sum("_c").alias("_c"))
     )
+    found = middles(distances.drop(centre), keys, "_d", "_c", hot_rows, plain)
+    return found.join(centres, list(keys)).select(*keys, centre, F.col("middle").alias(mad), "sample")
 
 
 def lower_weighted_median(
@@ -267,3 +319,84 @@ def select_without_group(
         .agg(*[F.max(F.when(F.col("_name") == name, F.col("_found"))).alias(name) for name in points])
     )
     return found.join(asked.select(*cell, group, "reference_rows", "effective_rows"), [*cell, group])
+
+
+def middles_without_group(
+    rows: DataFrame,
+    cell: Sequence[str],
+    group: str,
+    asked: DataFrame,
+    values: Mapping[str, Column],
+    hot_rows: int | None = None,
+) -> DataFrame:
+    """Interpolated medians of the cells of ``asked`` (cell, group; each group in one cell) without the group's rows.
+
+    Each cell becomes one histogram with running counts.  The rest's rank r of a value is at r plus the group's own
+    rows up to there; those are found by looking the group's own values up in the histogram, and the shifted ranks are
+    looked up in the running counts.  Nothing is ordered by row, and no row of a cell meets a group but its own.
+    """
+    cell = tuple(cell)
+    keys = (*cell, "metric")
+    c = F.col("_c")
+    counts = chunked(cut(long_histogram(rows, cell, values)), keys, "x", hot_rows)
+    ranked = scan(counts, keys, ["x"], {"_cum": ("sum", c), "_all": ("total", c)})
+    plain = is_plain(counts)
+    own = long_histogram(rows.join(asked, [*cell, group], "left_semi"), (*cell, group), values)
+    own = own.withColumnRenamed("_c", "_k").join(unchunked(ranked), [*keys, "x"])
+    # A group has no more values than its cell.
+    placed = scan(
+        chunked(own if plain else cut(own), (*keys, group), "x", hot_rows, plain),
+        (*keys, group),
+        ["x"],
+        {"_own": ("sum", F.col("_k")), "_mine": ("total", F.col("_k"))},
+    )
+    # Own values with fewer than r of the rest strictly below them lie at or before the rest's rank r.
+    below = F.col("_cum") - F.col("_c") - F.col("_own") + F.col("_k")
+    rest = F.col("_all") - F.col("_mine")
+    ranks = {"low": F.floor((rest + 1) / 2), "high": F.ceil((rest + 1) / 2)}
+    shifts = unchunked(placed).groupBy(*keys, group).agg(
+        F.first("_mine").alias("_mine"),
+        *[F.max(F.when(below < rank, F.col("_own"))).alias(f"_before_{name}") for name, rank in ranks.items()],
+    )
+    sizes = unchunked(counts).groupBy(*keys).agg(F.sum("_c").alias("_all"))
+    asked_ranks = (
+        asked.join(sizes, list(cell))
+        .join(shifts, [*keys, group], "left")
+        .withColumn("_mine", F.coalesce("_mine", F.lit(0)))
+        .where(rest > 0)
+        .select(
+            *keys,
+            group,
+            F.explode(
+                F.array(
+                    *[
+                        F.struct(F.lit(name).alias("_name"), (rank + F.coalesce(f"_before_{name}", F.lit(0))).alias("_cum"))
+                        for name, rank in ranks.items()
+                    ]
+                )
+            ).alias("_q"),
+        )
+    )
+    steps = unchunked(ranked).select(
+        *keys, "_cum", F.lit(1).alias("_step"), "x", F.lit(None).cast(asked.schema[group].dataType).alias(group),
+        F.lit(None).cast("string").alias("_name"),
+    )
+    questions = asked_ranks.select(
+        *keys, "_q._cum", F.lit(0).alias("_step"), F.lit(None).cast("double").alias("x"), group, "_q._name"
+    )
+    # A cell has two questions for each group that asks.
+    crowded = asked.groupBy(*cell).agg(F.count(F.lit(1)).alias("_g")).where(2 * F.col("_g") > (hot_rows or HOT_ROWS))
+    looked = steps.unionByName(questions)
+    plain = plain and crowded.isEmpty()
+    answered = scan(
+        chunked(looked if plain else cut(looked), keys, "_cum", hot_rows, plain, "_step"),
+        keys,
+        ("_cum", "_step"),
+        {"_found": ("next", F.col("x"))},
+    )
+    middle = F.max(F.when(F.col("_name") == "low", F.col("_found"))) + F.max(F.when(F.col("_name") == "high", F.col("_found")))
+    return (
+        unchunked(answered).where(F.col("_step") == 0).groupBy(*keys, group).agg((middle / 2).alias("middle"))
+        .groupBy(*cell, group)
+        .agg(*[F.max(F.when(F.col("metric") == name, F.col("middle"))).alias(name) for name in values])
+    )
