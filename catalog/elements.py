@@ -16,6 +16,7 @@ from catalog.base import (
 from catalog.sessions import _TRANSITIONS
 from habitscope.operators import baselines, elements, pools, sessions, windows
 from habitscope.operators.measures import with_rates
+from habitscope.session import cut
 from habitscope.sources import views
 
 # Trait values and primary functions of the generated heroes.
@@ -494,7 +495,7 @@ _LEVEL = "['hero_role_function', 'hero_function', 'function', 'role', 'overall']
 )
 def join_leave_session_out(spark, folder):
     rows = with_function(spark, measures(spark, folder))
-    usable = elements.curve_rows(rows, session_rows(rows))
+    usable = cut(elements.curve_rows(rows, session_rows(rows)))
     targets = usable.where(~(F.col("left_censored") & (F.col("session_index") == 1)))
     return baselines.leave_session_out(usable, targets)
 

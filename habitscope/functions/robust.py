@@ -235,8 +235,9 @@ def select_without_group(
     minimum: int = 1,
     hot_rows: int | None = None,
     plain: bool = False,
+    asked: DataFrame | None = None,
 ) -> DataFrame:
-    """Order statistics of a cell without one of its groups, for every (cell, group).
+    """Order statistics of a cell without one of its groups, for every (cell, group), or those of ``asked`` only.
 
     ``at(rest_weight, rest_rows)`` gives named cumulative weights; for each the first value of
     the rest whose running weight reaches it is returned.  The cell is ordered once with
@@ -254,7 +255,7 @@ def select_without_group(
         {"_w": ("sum", w), "_all": ("total", w), "_all2": ("total", w * w), "_n": ("total", one)},
     )
     own = scan(
-        cells,
+        cells if asked is None else cells.join(asked, [*cell, group], "left_semi"),
         (*cell, group),
         order,
         {"_s": ("sum", w), "_own": ("total", w), "_own2": ("total", w * w), "_k": ("total", one)},
@@ -262,7 +263,7 @@ def select_without_group(
     slack = F.lit(TOLERANCE) * F.col("_all")
     points = at(F.col("_all") - F.col("_own"), F.col("_n") - F.col("_k"))
     # One row per cell and group, read twice below.
-    asked = cut(
+    wanted = cut(
         own.groupBy(*cell, group)
         .agg(
             F.first(F.col("_n") - F.col("_k")).alias("reference_rows"),
@@ -289,7 +290,7 @@ def select_without_group(
         F.lit(None).cast(rows.schema[group].dataType).alias(group),
         F.lit(None).cast("string").alias("_name"),
     )
-    questions = asked.select(
+    questions = wanted.select(
         *cell,
         group,
         F.explode(
@@ -318,7 +319,7 @@ def select_without_group(
         .groupBy(*cell, group)
         .agg(*[F.max(F.when(F.col("_name") == name, F.col("_found"))).alias(name) for name in points])
     )
-    return found.join(asked.select(*cell, group, "reference_rows", "effective_rows"), [*cell, group])
+    return found.join(wanted.select(*cell, group, "reference_rows", "effective_rows"), [*cell, group])
 
 
 def middles_without_group(

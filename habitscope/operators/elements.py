@@ -712,8 +712,9 @@ def post_loss_residuals(rows: DataFrame, sessions: DataFrame) -> tuple[DataFrame
     Neighbours are the measured sound rows of a sound session, in order.
     """
     sound = sessions.where(~F.col("corrupt")).select("account_id", "session_no", "start_time")
-    usable = rows.where(F.col("performance").isNotNull() & ~F.col("session_corrupt")).join(
-        sound, ["account_id", "session_no"]
+    # Read for the transitions, the counts and the baselines.
+    usable = cut(
+        rows.where(F.col("performance").isNotNull() & ~F.col("session_corrupt")).join(sound, ["account_id", "session_no"])
     )
     after_loss = transitions(usable).where(F.col("paired") & (F.col("prev_won") == F.lit(False)))
     counted = after_loss.groupBy("account_id").agg(F.count(F.lit(1)).alias("loss_transitions"))
