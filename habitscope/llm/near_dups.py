@@ -26,6 +26,7 @@ from habitscope.llm.common import IS_SPACE, column_bytes, mixed, runs, slices, s
 from habitscope.llm.components import components
 
 VALUES, CHUNK = 32, 4
+PARITY = 16  # longs
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -87,18 +88,30 @@ def _signatures(width: int):
     return rows
 
 
+def _parity(shingles: np.ndarray) -> np.ndarray:
+    """Bits that tell whether an odd number of the shingles falls on each of 64 * PARITY places.
+
+    Of two sets, no more bits differ than there are shingles in one of them only.
+    """
+    counts = np.bincount(mixed(shingles.view(np.uint64)) >> np.uint64(54), minlength=64 * PARITY)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _sets(width: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sets = [s.view(np.int64) for s in shingle_sets(*column_bytes(batch, "text"), width)]
             bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             values = np.concatenate(sets) if sets else np.empty(0, np.int64)
+            parity = np.concatenate([_parity(s) for s in sets]) if sets else np.empty(0, np.int64)
+            offsets = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * PARITY)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(batch.schema.get_field_index("doc_id")),
                     pa.ListArray.from_arrays(pa.array(bounds), pa.array(values)),
+                    pa.ListArray.from_arrays(offsets, pa.array(parity)),
                 ],
-                names=["rep", "shingles"],
+                names=["rep", "shingles", "parity"],
             )
 
     return rows
@@ -131,31 +144,34 @@ def _rare_pairs(open_sets: DataFrame, percent: int) -> DataFrame:
     With shingles in one order, the rarest first, two sets of n and m shingles that are near have at least
     o = percent * (n + m) / (100 + percent) in common, so one of their common shingles is among the first n - o + 1
     of the one and the first m - o + 1 of the other. Texts whose own parts are larger than that meet nobody,
-    however many others share the rest with them.
+    however many others share the rest with them. They also differ in n + m - 2 * o shingles at most, and so in as
+    many bits of their parities, which keeps most pairs below the threshold from being formed at all.
     """
     most = F.size("shingles") - F.ceil(F.size("shingles") * percent / 100) + 1
-    listed = written(open_sets.select("rep", "component", F.size("shingles").alias("n"), most.alias("most"), "shingles"), "open-sets")
+    listed = written(open_sets.select("rep", "component", F.size("shingles").alias("n"), most.alias("most"), "shingles", "parity"), "open-sets")
     each = listed.select("rep", F.explode("shingles").alias("shingle"))
     common = each.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
     # A shingle that one class has comes first in it and meets nobody; only how many there are counts.
     ordered = each.join(common, "shingle").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("common"))
     own = F.col("n") - F.size("common")
     early = (
-        listed.select("rep", "component", "n", "most")
+        listed.select("rep", "component", "n", "most", "parity")
         .join(ordered, "rep")
         .where(own < F.col("most"))
-        .select("rep", "component", "n", own.alias("own"), F.posexplode(F.slice("common", 1, (F.col("most") - own).cast("int"))).alias("at", "item"))
-        .select("rep", "component", "n", (F.col("own") + F.col("at")).alias("place"), F.col("item.shingle").alias("shingle"))
+        .select("rep", "component", "n", "parity", own.alias("own"), F.posexplode(F.slice("common", 1, (F.col("most") - own).cast("int"))).alias("at", "item"))
+        .select("rep", "component", "n", "parity", (F.col("own") + F.col("at")).alias("place"), F.col("item.shingle").alias("shingle"))
     )
     early = written(early, "rare-shingles")
     x, y = early.alias("x"), early.alias("y")
     shared = F.ceil((F.col("x.n") + F.col("y.n")) * F.lit(percent) / F.lit(100 + percent))
+    bits = [F.bit_count(F.col("x.parity")[i].bitwiseXOR(F.col("y.parity")[i])) for i in range(PARITY)]
     near = (
         (F.col("x.shingle") == F.col("y.shingle"))
         & (F.col("x.rep") < F.col("y.rep"))
         & (F.col("x.component") != F.col("y.component"))
         & (F.col("x.place") <= F.col("x.n") - shared)
         & (F.col("y.place") <= F.col("y.n") - shared)
+        & (sum(bits[1:], bits[0]) <= F.col("x.n") + F.col("y.n") - 2 * shared)
     )
     return x.join(y, near).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
 
@@ -195,7 +211,7 @@ def near_groups(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame
     )
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     sets = written(
-        rows.join(wanted, "doc_id").mapInArrow(_sets(width), f"rep {kind}, shingles array<long>"), "shingle-sets"
+        rows.join(wanted, "doc_id").mapInArrow(_sets(width), f"rep {kind}, shingles array<long>, parity array<long>"), "shingle-sets"
     )
     links = written(_confirmed(stars, sets, percent), "star-links")
     near = written(components(links), "star-components")

@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,3 +162,15 @@ def test_mix_is_near_its_targets(spark):
     assert got.where("taken > 3 * size").count() == 0
     again = mixing.mix(docs.repartition(7), shard_rows=100)
     assert sorted(map(str, got.collect())) == sorted(map(str, again.collect()))
+
+
+def test_parities_differ_in_no_more_bits_than_sets():
+    draw = random.Random(9)
+    for size in (0, 1, 30, 5000):
+        base = [draw.getrandbits(63) for _ in range(size)]
+        for change in (0, 1, 7, 200):
+            other = base[change:] + [draw.getrandbits(63) for _ in range(change)]
+            a, b = (near_dups._parity(np.array(sorted(set(s)), np.int64)) for s in (base, other))
+            differing = int(np.bitwise_count((a ^ b).view(np.uint64)).sum())
+            apart = len(set(base) ^ set(other))
+            assert differing <= apart and differing % 2 == apart % 2
