@@ -165,3 +165,9 @@ def session_rows(rows: DataFrame, gap_minutes: int = GAP) -> DataFrame:
     from habitscope.operators.sessions import sessions_of
 
     return sessions_of(rows, gap_minutes, WINDOW_END)
+
+
+def canonical_sql(columns: dict[str, str]) -> str:
+    """The canonical text of a row in SQL, from the text of each column by name."""
+    parts = [f"coalesce('{c}=' || length({text}) || ':' || {text}, '{c}=~')" for c, text in sorted(columns.items())]
+    return " || ',' || ".join(parts)

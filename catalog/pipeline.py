@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from catalog.base import GAP, MATCH_ROWS, WINDOW_END, matches, register
+from catalog.base import GAP, MATCH_ROWS, WINDOW_END, canonical_sql, matches, register
 from catalog.deep import _plan
 from catalog.detail import DETAIL_SQL, rows
 from catalog.heroes import KNOW_SQL, ROSTER, knowledge, traits
@@ -238,28 +238,31 @@ def payloads(spark, folder):
     )
 
 
-_PAY = """p as (select '/players/' || user_id as endpoint, event_type as source_id, json_extract_string(props, '$.k') as k, epoch_us(ts) // 1000000 as fetched_at, event_id from events)"""
+_PAY = """p as (select '/players/' || user_id as endpoint, event_type as source_id, json_extract_string(props, '$.k') as k, epoch_us(ts) // 1000000 as fetched_at,
+  sha256('[{"key":"k","value":"' || json_extract_string(props, '$.k') || '"},{"key":"type","value":"' || event_type || '"}]') as payload_hash from events)"""
 
 
 @register(
     "snk_new_payloads",
-    f"""with {_PAY}, n as (select endpoint, source_id, k, min(fetched_at) as fetched_at from p where event_id % 2 = 0 group by 1, 2, 3)
-    select n.* from n where not exists (select 1 from p where p.event_id % 10 = 1 and p.endpoint = n.endpoint and p.source_id = n.source_id and p.k = n.k)""",
+    f"""with {_PAY}, n as (select endpoint, source_id, payload_hash, any_value(k) as k, min(fetched_at) as fetched_at from p group by 1, 2, 3)
+    select n.* from n where not exists (select 1 from p where p.fetched_at < {NOW - 20 * 86400} and p.endpoint = n.endpoint and p.source_id = n.source_id and p.payload_hash = n.payload_hash)""",
 )
 def snk_new_payloads(spark, folder):
+    """Every event comes in; what was fetched before the last 20 days is stored already."""
     rows_ = payloads(spark, folder)
-    stored = rows_.where(F.col("event_id") % 10 == 1).withColumn("payload_hash", store.payload_hash(F.col("payload")))
-    fresh = store.new_payloads(rows_.where(F.col("event_id") % 2 == 0).drop("event_id"), stored)
-    return fresh.select("endpoint", "source_id", F.col("payload")["k"].alias("k"), "fetched_at")
+    stored = rows_.where(F.col("fetched_at") < NOW - 20 * 86_400).withColumn("payload_hash", store.payload_hash(F.col("payload")))
+    fresh = store.new_payloads(rows_, stored)
+    return fresh.select("endpoint", "source_id", "payload_hash", F.col("payload")["k"].alias("k"), "fetched_at")
 
 
 @register(
     "snk_latest_payload",
-    f"""with {_PAY} select endpoint, source_id, max(fetched_at) as fetched_at from p where fetched_at >= {NOW - 5 * 86400} group by 1, 2""",
+    f"""with {_PAY} select endpoint, source_id, arg_max(payload_hash, (fetched_at, payload_hash)) as payload_hash, max(fetched_at) as fetched_at
+    from p where fetched_at >= {NOW - 5 * 86400} group by 1, 2""",
 )
 def snk_latest_payload(spark, folder):
     rows_ = payloads(spark, folder).withColumn("payload_hash", store.payload_hash(F.col("payload")))
-    return store.latest_payload(rows_, NOW, 5 * 86_400).drop("payload_hash")
+    return store.latest_payload(rows_, NOW, 5 * 86_400)
 
 
 def _report_rows(spark, folder):
@@ -301,6 +304,19 @@ def snk_purge(spark, folder):
     return kept.join(kept_evidence, "report_id").select("report_id")
 
 
+@register(
+    "snk_purge_counts",
+    f"""with {_REP}, {_PAY}
+    select 'reports' as "table", count(*) as rows from r, t where expires_at <= now or created_at < now - 31536000
+    union all select 'payloads', count(*) from p, t where fetched_at < now - 31536000""",
+)
+def snk_purge_counts(spark, folder):
+    """How many rows of each table go."""
+    table = _at_now(_report_rows(spark, folder), spark, folder)
+    stored = _at_now(payloads(spark, folder), spark, folder)
+    return store.purge(table, table.select("report_id"), stored, F.col("now"), 31_536_000)[3]
+
+
 @register(
     "snk_reusable",
     f"""with {_REP}, w as (select c_custkey as account_id from customer)
@@ -319,21 +335,18 @@ def snk_reusable(spark, folder):
     return found.select("account_id", "report_id", "created_at")
 
 
+_HISTORY = ("match_id", "started_at", "hero_id", "won", "kills", "deaths", "assists")
+
+
 @register(
     "snk_history_hash",
-    f"""with {MATCH_ROWS} select account_id, count(*) as rows, true as stable from match_rows group by 1""",
+    f"""with {MATCH_ROWS}, d as (select account_id, sha256({canonical_sql({c: f"({c})::varchar" for c in _HISTORY})}) as d from match_rows),
+    e as (select account_id, d, count(*) as c from d group by 1, 2)
+    select account_id, sum(c)::bigint as rows, sha256(string_agg(d || ':' || c, '|' order by d)) as history_hash from e group by 1""",
 )
 def snk_history_hash(spark, folder):
-    """The hash is the same for the rows in another order."""
-    table = matches(spark, folder)
-    columns = ("match_id", "started_at", "hero_id", "won", "kills", "deaths", "assists")
-    left = store.history_hash(table, columns)
-    right = store.history_hash(table.repartition(5, "match_id"), columns).withColumnRenamed("history_hash", "other")
-    return left.join(right, "account_id").select(
-        "account_id",
-        F.element_at(F.split("history_hash", "-"), 1).cast("bigint").alias("rows"),
-        (F.col("history_hash") == F.col("other")).alias("stable"),
-    )
+    """The digest of the rows in another order and other partitions."""
+    return store.history_hash(matches(spark, folder).repartition(5, "match_id"), _HISTORY)
 
 
 # Reports -------------------------------------------------------------------------------------

@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from catalog.base import register
+from catalog.base import canonical_sql, register
 from catalog.detail import DETAIL_SQL
+from catalog.elements import PART_SQL
 from catalog.heroes import knowledge, traits
 from habitscope.operators import knowledge as K
 from habitscope.operators import quality, text
@@ -421,13 +422,44 @@ def dq_taxonomy(spark, folder):
     return quality.taxonomy(views.part_heroes(spark, folder).withColumn("traits", bad))
 
 
-@register(
-    "dq_manifest",
-    """select 'events' as "table", count(*) as rows, 'v1' as version from events union all select 'orders', count(*), 'v1' from orders""",
+def _digest_sql(table, columns):
+    """Rows and digest of a table: entries, chunks by three hex digits where there are more than 1,024, and their root."""
+    return f"""select '{table}' as "table", (select sum(c) from e_{table})::bigint as rows,
+      case when (select count(*) from e_{table}) <= 1024 then (select sha256(string_agg(d || ':' || c, '|' order by d)) from e_{table})
+      else (select sha256(string_agg(p || ':' || h, '|' order by p)) from (
+        select substr(d, 1, 3) as p, sha256(string_agg(d || ':' || c, '|' order by d)) as h from e_{table} group by 1)) end as checksum, 'v1' as version"""
+
+
+_TABLE_TEXT = {
+    "events": {"event_id": "event_id::varchar", "ts": "epoch_us(ts)::varchar", "user_id": "user_id::varchar", "event_type": "event_type", "value": "value::varchar", "props": "props"},
+    "orders": {
+        **{c: f"{c}::varchar" for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")},
+        "o_orderdate": "epoch_us(o_orderdate)::varchar",
+    },
+}
+_ENTRIES = ", ".join(
+    f"e_{t} as (select d, count(*) as c from (select sha256({canonical_sql(columns)}) as d from {t}) group by 1)"
+    for t, columns in _TABLE_TEXT.items()
 )
+
+
+@register("dq_manifest", f"with {_ENTRIES} " + " union all ".join(_digest_sql(t, c) for t, c in _TABLE_TEXT.items()))
 def dq_manifest(spark, folder):
-    tables = {name: views.table(spark, folder, name) for name in ("events", "orders")}
-    return quality.manifest(tables, "v1").drop("checksum")
+    return quality.manifest({name: views.table(spark, folder, name) for name in _TABLE_TEXT}, "v1")
+
+
+@register(
+    "src_trait_load",
+    f"""with {PART_SQL}, c as (select hero_id, '[' || string_agg('{{"key":"' || trait || '","value":' || value::varchar || '}}', ',' order by trait) || ']' as t from hero_trait group by 1)
+    select p_partkey as hero_id, p_partkey % 9 <> 0 as factual, case when p_partkey % 7 <> 0 then sha256(t) end as checksum
+    from part left join c on hero_id = p_partkey where p_partkey % 63 <> 0""",
+)
+def src_trait_load(spark, folder):
+    """Factual and editorial rows on the same ids; each side lacks some."""
+    table = views.part_heroes(spark, folder)
+    factual = table.where(F.col("hero_id") % 9 != 0).select("hero_id", F.lit(True).alias("factual"))
+    loaded = H.load_traits(factual, table.where(F.col("hero_id") % 7 != 0).select("hero_id", "traits"))
+    return loaded.select("hero_id", F.coalesce("factual", F.lit(False)).alias("factual"), "checksum")
 
 
 @register(

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from habitscope.functions.digest import content_digest
 from habitscope.constants import DEMANDS, JOBS
 from habitscope.sources.views import TRAITS
 
@@ -164,19 +165,11 @@ def fingerprint(spark: SparkSession, versions: dict[str, str]) -> DataFrame:
 
 
 def manifest(tables: dict[str, DataFrame], version: str) -> DataFrame:
-    """Rows and an order-free checksum of every table of a snapshot."""
+    """Rows and content digest of every table of a snapshot."""
     out = None
     for name, table in sorted(tables.items()):
-        row = F.xxhash64(*[F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(table.columns)]))])
-        one = table.agg(
-            F.count(F.lit(1)).alias("rows"),
-            # Equal rows cancel in an exclusive or, but not in a sum.
-            F.concat_ws(
-                "-",
-                F.count(F.lit(1)),
-                F.coalesce(F.bit_xor(row), F.lit(0).cast("bigint")),
-                F.coalesce(F.sum(row.cast("decimal(38,0)")), F.lit(0)),
-            ).alias("checksum"),
-        ).select(F.lit(name).alias("table"), "rows", "checksum", F.lit(version).alias("version"))
+        one = content_digest(table).select(
+            F.lit(name).alias("table"), "rows", F.col("digest").alias("checksum"), F.lit(version).alias("version")
+        )
         out = one if out is None else out.unionByName(one)
     return out

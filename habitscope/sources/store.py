@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from habitscope.functions.digest import content_digest
 from habitscope.operators.knowledge import HERO_DETAIL
 from habitscope.operators.matches import DETAIL
 from habitscope.operators.normalize import RAW_SUMMARY
@@ -156,13 +157,8 @@ def purge(
 
 
 def history_hash(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """Order-free hash of an account's history; merges before the shuffle."""
-    row = F.xxhash64(*[F.col(c) for c in columns])
-    return rows.groupBy("account_id").agg(
-        F.concat_ws("-", F.count(F.lit(1)).cast("string"), F.bit_xor(row).cast("string"), F.sum(row.cast("decimal(38,0)")).cast("string")).alias(
-            "history_hash"
-        )
-    )
+    """account_id, rows and history_hash: content digest of an account's history, free of order."""
+    return content_digest(rows, ["account_id"], columns).withColumnRenamed("digest", "history_hash")
 
 
 def reusable(wanted: DataFrame, reports: DataFrame, now: int | Column, ttl: int) -> DataFrame:
