@@ -196,7 +196,81 @@ def _site_quality(spark: SparkSession, folder: str) -> DataFrame:
     return site_quality.posteriors(docs, model, F.col("source"), path)
 
 
-@register("op11_conversation_repair")
+def _edited(value: str, cost: str, edit: str) -> str:
+    """Cost in six digits and audit as one text, which compares by cost and then by audit, after one edit before it."""
+    return f"lpad((left({value}, 6)::int + {cost})::varchar, 6, '0') || '{edit}' || substr({value}, 7)"
+
+
+# v0 to v3: cheapest way from a place to the end in the states nothing, after s, after u, after a.
+_KEPT = {
+    0: f"case initial when 's' then {_edited('v1', 'more', 'K')} when 'u' then {_edited('v2', 'more', 'K')} end",
+    1: f"case initial when 'u' then {_edited('v2', 'more', 'K')} end",
+    2: f"case initial when 'a' then {_edited('v3', 'more', 'K')} end",
+    3: f"case initial when 'u' then {_edited('v2', 'more', 'K')} end",
+}
+_BEST = ", ".join(
+    f"least({_edited(f'v{s}', '3', 'D')}, case when fault not in ('blank', 'duplicate') then {kept} end, "
+    f"case when fault not in ('blank', 'duplicate') then {_edited('v3' if s == 2 else 'v2', '2 + more', 'R')} end) as b{s}"
+    for s, kept in _KEPT.items()
+)
+_REPAIR_SQL = rf"""
+    with recursive c as (
+      select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+             string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), '') as chars
+      from conversations),
+    w as (
+      select conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295,
+               flatten(list_transform(chars, lambda x: [ord(x)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+               lambda a, x: case when x >= 0 then xor(a, x) else xor(a >> 1, (a & 1) * 3988292384) end), 4294967295) % 20 as way
+      from c),
+    e as (
+      select conv_id, turn, case when way = 4 then 'user' else role end as role,
+             case way when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+             unnest(range(case way when 0 then 0 when 3 then 2 else 1 end)) as copy
+      from w),
+    o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, sha256(text), copy) as i from e),
+    r as (
+      select conv_id, turn, role, text, i, left(role, 1) as initial, lag(left(role, 1)) over (partition by conv_id order by i) as prior,
+             case when not regexp_matches(text, '[^ 	-
+]') then 'blank'
+                  when row_number() over (partition by conv_id, role, text order by i) > 1 then 'duplicate'
+                  when not regexp_matches(text, '[.!?][ 	-
+]*$') then 'truncated' else '' end as fault
+      from o),
+    g as (
+      select conv_id, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps,
+             count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+             count(*) filter (fault = 'truncated') as truncated,
+             count(*) filter (prior is not null and prior || initial not in ('su', 'ua', 'au')) as illegal
+      from r group by 1),
+    dp as (
+      select conv_id, n + 1 as i, '000000' as v0, '000004II' as v1, '000002I' as v2, '000000' as v3 from g
+      union all
+      select conv_id, i, least(b0, {_edited('f2', '2', 'I')}), least(b1, {_edited('f2', '2', 'I')}), f2, f3 from (
+        select *, least(b2, {_edited('b3', '2', 'I')}) as f2, least(b3, {_edited('b2', '2', 'I')}) as f3 from (
+          select conv_id, i, {_BEST} from (
+            select r.*, case when fault = 'truncated' then 1 else 0 end as more, v0, v1, v2, v3
+            from dp join r on dp.conv_id is not distinct from r.conv_id and r.i = dp.i - 1)))),
+    best as (select conv_id, left(v0, 6)::bigint as cost, substr(v0, 7) as audit from dp where i = 1),
+    walk as (
+      select conv_id, audit, 1 as pos, 1::bigint as i, '' as state, '' as done from best
+      union all
+      select conv_id, audit, pos + 1, case when edit = 'I' then i else i + 1 end, case when edit = 'D' then state else left(said, 1) end,
+             case when edit = 'D' then done when done = '' then said else done || chr(10) || said end
+      from (select z.*, case edit when 'K' then r.role || ':' || r.text when 'R' then new_role || ':' || r.text when 'I' then new_role || ':' end as said
+            from (select *, substr(audit, pos, 1) as edit, case when state = 'u' then 'assistant' else 'user' end as new_role
+                  from walk where pos <= length(audit)) z
+            left join r on r.conv_id is not distinct from z.conv_id and r.i = z.i)),
+    fixed as (select conv_id, done from walk where pos = length(audit) + 1),
+    ids as (select distinct conv_id from conversations)
+    select ids.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+           coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, coalesce(cost, 0) as cost, coalesce(audit, '') as audit,
+           sha256(coalesce(done, '')) as repaired_sha256
+    from ids left join g on ids.conv_id is not distinct from g.conv_id left join best on ids.conv_id is not distinct from best.conv_id
+      left join fixed on ids.conv_id is not distinct from fixed.conv_id"""
+
+
+@register("op11_conversation_repair", _REPAIR_SQL)
 def _conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.repair(conversations.damage(table(spark, folder, "conversations")))
 
