@@ -160,12 +160,47 @@ def _plan(spark, folder):
     return table, primary, options, detectors.plan_selection(options, primary)
 
 
-@register("sel_plan")
+# The greedy as a recursive query: a step takes each account's best match with the needs that are left by then.
+_LEFT = "(3 - len(list_filter(used, lambda u: u = n.h || '=' || n.g)))"
+_PLAN_SQL = f"""{_HYP}, r as (select * from (select *, row_number() over (partition by account_id, hypothesis_id order by place desc) as l from pr) where l = 1),
+    cr as (select x.*, r.hypothesis_id, r.priority::double as priority, case {_ROLE_CASES} end as role_in from x join r on x.account_id = r.account_id),
+    cm as (select account_id, match_id, list({{'h': hypothesis_id, 'g': role_in, 'p': priority}} order by hypothesis_id) as roles, sum(priority) as reuse,
+      any_value(b) as b, any_value(won) as won, any_value(deaths)::double as deaths from cr where role_in is not null group by 1, 2),
+    cv as (select account_id, match_id, roles, 0.22::double * (0.7::double + case when b in ('long', 'short') then 0.1::double else 0 end)
+      + 0.2::double * least(1, 0.5::double + case when won then 0.1::double else 0 end + case when deaths >= 6 then 0.25::double else 0 end)
+      + 0.18::double * 0.55::double + 0.14::double * least(1, 0.4::double + deaths / 12) + 0.16::double * least(1, reuse) as base from cm),
+    gr as (
+      select account_id, 0 as step, null::bigint as match_id, null::double as gain, '' as supports, []::bigint[] as taken, []::varchar[] as used from (select distinct account_id from r)
+      union all
+      select account_id, step + 1, best.m, best.gain, array_to_string(best.uses, ';'), list_append(taken, best.m), list_concat(used, best.uses) from (
+        select account_id, step, taken, used, max({{'gain': gain, 'useful': useful, 'roles': n_roles, 'low': -match_id, 'm': match_id, 'uses': uses}}) as best from (
+          select account_id, step, taken, used, match_id, len(roles) as n_roles, len(helped) as useful, list_transform(helped, lambda n: n.h || '=' || n.g) as uses,
+            greatest(0, base + list_sum(list_transform(helped, lambda n: n.p / {_LEFT})) - least(0.7::double, step * 0.015::double) - 0.04::double) as gain
+          from (select gr.account_id, step, taken, used, cv.match_id, roles, base, list_filter(roles, lambda n: {_LEFT} > 0) as helped
+            from gr join cv using (account_id) where step < 25 and not list_contains(taken, cv.match_id)) where len(helped) > 0)
+        where gain >= 0.05 group by 1, 2, 3, 4)),
+    pl as (select account_id, match_id, step as selection_order, gain, supports from gr where step > 0)"""
+
+
+@register("sel_plan", f"with recursive {_PLAN_SQL} select * from pl", "gain")
 def sel_plan(spark, folder):
     return _plan(spark, folder)[3]
 
 
-@register("sel_state")
+@register(
+    "sel_state",
+    f"""with recursive {_PLAN_SQL},
+    sp as (select account_id, count(*) as selected from pl group by 1), og as (select account_id, count(*) as offered from cv group by 1),
+    gv as (select account_id, unnest(string_split(supports, ';')) as need from pl), gc as (select account_id, need, count(*) as given from gv group by 1, 2),
+    nd as (select account_id, hypothesis_id, grp from (select distinct account_id, hypothesis_id from pr), (values ('control'), ('negative'), ('positive')) v(grp)),
+    ms as (select nd.*, 3 - coalesce(given, 0) as missing from nd left join gc on gc.account_id = nd.account_id and gc.need = hypothesis_id || '=' || grp),
+    op as (select account_id, '[' || coalesce(string_agg('{{"hypothesis_id":"' || hypothesis_id || '","group":"' || grp || '","missing":' || missing || '}}', ',' order by hypothesis_id, grp)
+      filter (missing > 0), '') || ']' as open_needs from ms group by 1)
+    select account_id, coalesce(selected, 0) as selected, coalesce(selected, 0)::double as cost, open_needs,
+      case when selected >= 25 then 'max_deep_matches' when coalesce(offered, 0) = 0 then 'no_candidates' when coalesce(selected, 0) >= offered then 'evidence_sufficient' else 'marginal_gain_exhausted' end as stopping_reason
+    from op left join sp using (account_id) left join og using (account_id)""",
+    "cost",
+)
 def sel_state(spark, folder):
     _, primary, options, plan = _plan(spark, folder)
     return detectors.plan_state(plan, options, primary).withColumn("open_needs", F.to_json("open_needs"))
