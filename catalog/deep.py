@@ -206,14 +206,33 @@ def sel_state(spark, folder):
     return detectors.plan_state(plan, options, primary).withColumn("open_needs", F.to_json("open_needs"))
 
 
-@register("join_hydration")
+@register(
+    "join_hydration",
+    f"""with recursive {_PLAN_SQL} select account_id, match_id, selection_order,
+      case when match_id in (select match_id from match_rows where duration_seconds > 2000) then 'stored' else 'read' end as source from pl""",
+)
 def join_hydration(spark, folder):
     _, _, options, plan = _plan(spark, folder)
     stored = matches(spark, folder).where(F.col("duration_seconds") > 2000).select("match_id")
     return detectors.hydrate(plan, stored, options).select("account_id", "match_id", "selection_order", "source")
 
 
-@register("dep_evaluate")
+@register(
+    "dep_evaluate",
+    f"""with recursive {_PLAN_SQL},
+    ur as (select account_id, match_id, unnest(roles) as e from cv join pl using (account_id, match_id)),
+    vr as (select account_id, e.h as hypothesis_id, e.g as part,
+        case when r.explanation in ('death_risk_difference', 'late_death_risk', 'session_risk') then x.deaths::double
+          when r.explanation = 'timing_difference' then (x.kills * 20 + x.assists * 5)::double else x.won::int::double end as value
+      from ur join x using (account_id, match_id) join r on r.account_id = ur.account_id and r.hypothesis_id = e.h),
+    ev as (select account_id, hypothesis_id, count(*) filter (part = 'positive') as positive_matches, count(*) filter (part = 'negative') as negative_matches,
+      count(*) filter (part = 'control') as control_matches, avg(value) filter (part = 'positive') as positive_value, avg(value) filter (part = 'control') as control_value from vr group by 1, 2),
+    es as (select *, least(positive_matches, negative_matches, control_matches) as size, positive_value - control_value as raw from ev),
+    ec as (select *, case when size < 3 or raw is null then 'low' when size >= 8 and abs(raw) >= 0.15 then 'high' else 'moderate' end as confidence from es)
+    select account_id, hypothesis_id, case when size < 2 then 'insufficient_evidence' when confidence <> 'low' then 'resolved' else 'moderate' end as status,
+      confidence, positive_matches, negative_matches, control_matches, positive_value, case when size >= 2 then raw end as effect from ec""",
+    "positive_value effect",
+)
 def dep_evaluate(spark, folder):
     table, primary, options, plan = _plan(spark, folder)
     features = table.withColumn("gold_per_min", F.col("kills") * 20 + F.col("assists") * 5)
