@@ -158,6 +158,12 @@ def _strength(sites: DataFrame, centre: Column, noise: float, rate: float) -> fl
     return float(np.clip(rate * (1 - rate) / between, 1.0, 1e6))
 
 
+def summed(value: Column) -> Column:
+    """Sum of values rounded to nine places, as whole numbers of 38 digits: it doesn't depend on the order, and totals
+    may pass what a long holds."""
+    return F.sum(F.round(value * 10**9).cast("decimal(38, 0)")).cast("double") / 10**9
+
+
 def posteriors(
     docs: DataFrame, model: Classifier | None, host: Column, path: Column, least: float = 0.3, floor: float = 0.05
 ) -> DataFrame:
@@ -176,9 +182,7 @@ def posteriors(
     if model is None:
         model = Classifier(np.zeros(MEASURES), np.ones(MEASURES), np.zeros(2 * MEASURES + 1), 0.5)
     scored = rows.mapInArrow(_scored(model), f"doc_id {kind}, host string, path string, logit double")
-    # Evidence is rounded to nine places and summed as whole numbers, so sums don't depend on their order.
     scored = written(scored.withColumn("p_doc", F.round(1 / (1 + F.exp(-F.col("logit"))), 9)), "scored")
-    summed = lambda value: (F.sum(F.round(value * 10**9).cast("long")) / 10**9)
     paths = scored.groupBy("host", "path").agg(
         F.count("*").alias("n"),
         summed(F.col("p_doc")).alias("total"),

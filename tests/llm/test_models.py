@@ -175,3 +175,52 @@ def test_neighbours(spark):
 
 def test_chi_square():
     assert projections.chi_square_quantile(0.95, 8) == pytest.approx(15.507, abs=1e-3)
+
+
+def test_site_sums_pass_what_a_long_holds(spark):
+    got = spark.range(40).select((F.col("id") * 1e9 + 0.25).alias("v")).agg(site_quality.summed(F.col("v")).alias("s")).first().s
+    assert got == pytest.approx(780e9 + 10, rel=1e-12)
+
+
+def test_site_quality_by_hand(spark, folder):
+    """Rates, strengths and posteriors from the documents' logits, in numpy."""
+    docs = table(spark, folder, "documents")
+    model = site_quality.fit(docs, table(spark, folder, "labels"))
+    rows = docs.select("doc_id", "text", "source", "lang").collect()
+    data = [(r.text or "").encode() for r in rows]
+    bounds = np.concatenate([[0], np.cumsum([len(d) for d in data])])
+    logits = model.logits(site_quality.measures(np.frombuffer(b"".join(data), np.uint8), bounds))
+    p = np.round(1 / (1 + np.exp(-logits)), 9)
+    host = [r.source for r in rows]
+    site = [(r.source, r.lang) for r in rows]
+
+    def groups(names):
+        order = {n: [i for i, m in enumerate(names) if m == n] for n in set(names)}
+        return {n: (len(i), p[i].sum(), (p[i] ** 2).sum()) for n, i in order.items()}
+
+    paths, hosts, n = groups(site), groups(host), len(rows)
+    rate = float(np.clip(p.sum() / n, 1e-3, 1 - 1e-3))
+    noise = max(sum(q - t * t / c for c, t, q in paths.values()) / n, 1e-6)
+
+    def worth(sites, centre):
+        spread = sum(c * (t / c - centre(name)) ** 2 for name, (c, t, _) in sites.items())
+        between = max(spread / n - noise * len(sites) / n, 1e-6)
+        return float(np.clip(rate * (1 - rate) / between, 1.0, 1e6))
+
+    host_worth = worth(hosts, lambda _: rate)
+    shrunk = {h: (t + host_worth * rate) / (c + host_worth) for h, (c, t, _) in hosts.items()}
+    path_worth = worth(paths, lambda name: shrunk[name[0]])
+    prior = np.log(model.rate / (1 - model.rate))
+    got = {r.doc_id: r for r in site_quality.posteriors(docs, model, F.col("source"), F.col("lang")).collect()}
+    assert len(got) == n
+    for i, r in enumerate(rows):
+        h_n, h_t, _ = hosts[host[i]]
+        p_n, p_t, _ = paths[site[i]]
+        without = (h_t - p[i] + host_worth * rate) / (h_n - 1 + host_worth)
+        path_rate = (p_t - p[i] + path_worth * without) / (p_n - 1 + path_worth)
+        bounded = min(max(path_rate, 0.05), 0.95)
+        quality = 1 / (1 + np.exp(-(logits[i] - prior + np.log(bounded / (1 - bounded)))))
+        mine = got[r.doc_id]
+        assert mine.host_rate == pytest.approx(shrunk[host[i]], rel=1e-6)
+        assert mine.path_rate == pytest.approx(path_rate, rel=1e-6)
+        assert mine.quality == pytest.approx(quality, abs=1e-6) and mine.kept == (mine.quality >= 0.3)
