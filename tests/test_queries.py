@@ -34,6 +34,16 @@ FAST = (
     "knw_mechanics_tags",
     "txt_article_urls",
     "snk_new_payloads",
+    "snk_latest_payload",
+    "snk_purge_counts",
+    "snk_history_hash",
+    "dq_manifest",
+    "src_trait_load",
+    "ins_replay_gates",
+    "join_cohort_metrics",
+    "sel_plan",
+    "sel_state",
+    "dep_evaluate",
 )
 
 
