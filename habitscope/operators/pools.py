@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from habitscope.functions.expr import LN2, clamp, entropy_term
-from habitscope.functions.ordered import CHUNK, HOT, chunked
 from habitscope.operators.windows import numbered
 
 
@@ -194,83 +193,101 @@ def shift_of_counts(
     )
 
 
-def expanding_familiar(rows: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.transform(F.array(value), use)[0]
+
+
+# Rows of an account that one block holds; the pool is followed row by row inside a block.
+BLOCK_ROWS = 256
+
+
+def expanding_familiar(rows: DataFrame, hot_rows: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """For every row: is its hero in the familiar pool learned from all earlier valid rows?
 
-    Adds ``earlier_pool`` (size of that pool) and ``is_familiar``.  The pool changes with every
-    row, so one pass over each account keeps running hero counts; a hot account is passed
-    chunk by chunk, each starting from the counts of the chunks before it.
+    Adds ``earlier_pool`` (size of that pool) and ``is_familiar``.  Histories are cut into blocks of
+    ``block_rows`` by place, whatever the account's size.  A block starts from the hero counts of all blocks
+    before it, summed from counts per block and hero, and follows its own rows on an array; the counts stay sorted,
+    most played first and smaller ids first on ties, so the pool is a prefix of them.
     """
-    base = chunked(rows, ("account_id",), "started_at", hot_rows)
     valid = F.col("hero_id").isNotNull() & ~F.col("session_corrupt")
-    columns = ["account_id", CHUNK, "started_at", "match_id", "hero_id", valid.alias("valid")]
-    work = base.select(*columns)
-    if HOT in base.columns:
-        per_chunk = (
-            base.where(F.col(HOT) & valid).groupBy("account_id", CHUNK, "hero_id").agg(F.count(F.lit(1)).alias("c"))
+    placed = numbered(rows, hot_rows=hot_rows).select(
+        "account_id",
+        F.floor((F.col("rn") - 1) / block_rows).cast("bigint").alias("block"),
+        "rn",
+        "match_id",
+        "hero_id",
+        valid.alias("valid"),
+    )
+    per_block = placed.where("valid").groupBy("account_id", "block", "hero_id").agg(F.count(F.lit(1)).alias("c"))
+    # Every later block of the account has the hero, also where it pauses: a block is opened by its number alone.
+    last = placed.groupBy("account_id").agg(F.max("block").alias("_last"))
+    # Running totals hold from the block after a count to the block of the next one.
+    over = Window.partitionBy("account_id", "hero_id").orderBy("block")
+    steps = (
+        per_block.withColumns({"total": F.sum("c").over(over), "_next": F.lead("block").over(over)})
+        .join(last, "account_id")
+        .select(
+            "account_id",
+            F.explode(
+                F.when(
+                    F.col("block") < F.coalesce("_next", "_last"),
+                    F.sequence(F.col("block") + 1, F.coalesce("_next", "_last")),
+                )
+            ).alias("block"),
+            F.struct((-F.col("total")).alias("less"), "hero_id").alias("entry"),
         )
-        # Every chunk of a hot account with every hero of it, so that counts run on where a hero pauses.
-        chunks = base.where(F.col(HOT)).select("account_id", CHUNK).distinct()
-        grid = chunks.join(per_chunk.select("account_id", "hero_id").distinct(), "account_id")
-        earlier = Window.partitionBy("account_id", "hero_id").orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-        carried = (
-            grid.join(per_chunk, ["account_id", CHUNK, "hero_id"], "left")
-            .withColumn("c", F.sum("c").over(earlier))
-            .where(F.col("c") > 0)
-            .groupBy("account_id", CHUNK)
-            .agg(F.map_from_entries(F.collect_list(F.struct("hero_id", "c"))).alias("carry"))
+    )
+    carried = steps.groupBy("account_id", "block").agg(F.sort_array(F.collect_list("entry")).alias("counts"))
+    blocks = placed.groupBy("account_id", "block").agg(
+        F.sort_array(F.collect_list(F.struct("rn", "match_id", "hero_id", "valid"))).alias("rows")
+    )
+    counts_type = "array<struct<less:bigint,hero_id:bigint>>"
+    out_type = "array<struct<match_id:bigint,earlier_pool:bigint,is_familiar:boolean>>"
+    opening = F.coalesce("counts", F.array().cast(counts_type))
+    played = F.aggregate(opening, F.lit(0).cast("bigint"), lambda t, x: t - x["less"])
+    start = F.struct(opening.alias("counts"), played.alias("played"), F.array().cast(out_type).alias("out"))
+
+    def entry(less: Column, hero: Column) -> Column:
+        return F.struct(less.alias("less"), hero.alias("hero_id"))
+
+    def pool_size(counts: Column, goal: Column, stable: Column) -> Column:
+        # The pool never has more than ten heroes, so the first ten decide.
+        grown = F.aggregate(
+            F.slice(counts, 1, 10),
+            F.struct(F.lit(0).cast("bigint").alias("covered"), F.lit(0).alias("size")),
+            lambda a, x: F.when((a["covered"] >= goal) & (a["size"] >= F.least(F.lit(3), stable)), a).otherwise(
+                F.struct((a["covered"] - x["less"]).alias("covered"), (a["size"] + 1).alias("size"))
+            ),
+            lambda a: a["size"],
         )
-        work = work.join(carried, ["account_id", CHUNK], "left")
-    else:
-        work = work.withColumn("carry", F.lit(None).cast("map<bigint,bigint>"))
-
-    def walk(pdf):
-        import numpy as np
-        import pandas as pd
-
-        pdf = pdf.sort_values(["started_at", "match_id"], kind="stable")
-        carry = pdf["carry"].iloc[0]
-        start = dict(carry) if carry is not None else {}
-        usable = pdf["valid"].to_numpy(dtype=bool)
-        hero = pdf["hero_id"].fillna(-1).to_numpy(dtype="int64")
-        names = np.unique(np.concatenate([hero[usable], np.array(list(start), dtype="int64")]))
-        running = np.array([start.get(int(h), 0) for h in names], dtype="int64")
-        size = np.zeros(len(pdf), dtype="int64")
-        familiar = np.zeros(len(pdf), dtype=bool)
-        place = np.searchsorted(names, hero)
-        known = (place < len(names)) & (names[np.minimum(place, max(len(names) - 1, 0))] == hero) if len(names) else usable & False
-        for begin in range(0, len(pdf), 4096):
-            block = slice(begin, min(begin + 4096, len(pdf)))
-            length = block.stop - block.start
-            step = np.zeros((length + 1, len(names)), dtype="int64")
-            inside = np.nonzero(usable[block])[0]
-            step[inside + 1, place[block][inside]] = 1
-            before = running + np.cumsum(step, axis=0)
-            running = before[-1]
-            before = before[:-1]
-            if not len(names):
-                continue
-            order = np.argsort(-before, axis=1, kind="stable")  # names ascend, so ties keep the smaller id
-            ranked = np.take_along_axis(before, order, axis=1)
-            stable = (ranked >= 3).sum(axis=1)
-            goal = np.maximum(1, np.ceil(before.sum(axis=1) * 0.5))
-            covered = np.cumsum(ranked, axis=1)
-            met = (covered >= goal[:, None]) & (np.arange(1, len(names) + 1)[None, :] >= np.minimum(3, stable)[:, None])
-            stop = np.where(met.any(axis=1), met.argmax(axis=1) + 1, len(names))
-            size[block] = np.minimum(np.minimum(stop, stable), 10)
-            rank = np.empty_like(order)
-            np.put_along_axis(rank, order, np.arange(len(names))[None, :].repeat(length, axis=0), axis=1)
-            own = rank[np.arange(length), np.minimum(place[block], len(names) - 1)]
-            familiar[block] = known[block] & (own < size[block])
-        return pd.DataFrame(
-            {
-                "account_id": pdf["account_id"],
-                "match_id": pdf["match_id"],
-                "earlier_pool": size,
-                "is_familiar": familiar,
-            }
+        return F.least(grown, stable)
+
+    def follow(state: Column, row: Column) -> Column:
+        counts, hero = state["counts"], row["hero_id"]
+        goal = F.greatest(F.lit(1), F.ceil(state["played"] / 2))
+        stable = F.size(F.filter(counts, lambda x: x["less"] <= -3))
+        result = bound(
+            bound(stable, lambda n: pool_size(counts, goal, n)),
+            lambda size: F.struct(
+                row["match_id"].alias("match_id"),
+                size.cast("bigint").alias("earlier_pool"),
+                F.coalesce(F.exists(F.slice(counts, F.lit(1), size), lambda x: x["hero_id"] == hero), F.lit(False)).alias(
+                    "is_familiar"
+                ),
+            ),
+        )
+        risen = F.transform(counts, lambda x: F.when(x["hero_id"] == hero, entry(x["less"] - 1, hero)).otherwise(x))
+        opened = F.concat(counts, F.array(entry(F.lit(-1).cast("bigint"), hero)))
+        known = F.exists(counts, lambda x: x["hero_id"] == hero)
+        return F.struct(
+            F.when(row["valid"], F.sort_array(F.when(known, risen).otherwise(opened))).otherwise(counts).alias("counts"),
+            (state["played"] + row["valid"].cast("bigint")).alias("played"),
+            F.concat(state["out"], F.array(result)).alias("out"),
         )
 
-    return work.groupBy("account_id", CHUNK).applyInPandas(
-        walk, "account_id bigint, match_id bigint, earlier_pool bigint, is_familiar boolean"
+    return (
+        blocks.join(carried, ["account_id", "block"], "left")
+        .select("account_id", F.explode(F.aggregate("rows", start, follow, lambda s: s["out"])).alias("e"))
+        .select("account_id", "e.*")
     )

@@ -74,7 +74,9 @@ def test_baselines_do_not_depend_on_chunks(spark, folder):
 
 def test_pools_and_windows_do_not_depend_on_chunks(spark, folder):
     rows = sessions.sessionize(views.match_rows(spark, folder), 1440).drop("_chunk")
-    assert table(pools.expanding_familiar(rows)) == table(pools.expanding_familiar(rows, HOT_ROWS))
+    pool = table(pools.expanding_familiar(rows))
+    assert pool == table(pools.expanding_familiar(rows, HOT_ROWS))
+    assert pool == table(pools.expanding_familiar(rows, block_rows=3))
     columns = ("account_id", "match_id", "familiar", "method")
     assert table(pools.evaluation_groups(rows), *columns) == table(pools.evaluation_groups(rows, HOT_ROWS), *columns)
     assert table(windows.longest_streak(rows, "hero_id")) == table(windows.longest_streak(rows, "hero_id", HOT_ROWS))
