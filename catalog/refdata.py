@@ -186,6 +186,59 @@ def knw_capabilities(spark, folder):
     return K.capabilities(tagged, base)
 
 
+# The tags once more, where damage may also be a flag: ids that seven divides have it.
+_FLAGGED = TAG_SQL.replace("and contains(t, 'damage')", "and (contains(t, 'damage') or ref % 7 = 0)")
+_PROOF = f"""{_FLAGGED},
+once as (select distinct hero_id, characteristic as c, ref::varchar as ref from tg),
+have as (select hero_id, c, count(*) as n from once group by 1, 2),
+hero as (select distinct hero_id, hero_id <> 20 and 500 + hero_id * 12 >= 600 and hero_id % 6 >= 3 as sturdy, hero_id <> 20 and hero_id % 3 + 1 = 3 as hard from ab),
+lean as (select once.*, sturdy, hard, n, exists (from have x where x.hero_id = once.hero_id and x.c = 'initiation') as opens,
+    exists (from have x where x.hero_id = once.hero_id and x.c = 'burst') as bursts, exists (from have x where x.hero_id = once.hero_id and x.c = 'sustained_damage') as burns
+  from once join have using (hero_id, c) join hero using (hero_id)),
+proof as (
+  select hero_id, 'capability' as kind, case c when 'area' then 'teamfight' else c end as characteristic, if(n >= 2, 'high', 'medium') as band, ref from lean
+  union select hero_id, 'capability', 'wave_clear', 'high', ref from lean where c = 'area' and n >= 2
+  union select hero_id, 'capability', 'frontline', 'high', ref from lean where c = 'initiation' and sturdy
+  union select hero_id, 'capability', 'pickoff', 'high', ref from lean where (c = 'initiation' and (bursts or burns)) or (c = 'burst' and opens) or (c = 'sustained_damage' and opens and not bursts)
+  union select hero_id, 'capability', unnest(['repositioning', 'access']), if(n >= 2, 'high', 'medium'), ref from lean where c = 'mobility'
+  union select hero_id, 'capability', 'counter_initiation', if(n >= 2, 'high', 'medium'), ref from lean where c = 'displacement'
+  union select hero_id, 'capability', 'execution', 'high', ref from lean where c = 'micro' and not hard
+  union select hero_id, 'demand', unnest(['commitment', 'exposure']), if(sturdy, 'high', 'medium'), ref from lean where c = 'initiation'
+  union select hero_id, 'demand', 'execution', 'high', ref from lean where c = 'micro'
+  union select hero_id, k, v, 'high', r from hero, (values ('capability', 'frontline'), ('demand', 'commitment'), ('demand', 'exposure')) kv(k, v),
+    (values ('base_stats:max_health'), ('base_stats:armor')) rs(r) where sturdy
+  union select hero_id, 'capability', 'execution', 'high', 'identity:complexity' from hero where hard
+  union select hero_id, 'demand', 'execution', 'high', 'identity:complexity' from hero where hard and hero_id not in (select hero_id from have where c = 'micro')
+  union select hero_id, 'demand', 'access', 'high', 'rule:no_mobility_signal' from hero where hero_id not in (select hero_id from have where c in ('mobility', 'global_pressure')))"""
+
+
+def proof(spark, folder):
+    """References behind the bands; the stats of hero 20 are not known."""
+    texts = ability_texts(spark, folder).withColumn("damages", F.col("ref") % 7 == 0)
+    known = F.col("hero_id") != 20
+    base = texts.select("hero_id").distinct().select(
+        "hero_id",
+        F.when(known, 500 + F.col("hero_id") * 12).cast("double").alias("max_health"),
+        F.when(known, F.col("hero_id") % 6).cast("double").alias("armor"),
+        F.when(known, F.col("hero_id") % 3 + 1).cast("int").alias("complexity"),
+    )
+    return K.evidence(K.tags(texts), base, texts)
+
+
+@register("knw_evidence", f"with {_PROOF} select *, 'mechanic-rules-1.0.0' as rule_version from proof")
+def knw_evidence(spark, folder):
+    return proof(spark, folder)
+
+
+@register(
+    "knw_demands",
+    f"""with {_PROOF} select hero_id, characteristic as demand, band, 'mechanic-rules-1.0.0' as rule_version, count(*) as reference_count
+    from proof where kind = 'demand' group by all""",
+)
+def knw_demands(spark, folder):
+    return K.demands(proof(spark, folder))
+
+
 @register(
     "knw_functions",
     f"""with {TAG_SQL}, {_capability_sql('false', 'false')},

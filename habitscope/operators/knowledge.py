@@ -196,14 +196,15 @@ def shows(text: Column, pattern: str) -> Column:
 def tags(abilities: DataFrame, rules: dict[str, tuple[str, ...]] = TAG_RULES) -> DataFrame:
     """One row per ability text and characteristic it shows; whole texts, each lowered once.
 
-    ``abilities`` has ``hero_id``, ``ref`` and ``text``.  References stay rows, so a hero with any
-    number of texts is never held together.
+    ``abilities`` has ``hero_id``, ``ref`` and ``text``, and may have ``damages``, a flag for damage that is known
+    without its word in the text.  References stay rows, so a hero with any number of texts is never held together.
     """
-    lowered = abilities.select("hero_id", "ref", F.lower("text").alias("text"))
+    flag = F.coalesce(F.col("damages"), F.lit(False)) if "damages" in abilities.columns else F.lit(False)
+    lowered = abilities.select("hero_id", "ref", F.lower("text").alias("text"), flag.alias("damages"))
     text = F.col("text")
     area = (
         F.contains(text, F.lit("radius")) | F.contains(text, F.lit("area")) | F.contains(text, F.lit("nearby"))
-    ) & F.contains(text, F.lit("damage"))
+    ) & (F.contains(text, F.lit("damage")) | F.col("damages"))
     hits = [
         F.when(reduce(lambda a, b: a | b, [shows(text, p) for p in patterns]), F.lit(name))
         for name, patterns in rules.items()
@@ -256,6 +257,116 @@ def capabilities(tagged: DataFrame, base_stats: DataFrame | None = None) -> Data
     return wide.select("hero_id", F.explode(entries).alias("e")).select("hero_id", "e.*")
 
 
+# The version of the rules and the references of what no ability shows.
+RULE_VERSION = "mechanic-rules-1.0.0"
+STURDY_REFS = ("base_stats:max_health", "base_stats:armor")
+COMPLEX_REF = "identity:complexity"
+IMMOBILE_REF = "rule:no_mobility_signal"
+
+
+def ability_rows(mechanics: DataFrame) -> DataFrame:
+    """``hero_id``, ``ref`` and ``text`` of each ability of the normalised hero documents."""
+    a = F.col("a")
+    return mechanics.select("hero_id", F.explode("abilities").alias("a")).select(
+        "hero_id",
+        F.concat(F.lit("ability:"), F.coalesce(a["internal_name"], a["ability_id"].cast("string"))).alias("ref"),
+        F.concat_ws(" ", a["internal_name"], a["display_name"], a["description"]).alias("text"),
+    )
+
+
+def evidence(tagged: DataFrame, base_stats: DataFrame, abilities: DataFrame) -> DataFrame:
+    """What every band and demand of a hero follows from: one row per reference.
+
+    ``kind`` is capability or demand.  A tag row finds by itself the results that lean on it, from one row of flags
+    per hero, so references are never gathered: a hero with any number of them stays many rows.  ``base_stats`` is
+    as in :func:`capabilities` and has every hero; one that also has rows in ``abilities`` but no mobility needs access.
+    Missing health, armour or complexity show nothing.
+    """
+    once = tagged.select("hero_id", "characteristic", F.col("ref").cast("string").alias("ref")).distinct()
+    names = (*TAG_RULES, "area")
+    counted = once.groupBy("hero_id").agg(*[F.count_if(F.col("characteristic") == n).alias(f"n_{n}") for n in names])
+    flags = (
+        base_stats.select(
+            "hero_id",
+            F.coalesce((F.col("max_health") >= 600) & (F.col("armor") >= 3), F.lit(False)).alias("sturdy"),
+            F.coalesce(F.col("complexity") == 3, F.lit(False)).alias("complex"),
+        )
+        .join(counted, "hero_id", "left")
+        .join(abilities.select("hero_id").distinct().withColumn("able", F.lit(True)), "hero_id", "left")
+        .na.fill(0, [f"n_{n}" for n in names])
+        .na.fill(False, ["able"])
+    )
+    sturdy, hard = F.col("sturdy"), F.col("complex")
+    n = {name: F.col(f"n_{name}") for name in names}
+
+    def band(count: Column) -> Column:
+        return F.when(count >= 2, "high").otherwise("medium")
+
+    def use(kind: str, characteristic: str | Column, grade: str | Column, when: Column) -> Column:
+        name = F.lit(characteristic) if isinstance(characteristic, str) else characteristic
+        return F.when(
+            when,
+            F.struct(
+                F.lit(kind).alias("kind"),
+                name.alias("characteristic"),
+                (F.lit(grade) if isinstance(grade, str) else grade).alias("band"),
+            ),
+        )
+
+    tag = F.col("characteristic")
+    count = reduce(lambda a, name: F.when(tag == name, n[name]).otherwise(a), names, F.lit(0))
+    committed = F.when(sturdy, "high").otherwise("medium")
+    strikes = n["burst"] + n["sustained_damage"] > 0
+    leans = [
+        use("capability", tag, band(count), tag != "area"),
+        use("capability", "teamfight", band(n["area"]), tag == "area"),
+        use("capability", "wave_clear", "high", (tag == "area") & (n["area"] >= 2)),
+        use("capability", "frontline", "high", (tag == "initiation") & sturdy),
+        use("capability", "pickoff", "high", (tag == "initiation") & strikes),
+        use("capability", "pickoff", "high", (tag == "burst") & (n["initiation"] > 0)),
+        use("capability", "pickoff", "high", (tag == "sustained_damage") & (n["initiation"] > 0) & (n["burst"] == 0)),
+        use("capability", "repositioning", band(n["mobility"]), tag == "mobility"),
+        use("capability", "access", band(n["mobility"]), tag == "mobility"),
+        use("capability", "counter_initiation", band(n["displacement"]), tag == "displacement"),
+        use("capability", "execution", "high", (tag == "micro") & ~hard),
+        use("demand", "commitment", committed, tag == "initiation"),
+        use("demand", "exposure", committed, tag == "initiation"),
+        use("demand", "execution", "high", tag == "micro"),
+    ]
+    shown = once.join(flags, "hero_id").select(
+        "hero_id", "ref", F.explode(F.array_compact(F.array(*leans))).alias("e")
+    )
+    still = F.col("able") & (n["mobility"] == 0) & (n["global_pressure"] == 0)
+    given = [
+        (use(kind, name, "high", sturdy), ref)
+        for ref in STURDY_REFS
+        for kind, name in (("capability", "frontline"), ("demand", "commitment"), ("demand", "exposure"))
+    ] + [
+        (use("capability", "execution", "high", hard), COMPLEX_REF),
+        (use("demand", "execution", "high", hard & (n["micro"] == 0)), COMPLEX_REF),
+        (use("demand", "access", "high", still), IMMOBILE_REF),
+    ]
+    known = flags.select(
+        "hero_id", F.explode(F.array(*[F.struct(F.lit(ref).alias("ref"), e.alias("e")) for e, ref in given])).alias("g")
+    ).select("hero_id", "g.ref", "g.e")
+    return (
+        shown.unionByName(known.where(F.col("e").isNotNull()))
+        .select("hero_id", "e.*", "ref")
+        .distinct()
+        .withColumn("rule_version", F.lit(RULE_VERSION))
+    )
+
+
+def demands(proof: DataFrame) -> DataFrame:
+    """Demands of each hero with their band and the number of references behind it."""
+    return (
+        proof.where(F.col("kind") == "demand")
+        .groupBy("hero_id", "characteristic", "band", "rule_version")
+        .agg(F.count(F.lit(1)).alias("reference_count"))
+        .withColumnRenamed("characteristic", "demand")
+    )
+
+
 def functions_of(bands: DataFrame) -> DataFrame:
     """Primary and secondary functions of each hero from its capability bands."""
     leading = F.col("characteristic").isin("teamfight", "initiation", "save", "mobility")
