@@ -1,5 +1,7 @@
 """Nested detail documents, stores, and the account and deep reports."""
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from catalog.base import GAP, MATCH_ROWS, WINDOW_END, canonical_sql, matches, register
@@ -11,6 +13,7 @@ from habitscope.operators import knowledge as K
 from habitscope.operators import matches as M
 from habitscope.operators import portfolio
 from habitscope.plans import report
+from habitscope.session import checkpoint_folder
 from habitscope.sources import store, views
 
 # Nested documents ----------------------------------------------------------------------------
@@ -98,6 +101,135 @@ def nrm_participants(spark, folder):
     )
 
 
+def written_lines(frame, identity, breaks):
+    """Path of a text file with one JSON document per row, some of them broken by the rest of their id by 41.
+
+    The folder is the one that all executors share.
+    """
+    rest = F.col(identity) % 41
+    text = F.to_json(F.struct(*[F.when(rest == 1, None).otherwise(F.col(c)).alias(c) if c == identity else F.col(c) for c in frame.columns]))
+    line = F.when(rest == 0, F.substr(text, F.lit(1), F.length(text) - 9)).when(rest == 2, F.concat(F.lit("["), text, F.lit("]")))
+    for value, change in breaks.items():
+        line = line.when(rest == value, change(text))
+    path = f"{checkpoint_folder(frame.sparkSession)}/lines-{uuid4().hex}"
+    frame.select(line.otherwise(text).alias("value")).write.text(path)
+    return path
+
+
+def match_documents(spark, folder):
+    breaks = {
+        3: lambda t: F.replace(t, F.lit('"players":['), F.lit('"players":"none","other":[')),
+        4: lambda t: F.regexp_replace(t, r'"duration":\d+', '"duration":"long"'),
+        5: lambda t: F.lit("  "),
+        6: lambda t: F.regexp_replace(t, r'"kills":\d+', '"kills":[1]'),
+    }
+    path = written_lines(documents(spark, folder), "match_id", breaks)
+    return store.read_documents(spark, path, M.DETAIL, "match_id", ["players"])
+
+
+@register(
+    "src_match_documents",
+    f"""with {DETAIL_SQL} select match_id, player_no - 1 as player_no, account_id, hero_id, case when match_id % 41 <> 6 then kills else 0 end as kills, deaths, net_worth,
+      won = (player_no % 2 = 1) as won, case when match_id % 41 <> 4 then duration_seconds else 0 end as duration_seconds, ({_ITEMS})::bigint as items
+    from dr where match_id % 41 not in (0, 1, 2, 3, 5)""",
+    "net_worth",
+)
+def src_match_documents(spark, folder):
+    read = match_documents(spark, folder).where("usable")
+    return M.participants(read).select(
+        "match_id",
+        "player_no",
+        "account_id",
+        "hero_id",
+        "kills",
+        "deaths",
+        "net_worth",
+        "won",
+        "duration_seconds",
+        F.size("item_ids").alias("items"),
+    )
+
+
+@register(
+    "src_match_ledger",
+    f"""with {DETAIL_SQL}, m as (select distinct match_id % 41 as r, match_id from dr),
+    p as (select case r when 0 then 'not_json' when 1 then 'no_match_id' when 2 then 'not_an_object' when 3 then 'no_players' when 4 then 'wrong_type' when 5 then 'blank' when 6 then 'wrong_type' else 'none' end as problem from m)
+    select problem, problem in ('none', 'wrong_type') as usable, count(*) as documents from p group by 1, 2""",
+)
+def src_match_ledger(spark, folder):
+    return store.document_ledger(match_documents(spark, folder))
+
+
+def roster_documents(spark, folder):
+    """Hero documents made of parts: one ability for each word of the name, two values each."""
+    key = F.col("p_partkey").cast("bigint")
+
+    def ability(word, i):
+        values = F.array(
+            *[
+                F.struct(
+                    F.lit(name).alias("name"),
+                    F.array((F.col("p_size") * scale + i).cast("double")).alias("values_float"),
+                    F.lit(False).alias("is_percentage"),
+                )
+                for name, scale in (("radius", 10), ("duration", 1))
+            ]
+        )
+        return F.struct((key * 10 + i).alias("id"), word.alias("name"), F.initcap(word).alias("name_loc"), values.alias("special_values"))
+
+    heroes = views.table(spark, folder, "part").select(
+        key.alias("id"),
+        F.col("p_name").alias("name"),
+        F.col("p_brand").alias("name_loc"),
+        (key % 5).alias("primary_attr"),
+        (key % 3 + 1).alias("complexity"),
+        F.array(*[(key + i) % 3 for i in range(4)]).alias("role_levels"),
+        (F.col("p_size") * 20).cast("double").alias("max_health"),
+        F.transform(F.split("p_name", " "), ability).alias("abilities"),
+        F.array(F.struct(F.col("p_type").alias("name"))).alias("facets"),
+    )
+    breaks = {4: lambda t: F.regexp_replace(t, r'"complexity":\d', '"complexity":"high"')}
+    path = written_lines(heroes, "id", breaks)
+    return store.read_documents(spark, path, K.HERO_DETAIL, "id", ["abilities"])
+
+
+@register(
+    "src_roster_documents",
+    """select p_partkey as hero_id, p_name as internal_name, p_brand as display_name,
+      case p_partkey % 5 when 0 then 'strength' when 1 then 'agility' when 2 then 'intelligence' when 3 then 'universal' end as primary_attribute,
+      case when p_partkey % 41 <> 4 then p_partkey % 3 + 1 end as complexity,
+      array_to_string(list_transform(list_filter([0, 1, 2, 3], lambda i: (p_partkey + i) % 3 > 0), lambda i: ['Carry', 'Support', 'Nuker', 'Disabler'][i + 1]), ',') as roles,
+      array_to_string(string_split(p_name, ' '), ',') as abilities,
+      len(string_split(p_name, ' ')) * p_size * 10 + len(string_split(p_name, ' ')) * (len(string_split(p_name, ' ')) - 1) // 2 as radius, p_type as facets, p_size * 20 as max_health
+    from part where p_partkey % 41 not in (0, 1, 2)""",
+    "radius max_health",
+)
+def src_roster_documents(spark, folder):
+    heroes = K.hero_mechanics(roster_documents(spark, folder).where("usable"))
+    radius = F.aggregate("abilities", F.lit(0.0), lambda t, a: t + a["special_values"]["radius"][0])
+    return heroes.select(
+        "hero_id",
+        "internal_name",
+        "display_name",
+        "primary_attribute",
+        "complexity",
+        F.concat_ws(",", "roles").alias("roles"),
+        F.concat_ws(",", F.transform("abilities", lambda a: a["internal_name"])).alias("abilities"),
+        radius.alias("radius"),
+        F.concat_ws(",", "facets").alias("facets"),
+        F.col("base_stats.max_health").alias("max_health"),
+    )
+
+
+@register(
+    "src_roster_ledger",
+    """with p as (select case p_partkey % 41 when 0 then 'not_json' when 1 then 'no_id' when 2 then 'not_an_object' when 4 then 'wrong_type' else 'none' end as problem from part)
+    select problem, problem in ('none', 'wrong_type') as usable, count(*) as documents from p group by 1, 2""",
+)
+def src_roster_ledger(spark, folder):
+    return store.document_ledger(roster_documents(spark, folder))
+
+
 @register(
     "nrm_events",
     f"""with {DETAIL_SQL}, k as (select match_id, player_no, account_id, account_id % 100 + 1 as victim, unnest(range(kills % 3)) as i from dr),

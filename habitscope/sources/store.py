@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,6 +41,51 @@ def read_roster(spark: SparkSession, path: str, per_line: bool = False) -> DataF
     return spark.read.schema(HERO_DETAIL).json(path, multiLine=not per_line)
 
 
+def read_documents(
+    spark: SparkSession, path: str, schema: T.StructType, identity: str, parts: Sequence[str] = ()
+) -> DataFrame:
+    """Nested documents, one per line, typed by ``schema``, none of them lost: see :func:`typed_documents`."""
+    return typed_documents(spark.read.text(path), schema, identity, parts)
+
+
+def typed_documents(
+    lines: DataFrame, schema: T.StructType, identity: str, parts: Sequence[str] = ()
+) -> DataFrame:
+    """The fields of JSON documents in the column ``value``, their ``problem`` and whether they are ``usable``.
+
+    A document that is blank or null, no JSON, no object, without ``identity`` or without one of the lists ``parts``
+    stays as a row that is not usable.  A field of another type than the schema's is null, also inside a list, and
+    the document stays usable as ``wrong_type``.  Names that are not in the schema are ignored.
+    """
+    broken = "_broken"
+    typed = F.from_json(
+        "value", T.StructType([*schema.fields, T.StructField(broken, T.StringType())]), {"columnNameOfCorruptRecord": broken}
+    )
+    read = lines.select("value", typed.alias("d"))
+    # The text is parsed a second time only where the first time left something open.
+    kind = F.schema_of_variant(F.try_parse_json("value"))
+    open_ = F.col(f"d.{broken}").isNotNull() | F.col(f"d.{identity}").isNull()
+    problem = F.when(F.trim(F.coalesce("value", F.lit(""))) == "", "blank").when(
+        open_,
+        F.when(kind.isNull(), "not_json")
+        .when(~kind.startswith("OBJECT"), "not_an_object")
+        .when(F.col(f"d.{identity}").isNull(), f"no_{identity}"),
+    )
+    for part in parts:
+        problem = F.coalesce(problem, F.when(F.col(f"d.{part}").isNull(), f"no_{part}"))
+    problem = F.coalesce(problem, F.when(F.col(f"d.{broken}").isNotNull(), "wrong_type"))
+    return read.select(
+        *[F.col("d")[f.name].alias(f.name) for f in schema.fields], problem.alias("problem")
+    ).withColumn("usable", F.col("problem").isNull() | (F.col("problem") == "wrong_type"))
+
+
+def document_ledger(documents: DataFrame) -> DataFrame:
+    """Documents by problem, ``none`` for those without one; with :func:`typed_documents` they sum to all lines."""
+    return documents.groupBy(F.coalesce("problem", F.lit("none")).alias("problem"), "usable").agg(
+        F.count(F.lit(1)).alias("documents")
+    )
+
+
 _ENDPOINTS = {
     "durations": "duration_bin bigint, games_played bigint, wins bigint",
     "matchups": "hero_id bigint, games_played bigint, wins bigint",

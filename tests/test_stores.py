@@ -100,3 +100,35 @@ def test_latest_payload_of_equal_times(spark):
     rows = [("e", "1", "b", 5), ("e", "1", "a", 5), ("e", "1", "c", 4)]
     frame = spark.createDataFrame(rows, "endpoint string, source_id string, payload_hash string, fetched_at long")
     assert store.latest_payload(frame, 6, 10).first().payload_hash == "b"
+
+
+def test_broken_documents_stay_as_counted_rows(spark, tmp_path):
+    lines = [
+        '{"match_id": 1, "duration": 10, "players": [{"hero_id": 2, "kills": "x"}, {"hero_id": 3}], "extra": 1}',
+        '{"match_id": 2, "players": []}',
+        '{"match_id": 3}',
+        '{"match_id": 4, "players": {"hero_id": 1}}',
+        '{"match_id": "five", "players": []}',
+        '{"players": []}',
+        '{"match_id": 6, "players": [',
+        "[1, 2]",
+        "null",
+        "7",
+        "",
+        "   ",
+        '{"match_id": 8, "duration": 1.5, "players": []}',
+    ]
+    (tmp_path / "d.json").write_text("\n".join(lines) + "\n")
+    got = store.read_documents(spark, str(tmp_path / "d.json"), matches.DETAIL, "match_id", ["players"])
+    assert {r["match_id"]: (r["problem"], r["usable"]) for r in got.where("match_id is not null").collect()} == {
+        1: ("wrong_type", True), 2: (None, True), 3: ("no_players", False), 4: ("no_players", False), 8: ("wrong_type", True),
+    }
+    ledger = {r["problem"]: r["documents"] for r in store.document_ledger(got).collect()}
+    assert sum(ledger.values()) == len(lines)
+    assert (ledger["blank"], ledger["not_json"], ledger["not_an_object"], ledger["no_match_id"]) == (2, 1, 3, 2)
+    people = {r["hero_id"]: r["kills"] for r in matches.participants(got.where("usable")).collect()}
+    assert people == {2: 0, 3: 0}
+    nothing = store.typed_documents(spark.createDataFrame([], "value string"), matches.DETAIL, "match_id", ["players"])
+    assert store.document_ledger(nothing).count() == 0
+    void = store.typed_documents(spark.createDataFrame([(None,)], "value string"), matches.DETAIL, "match_id")
+    assert void.first()["problem"] == "blank"
