@@ -20,7 +20,7 @@ from catalog.base import (
 )
 from catalog.elements import _RATES, familiar_sql
 from catalog.sessions import _TRANSITIONS
-from habitscope.operators import dimensions, sessions
+from habitscope.operators import dimensions, features, sessions
 from habitscope.operators.measures import with_performance, with_rates
 
 GAPS = (360, 720, 1440)
@@ -190,3 +190,70 @@ def dim_endurance_by_gap(spark, folder):
     rows = sessions.by_gap(with_performance(matches(spark, folder)), GAPS)
     table = sessions.sessions_of(rows, window_end=WINDOW_END, keys=keys, gap_column="gap")
     return dimensions.endurance(rows, table, keys).select("account_id", "gap", "sample_size", "score")
+
+
+# Roles count from a confidence of 0.8 here, so that some rows of the given tables are without one.
+_FEATURES = f"""{measured()},
+fl as (select *, count(*) over (partition by account_id) as n, case when role_confidence >= 0.8 then role_hint end as role from perf),
+hc as (select account_id, hero_id, count(*) as c, any_value(n) as n from fl group by 1, 2),
+fam as ({familiar_sql('hc', 5, True)}),
+fx as (select fl.*, fam.hero_id is not null as familiar from fl left join fam using (account_id, hero_id)),
+rc as (select account_id, role, count(*) as c, avg(performance) as mean, min(struct_pack(s := started_at, m := match_id)) as seen from fl where role is not null group by 1, 2),
+hk as (select *, row_number() over (partition by account_id order by c desc, hero_id) as k, c / sum(c) over (partition by account_id) as p from hc),
+rk as (select *, c / sum(c) over (partition by account_id) as p from rc)"""
+
+
+def features_of(spark, folder):
+    rows = measures(spark, folder)
+    return rows, session_rows(rows)
+
+
+@register(
+    "agg_feature_set",
+    f"""with {_FEATURES},
+    a as (select account_id, count(*) as sample_size, count(*) as dated_rows, count(role) as role_rows, count(activity) as activity_rows, count(*) as orientation_rows,
+        count(performance) filter (familiar) as familiar_rows, count(performance) filter (not familiar) as off_pool_rows,
+        avg(performance) filter (familiar) as familiar_performance, avg(performance) filter (not familiar) as off_pool_performance,
+        sum(weight) ** 2 / sum(weight ** 2) as effective_sample_size, min(started_at) as window_start, max(started_at) as window_end, count(role) / count(*) as role_coverage from fx group by 1),
+    h as (select account_id, string_agg(hero_id || ':' || c, ',' order by hero_id) as hero_counts, case when count(*) > 1 then -sum(p * ln(p)) else 0 end as hero_entropy,
+        case when count(*) > 1 then -sum(p * ln(p)) / ln(count(*)) else 0 end as normalized_hero_entropy, exp(-sum(p * ln(p))) as effective_hero_count,
+        sum(p) filter (k <= 1) as top1_share, sum(p) filter (k <= 3) as top3_share, sum(p) filter (k <= 5) as top5_share, sum(p) filter (k <= 10) as top10_share from hk group by 1),
+    r as (select account_id, string_agg(role || ':' || c, ',' order by role) as role_counts, string_agg(role || ':' || round(mean, 6)::decimal(9, 6)::varchar, ',' order by role) as role_performance,
+        case when count(*) > 1 then -sum(p * ln(p)) else 0 end as role_entropy, case when count(*) > 1 then -sum(p * ln(p)) / ln(count(*)) else 0 end as normalized_role_entropy,
+        exp(-sum(p * ln(p))) as effective_role_count, arg_min(role, struct_pack(less := -c, s := seen)) as dominant_role, coalesce(string_agg(role, ',' order by role) filter (c >= 3), '') as familiar_roles from rk group by 1),
+    f as (select account_id, string_agg(hero_id, ',' order by hero_id) as familiar_heroes from fam group by 1),
+    ses as (select account_id, count(*) filter (completed) as completed_sessions, count(*) filter (left_censored) as left_censored_sessions, count(*) filter (right_censored) as right_censored_sessions from sess group by 1)
+    select a.*, h.* exclude (account_id), coalesce(role_counts, '') as role_counts, coalesce(role_performance, '') as role_performance, coalesce(role_entropy, 0) as role_entropy,
+      coalesce(normalized_role_entropy, 0) as normalized_role_entropy, coalesce(effective_role_count, 0) as effective_role_count, dominant_role, coalesce(familiar_roles, '') as familiar_roles,
+      coalesce(familiar_heroes, '') as familiar_heroes, ses.* exclude (account_id)
+    from a join h using (account_id) left join r using (account_id) left join f using (account_id) join ses using (account_id)""",
+    "familiar_performance off_pool_performance effective_sample_size role_coverage hero_entropy normalized_hero_entropy effective_hero_count top1_share top3_share top5_share top10_share role_entropy normalized_role_entropy effective_role_count",
+)
+def agg_feature_set(spark, folder):
+    rows, sessions = features_of(spark, folder)
+    table = features.feature_set(rows, sessions, 0.8)
+
+    def listed(column, text):
+        return F.coalesce(F.concat_ws(",", F.transform(F.map_entries(column), lambda e: F.concat(e["key"].cast("string"), F.lit(":"), text(e["value"])))), F.lit("")).alias(column)
+
+    return table.select(
+        *[c for c in table.columns if c not in ("hero_counts", "role_counts", "role_performance", "familiar_heroes", "familiar_roles")],
+        listed("hero_counts", lambda v: v.cast("string")),
+        listed("role_counts", lambda v: v.cast("string")),
+        listed("role_performance", lambda v: F.round(v, 6).cast("decimal(9,6)").cast("string")),
+        F.concat_ws(",", F.col("familiar_heroes").cast("array<string>")).alias("familiar_heroes"),
+        F.concat_ws(",", "familiar_roles").alias("familiar_roles"),
+    )
+
+
+@register(
+    "agg_feature_members",
+    f"""with {_FEATURES},
+    m as (select account_id, match_id, started_at, unnest(list_filter(['source', 'dated', 'orientation', if(role is not null, 'role', null), if(activity is not null, 'activity', null),
+      if(performance is not null, if(familiar, 'familiar', 'off_pool'), null)], lambda x: x is not null)) as population from fx),
+    o as (select *, row_number() over (partition by account_id, population order by started_at, match_id) as rn, count(*) over (partition by account_id, population) as population_rows from m)
+    select account_id, population, (rn - 1) // 4096 as segment, any_value(population_rows) as population_rows, string_agg(match_id, ',' order by rn) as match_ids from o group by 1, 2, 3""",
+)
+def agg_feature_members(spark, folder):
+    table = features.feature_members(measures(spark, folder), 0.8)
+    return table.withColumn("match_ids", F.concat_ws(",", F.col("match_ids").cast("array<string>")))

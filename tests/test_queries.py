@@ -14,6 +14,13 @@ FAST = (
     "rec_weights",
     "agg_leave_one_out",
     "agg_diversity",
+    "agg_feature_set",
+    "agg_feature_members",
+    "src_match_documents",
+    "src_match_ledger",
+    "src_roster_documents",
+    "knw_evidence",
+    "knw_demands",
     "agg_familiar_strict",
     "agg_infer_roles",
     "agg_by_dimensions",
