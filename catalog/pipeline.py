@@ -4,9 +4,10 @@ from uuid import uuid4
 
 from pyspark.sql import functions as F
 
-from catalog.base import GAP, MATCH_ROWS, WINDOW_END, canonical_sql, matches, register
+from catalog.base import GAP, MATCH_ROWS, WINDOW_END, canonical_sql, matches, measured, register
 from catalog.deep import _plan
 from catalog.detail import DETAIL_SQL, rows
+from catalog.elements import familiar_sql
 from catalog.heroes import KNOW_SQL, ROSTER, knowledge, traits
 from habitscope.operators import detectors
 from habitscope.operators import knowledge as K
@@ -533,6 +534,27 @@ def out_reports(spark, folder):
     )
 
 
+_SCORED = canonical_sql({c: f"({c})::varchar" for c in report.HISTORY_COLUMNS})
+
+
+@register(
+    "out_coverage",
+    f"""with {measured()}, kept as (select *, count(*) over (partition by account_id) as n from perf qualify n >= 30),
+    hc as (select account_id, hero_id, count(*) as c, any_value(n) as n from kept group by 1, 2), fam as ({familiar_sql('hc', 5, True)}),
+    d as (select account_id, sha256({_SCORED}) as d, count(*) as c from kept group by 1, 2), hh as (select account_id, sha256(string_agg(d || ':' || c, '|' order by d)) as history_hash from d group by 1),
+    ses as (select account_id, count(*) filter (completed) as completed_sessions, count(*) filter (left_censored) as left_censored_sessions, count(*) filter (right_censored) as right_censored_sessions from sess group by 1),
+    a as (select account_id, count(*) as sample_size, count(started_at) as dated_rows, count(role_hint) as role_rows, count(activity) as activity_rows, count(*) as orientation_rows,
+      count(performance) filter (fam.hero_id is not null) as familiar_rows, count(performance) filter (fam.hero_id is null) as off_pool_rows, sum(weight) ** 2 / sum(weight ** 2) as effective_sample_size,
+      min(started_at) as window_start, max(started_at) as window_end from kept left join fam using (account_id, hero_id) group by 1)
+    select *, case when sample_size < 60 then 'limited' else 'normal' end as tier from a join hh using (account_id) join ses using (account_id)""",
+    "effective_sample_size",
+)
+def out_coverage(spark, folder):
+    """What each report was scored on: hash of the history, rows and sessions behind it."""
+    table = report.reports(_analysis(spark, folder), secret="catalog")
+    return table.select("account_id", "tier", "history_hash", "coverage.*")
+
+
 @register("out_public")
 def out_public(spark, folder):
     table = report.public_projection(report.reports(_analysis(spark, folder), secret="catalog"))
