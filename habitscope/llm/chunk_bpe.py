@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from habitscope.llm import tokenizer
-from habitscope.llm.common import column_bytes, mixed, slices, texts, written
+from habitscope.llm.common import column_bytes, mixed, slices, text_keys, texts, written
 
 WINDOW = 16
 APART = 64
@@ -218,6 +218,20 @@ def _assemble(paths: tuple[str, str], bits: int):
     return rows
 
 
+def shared_chunks(rows: DataFrame, paths: tuple[str, str], bits: int) -> DataFrame:
+    """k1, k2, seq, h1, h2, owns: one row for each chunk of each text that occurs more than once, however often the
+    text itself is repeated under one key; ``owns`` marks the place where the chunk is encoded."""
+    places = rows.select(*KEY, "text").mapInArrow(_chunk_rows(paths, bits), "k1 long, k2 long, seq int, h1 long, h2 long")
+    shared = (
+        places.groupBy(*HASH)
+        .agg(F.count("*").alias("uses"), F.min(F.struct(*KEY, "seq")).alias("owner"))
+        .where("uses > 1")
+        .select(*HASH, "owner")
+    )
+    owns = (F.struct(*KEY, "seq") == F.col("owner")).alias("owns")
+    return written(places.join(shared, HASH).select(*KEY, "seq", *HASH, owns).dropDuplicates([*KEY, "seq"]), "shared-chunks")
+
+
 def encode(docs: DataFrame, paths: tuple[str, str] | None = None, bits: int = 10) -> DataFrame:
     """doc_id, n_tokens and ids (little-endian unsigned 32-bit numbers) of every row's whole text.
 
@@ -227,24 +241,18 @@ def encode(docs: DataFrame, paths: tuple[str, str] | None = None, bits: int = 10
 
     Moved: chunk digests (about 40 bytes for each chunk), every text once in packed form, to the ids that its
     chunks get from others, and those ids. A chunk that a third of all texts share is one row of the owners and many
-    rows of a plain join, which adaptive execution splits.
+    rows of a join with a written table, which adaptive execution splits. Rows that repeat doc_id and text have one
+    entry for each of their chunks together, however many they are.
     """
     paths = paths or tokenizer.default_paths()
-    rows = texts(docs).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64("text", "doc_id").alias("k2"))
+    rows = texts(docs).select("doc_id", "text", *text_keys())
     kind = docs.schema["doc_id"].dataType.simpleString()
-    places = rows.select(*KEY, "text").mapInArrow(_chunk_rows(paths, bits), "k1 long, k2 long, seq int, h1 long, h2 long")
-    shared = (
-        places.groupBy(*HASH)
-        .agg(F.count("*").alias("uses"), F.min(F.struct(*KEY, "seq")).alias("owner"))
-        .where("uses > 1")
-        .select(*HASH, "owner")
-    )
-    uses = written(places.join(shared, HASH).select(*KEY, "seq", *HASH, (F.struct(*KEY, "seq") == F.col("owner")).alias("owns")), "shared-chunks")
+    uses = shared_chunks(rows, paths, bits)
     packed = rows.select(*KEY, "doc_id", "text").mapInArrow(_pack, f"k1 long not null, k2 long not null, doc_id {kind}, packed binary")
     owned = uses.where("owns").groupBy(*KEY).agg(F.collect_set("seq").alias("owned"))
     # Both joins read the same columns of ``packed`` under one key, so its shuffle is written once and read twice.
     encoded = packed.join(owned, KEY).select("doc_id", "packed", "owned").mapInArrow(_encode_owned(paths, bits), "h1 long, h2 long, chunk_ids binary")
-    encoded = encoded.dropDuplicates(HASH)
+    encoded = written(encoded.dropDuplicates(HASH), "encoded-chunks")
     given = (
         uses.select(*KEY, "seq", *HASH)
         .join(encoded, HASH)

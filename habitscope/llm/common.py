@@ -47,9 +47,9 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def lowest_hashes(rows: DataFrame, key: str, size: int, seed: int) -> DataFrame:
-    """The ``size`` rows whose keyed hash is smallest: a seeded sample of a stated size, the same in every run."""
-    return rows.orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), key).limit(size)
+def text_keys() -> list[Column]:
+    """k1 and k2: two hashes with different seeds that name rows by doc_id and text, a null doc_id too."""
+    return [F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit(1), "text", "doc_id").alias("k2")]
 
 
 def hex_digest(binary_or_text: Column) -> Column:
