@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from habitscope.llm.common import texts, written
+from habitscope.llm.common import text_keys, texts
 
 SIZE = 3
 
@@ -46,12 +46,13 @@ def without_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """doc_id, text, n_lines, n_removed, removed (sorted line numbers from 0): one row for each row of ``docs``.
 
     A null text is empty; an empty text is one empty line. A text of fewer than ``size`` lines has no window and is
-    left as it is. Rows that repeat doc_id and text are one text here and are treated alike. A text whose lines
-    all go becomes empty. An empty table gives no rows; other columns are not read.
+    left as it is. Of rows that repeat doc_id and text, with or without a doc_id, one is the first and loses only
+    what earlier texts hold; the windows of the others are all later ones, so they lose every line. A text whose
+    lines all go becomes empty. An empty table gives no rows; other columns are not read.
+
+    Rows that repeat are counted on each side of the shuffle that moves the texts, so that they meet as one row.
     """
-    rows = texts(docs).select(
-        "doc_id", "text", F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64("text", "doc_id").alias("k2")
-    )
+    rows = texts(docs).select("doc_id", "text", *text_keys())
     covered = (
         repeated_windows(rows, size)
         .groupBy("k1", "k2")
@@ -61,16 +62,35 @@ def without_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
             "k2",
             F.array_sort(
                 F.array_distinct(F.flatten(F.transform("starts", lambda p: F.sequence(p, p + (size - 1)))))
-            ).alias("removed"),
+            ).alias("later"),
         )
     )
+    once = rows.groupBy("k1", "k2").agg(
+        F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("copies")
+    )
     lines = lines_of(F.col("text"))
-    numbers = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed"))
+    every = F.sequence(F.lit(0), F.size(lines) - 1)
+    none = F.array().cast("array<int>")
+    first = F.coalesce("later", none)
+    repeat = F.when(F.size(lines) >= size, every).otherwise(none)
+    shapes = F.array(
+        F.struct(F.lit(1).cast("long").alias("times"), first.alias("removed")),
+        F.struct((F.col("copies") - 1).alias("times"), repeat.alias("removed")),
+    )
+    numbers = F.array_except(every, F.col("removed"))
     kept = F.transform(numbers, lambda i: F.get(lines, i))
-    return rows.join(covered, ["k1", "k2"], "left").select(
-        "doc_id",
-        F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
-        F.size(lines).cast("long").alias("n_lines"),
-        F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce("removed", F.array().cast("array<int>")).alias("removed"),
+    return (
+        once.join(covered, ["k1", "k2"], "left")
+        .select("doc_id", "text", F.inline(F.filter(shapes, lambda x: x["times"] > 0)))
+        .select(
+            "doc_id",
+            F.when(F.size("removed") == 0, F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
+            F.size(lines).cast("long").alias("n_lines"),
+            F.size("removed").cast("long").alias("n_removed"),
+            "removed",
+            "times",
+        )
+        .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(times - 1) div 65536"))))
+        .withColumn("copy", F.explode(F.sequence(F.col("block") * 65536, F.least(F.col("times") - 1, F.col("block") * 65536 + 65535))))
+        .drop("times", "block", "copy")
     )

@@ -127,19 +127,20 @@ def _mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     "op9_line_windows",
     """
     with l as (
-      select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
-    e as (select doc_id, lines, unnest(range(len(lines))) as pos from l),
+      select doc_id, row_number() over (order by doc_id nulls last, text) as id, string_split(coalesce(text, ''), chr(10)) as lines
+      from documents),
+    e as (select doc_id, id, lines, unnest(range(len(lines))) as pos from l),
     w as (
-      select doc_id, pos, lines[pos + 1] as a, lines[pos + 2] as b, lines[pos + 3] as c
+      select id, pos, lines[pos + 1] as a, lines[pos + 2] as b, lines[pos + 3] as c
       from e where pos + 3 <= len(lines)),
     later as (
-      select doc_id, pos from (
-        select doc_id, pos, row_number() over (partition by a, b, c order by doc_id, pos) as n from w) where n > 1),
-    gone as (select distinct doc_id, unnest([pos, pos + 1, pos + 2]) as pos from later),
+      select id, pos from (
+        select id, pos, row_number() over (partition by a, b, c order by id, pos) as n from w) where n > 1),
+    gone as (select distinct id, unnest([pos, pos + 1, pos + 2]) as pos from later),
     kept as (
-      select e.doc_id, count(*) as n_lines, count(g.pos) as n_removed,
+      select any_value(e.doc_id) as doc_id, e.id, count(*) as n_lines, count(g.pos) as n_removed,
              coalesce(string_agg(e.lines[e.pos + 1], chr(10) order by e.pos) filter (where g.pos is null), '') as text
-      from e left join gone g on e.doc_id = g.doc_id and e.pos = g.pos group by 1)
+      from e left join gone g on e.id = g.id and e.pos = g.pos group by e.id)
     select doc_id, n_lines, n_removed, sha256(text) as text_sha256 from kept""",
 )
 def _line_windows(spark: SparkSession, folder: str) -> DataFrame:
