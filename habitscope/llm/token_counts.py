@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from habitscope.llm import tokenizer
-from habitscope.llm.common import column_bytes, scratch, texts
+from habitscope.llm.common import column_bytes, scratch, texts, written
 
 CACHE_SCHEMA = "content string, version string, n_tokens long"
 
@@ -42,10 +42,18 @@ def _counter(paths: tuple[str, str]):
         for batch in batches:
             data, bounds = column_bytes(batch, "text")
             view = data.tobytes()
-            counts = [len(tokens.encode(view[a:b].decode())) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            stored = batch.column(batch.schema.get_field_index("n_tokens")).to_pylist()
+            counts = [
+                len(tokens.encode(view[a:b].decode())) if n is None else n
+                for n, a, b in zip(stored, bounds[:-1], bounds[1:], strict=True)
+            ]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(batch.schema.get_field_index("content")), pa.array(counts, pa.int64())],
-                names=["content", "n_tokens"],
+                [
+                    batch.column(batch.schema.get_field_index("content")),
+                    pa.array(counts, pa.int64()),
+                    pa.array([n is None for n in stored], pa.bool_()),
+                ],
+                names=["content", "n_tokens", "fresh"],
             )
 
     return count
@@ -64,7 +72,9 @@ def token_counts(
     get their row; a null doc_id stays null; an empty table gives no rows; other columns of ``docs`` are not read.
 
     A text travels once, to the digest that it is the representative of: equal texts are first reduced to one on
-    each side of the shuffle, so a text that a third of all rows share moves once for each input partition.
+    each side of the shuffle, so a text that a third of all rows share moves once for each input partition. The
+    counts of this call's digests are written before rows join them, so that adaptive execution can split the rows
+    of one digest.
     """
     spark = docs.sparkSession
     paths = paths or tokenizer.default_paths()
@@ -82,11 +92,15 @@ def token_counts(
         .groupBy("content")
         .agg(F.first("text").alias("text"))
     )
-    missing = contents.join(known.select("content"), "content", "left_anti")
-    counted = missing.mapInArrow(_counter(paths), "content string, n_tokens long")
-    counted.select("content", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(cache)
-    stored = _stored(spark, cache).where(F.col("version") == version)
-    counts = stored.groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
+    found = contents.join(known, "content", "left")
+    unknown = F.when(F.col("n_tokens").isNull(), F.col("text")).alias("text")
+    counts = written(
+        found.select("content", unknown, "n_tokens").mapInArrow(_counter(paths), "content string, n_tokens long, fresh boolean"),
+        "token-counts",
+    )
+    fresh = counts.where("fresh")
+    fresh.select("content", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(cache)
+    counts = counts.select("content", "n_tokens")
     return digests.join(counts, "content", "left").select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "content"
     )
