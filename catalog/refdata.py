@@ -571,20 +571,64 @@ def txt_slugs(spark, folder):
     return views.table(spark, folder, "part").select("p_partkey", text.slug(title).alias("slug"))
 
 
+def _text_sql(x):
+    plain = f"replace(replace(replace(replace(regexp_replace({x}, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39))"
+    return rf"trim(regexp_replace(replace({plain}, '&amp;', '&'), '\s+', ' ', 'g'))"
+
+
+# Articles of pages that have one article of plain paragraphs and headings.
+_ARTICLE_SQL = rf"""p as (
+      select page_id, url, {_CANON} as canonical, regexp_extract(html, '(?s)<article>(.*)</article>', 1) as a,
+        regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) as h from SOURCE),
+    b as (
+      select page_id, url, case when regexp_extract(canonical, '/([0-9]+)(?:$|[/?#])', 1) = '' then 'unknown' else regexp_extract(canonical, '/([0-9]+)(?:$|[/?#])', 1) end as article_id,
+        {_text_sql('h')} as raw,
+        list_filter(list_transform(string_split(regexp_replace(regexp_replace(a, '<(h1|p)>', chr(1) || '\1' || chr(2), 'g'), '</(?:h1|p)>', chr(1), 'g'), chr(1)),
+          lambda x: case when contains(x, chr(2)) then [string_split(x, chr(2))[1], {_text_sql('string_split(x, chr(2))[2]')}] end),
+          lambda x: x is not null and x[2] <> '') as blocks from p),
+    t as (
+      select page_id, url, article_id, trim(regexp_replace(raw, '(?i)\s*[|–—-]\s*News\s*$', '')) as title,
+        array_to_string(list_transform(blocks, lambda x: case when x[1] = 'h1' then '# ' else '' end || x[2]), chr(10) || chr(10)) as md from b),
+    d as (
+      select page_id, url, article_id, title,
+        case when lower(trim(regexp_extract(md, '^#[ \t]+([^\n]*)', 1))) = lower(title) then regexp_replace(md, '^#[^\n]*\n*', '') else md end as body from t),
+    f as (
+      select *, regexp_replace(regexp_replace(regexp_replace(translate(lower(title), 'àáâãäåèéêëìíîïòóôõöùúûüýÿñç', 'aaaaaaeeeeiiiiooooouuuuyync'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')[1:100], '-+$', '') as s from d),
+    g as (
+      select page_id, url, article_id, title, null::varchar as date, body,
+        'undated__' || case when s = '' then 'article' else s end || '__' || article_id || '.md' as filename from f)"""
+
+
 def _articles(spark, folder):
     return text.articles(cut(text.extract(views.table(spark, folder, "pages"))))
 
 
-@register("txt_articles")
+@register("txt_articles", f"with {_ARTICLE_SQL.replace('SOURCE', 'pages')} select * from g where length(trim(body)) >= 20")
 def txt_articles(spark, folder):
     return _articles(spark, folder)[0]
 
 
-@register("txt_documents")
+@register(
+    "txt_documents",
+    f"""with {_ARTICLE_SQL.replace('SOURCE', 'pages')}
+    select filename, date, '---' || chr(10) || 'title: ' || to_json(title)::varchar || chr(10) || 'date: ""' || chr(10) || 'url: ' || to_json(url)::varchar
+      || chr(10) || 'article_id: ' || to_json(article_id)::varchar || chr(10) || '---' || chr(10) || chr(10) || '# ' || title || chr(10) || chr(10) || body as text
+    from g where length(trim(body)) >= 20""",
+)
 def txt_documents(spark, folder):
     return text.documents(_articles(spark, folder)[0])
 
 
-@register("txt_rejected")
+_TEASERS = "(select page_id, url, html from pages union all select -1 - page_id, url, regexp_replace(html, '(?s)</h1>.*</article>', '</h1></article>') from pages)"
+
+
+@register(
+    "txt_rejected",
+    f"with {_ARTICLE_SQL.replace('SOURCE', _TEASERS)} select page_id, url, title, 'short_or_empty_body' as error from g where length(trim(body)) < 20",
+)
 def txt_rejected(spark, folder):
-    return _articles(spark, folder)[1]
+    """Every page and its teaser, which has the heading alone."""
+    pages = views.table(spark, folder, "pages").select("page_id", "url", "html")
+    short = F.regexp_replace("html", "(?s)</h1>.*</article>", "</h1></article>")
+    teasers = pages.select((-1 - F.col("page_id")).alias("page_id"), "url", short.alias("html"))
+    return text.articles(text.extract(pages.unionByName(teasers)))[1]

@@ -32,7 +32,90 @@ def article_urls(pages: DataFrame, language: str = "english", path: str = r"/\d+
     )
 
 
+# Markdown prefixes of the block tags, fixed values.
+MARKS = {"h1": "# ", "h2": "## ", "h3": "### ", "h4": "#### ", "p": "", "li": "- ", "blockquote": "> "}
+_BLOCK = "|".join(MARKS)
+_ARTICLE = r"(?is)<article(?:\s[^<>]*)?>(.*?)</article\s*>"
+_HEAD = r"(?is)<h1(?:\s[^<>]*)?>(.*?)</h1\s*>"
+# What the expressions do not follow inside an article: other markup than plain tags, other entities than the
+# five below, quoted brackets, and elements with a content of their own.
+_INVOLVED = (
+    r"(?i)<(?!/?[a-z])|<[^>]*<|&(?!(?:amp|lt|gt|quot|#39);)|=\s*[\"'][^\"'<>]*>"
+    r"|</?(?:script|style|nav|footer|header|noscript|svg|button|main|time|title|textarea|iframe|xmp|noembed|noframes|plaintext|math)\b"
+)
+_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
+
+
+def _plain(markup: Column) -> Column:
+    """Text of a stretch of markup: tags are blanks, entities characters, blanks single."""
+    out = F.regexp_replace(markup, "<[^>]*>", " ")
+    for entity, sign in _ENTITIES.items():
+        out = F.replace(out, F.lit(entity), F.lit(sign))
+    return F.trim(F.regexp_replace(out, r"(?U)\s+", " "))
+
+
+def _blocks(article: Column) -> Column:
+    """Markdown blocks: a tag of MARKS opens one, and the next such tag, opened or closed, ends it."""
+    opened = F.regexp_replace(article, rf"(?i)<({_BLOCK})(?:\s[^>]*)?>", "\u0001$1\u0002")
+    parts = F.split(F.regexp_replace(opened, rf"(?i)</(?:{_BLOCK})\s*>", "\u0001"), "\u0001")
+    prefix = F.create_map(*[F.lit(x) for pair in MARKS.items() for x in pair])
+    each = F.transform(
+        F.filter(parts, lambda x: F.contains(x, F.lit("\u0002"))),
+        lambda x: F.struct(
+            F.lower(F.substring_index(x, "\u0002", 1)).alias("tag"), _plain(F.substring_index(x, "\u0002", -1)).alias("text")
+        ),
+    )
+    return F.transform(F.filter(each, lambda x: x["text"] != ""), lambda x: F.concat(F.element_at(prefix, x["tag"]), x["text"]))
+
+
+def tokenise(pages: DataFrame) -> DataFrame:
+    """Title, Markdown and ``simple`` of each page, by expressions on its tags, without a parser.
+
+    A page is simple where the expressions give what the parser gives: one article of plain tags with some text, at
+    most one first heading, inside it, one title, and no meta or time tags that name a title or date. Title and
+    Markdown of other pages mean nothing. A null page is not simple.
+    """
+    html = F.regexp_replace("html", r"(?is)<(script|style)(?:\s[^>]*)?>.*?</\1\s*>|<!--.*?-->", " ")
+    article, head = F.regexp_extract("clean", _ARTICLE, 1), F.regexp_extract("article", _HEAD, 1)
+    page_title = F.regexp_extract("clean", r"(?is)<title>(.*?)</title\s*>", 1)
+    count = lambda tag: F.regexp_count(F.col("clean"), F.lit(rf"(?i)<{tag}\b"))
+    found = (
+        pages.select("page_id", "url", "html", html.alias("clean"))
+        .withColumn("article", article)
+        .withColumn("page_title", page_title)
+        .withColumn("blocks", _blocks(F.col("article")))
+    )
+    simple = (
+        (count("article") == 1)
+        & (count("h1") == F.regexp_count(F.col("article"), F.lit(r"(?i)<h1\b")))
+        & (count("h1") <= 1)
+        & (count("h1") == F.regexp_count(F.col("article"), F.lit(r"(?i)</h1\s*>")))
+        & (count("title") == 1)
+        & ~F.col("clean").rlike(r"(?i)<time\b|<meta\s[^>]*(?:property|name|itemprop)\s*=|[\u0001\u0002]")
+        & ~F.col("article").rlike(_INVOLVED)
+        & ~F.col("page_title").rlike(r"<|&(?!(?:amp|lt|gt|quot|#39);)")
+        & (F.size("blocks") > 0)
+    )
+    title = F.coalesce(F.nullif(_plain(head), F.lit("")), F.nullif(_plain(F.col("page_title")), F.lit("")), F.lit("Untitled"))
+    return found.select(
+        "page_id",
+        "url",
+        "html",
+        F.coalesce(simple, F.lit(False)).alias("simple"),
+        title.alias("raw_title"),
+        F.lit(None).cast("string").alias("raw_date"),
+        F.array_join("blocks", "\n\n").alias("raw_markdown"),
+    )
+
+
 def extract(pages: DataFrame) -> DataFrame:
+    """Title, raw date and Markdown of each page: simple pages by expressions, the others by the parser."""
+    told = tokenise(pages)
+    names = ["page_id", "url", "raw_title", "raw_date", "raw_markdown"]
+    return told.where("simple").select(*names).unionByName(parse_pages(told.where(~F.col("simple"))))
+
+
+def parse_pages(pages: DataFrame) -> DataFrame:
     """Title, raw date and Markdown of each page, parsed from the whole HTML.
 
     Blocks are taken from the article, else the main part, else the whole body; a block ends
@@ -46,7 +129,7 @@ def extract(pages: DataFrame) -> DataFrame:
         import pandas as pd
 
         skipped = {"script", "style", "nav", "footer", "header", "noscript", "svg", "button"}
-        marks = {"h1": "# ", "h2": "## ", "h3": "### ", "h4": "#### ", "p": "", "li": "- ", "blockquote": "> "}
+        marks = MARKS
         meta_titles = (("property", "og:title"), ("name", "twitter:title"))
         meta_dates = (("property", "article:published_time"), ("name", "date"), ("itemprop", "datePublished"))
 
