@@ -14,7 +14,7 @@ from habitscope.operators import knowledge as K
 from habitscope.operators import matches as M
 from habitscope.operators import portfolio
 from habitscope.plans import report
-from habitscope.session import checkpoint_folder
+from habitscope.session import checkpoint_folder, new_folder
 from habitscope.sources import store, views
 
 # Nested documents ----------------------------------------------------------------------------
@@ -450,6 +450,20 @@ def snk_purge_counts(spark, folder):
     return store.purge(table, table.select("report_id"), stored, F.col("now"), 31_536_000)[3]
 
 
+@register(
+    "snk_partitions",
+    "select event_id, case when event_type = 'error' then 0 else value end as value, event_type from events",
+)
+def snk_partitions(spark, folder):
+    """Events written in one folder a type; a second write replaces the folder of one type and no other."""
+    path = new_folder(spark, "events")
+    rows = views.table(spark, folder, "events").select("event_id", "value", "event_type")
+    store.write_table(rows, path, partition="event_type", files_by="event_id")
+    again = rows.where(F.col("event_type") == "error").withColumn("value", F.lit(0.0))
+    store.write_table(again, path, partition="event_type", files_by="event_id")
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 @register(
     "snk_reusable",
     f"""with {_REP}, w as (select c_custkey as account_id from customer)

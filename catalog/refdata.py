@@ -8,7 +8,7 @@ from catalog.elements import PART_SQL
 from catalog.heroes import knowledge, traits
 from habitscope.operators import knowledge as K
 from habitscope.operators import quality, text
-from habitscope.session import cut
+from habitscope.session import cut, new_folder
 from habitscope.sources import heroes as H
 from habitscope.sources import store, views
 
@@ -619,6 +619,23 @@ def txt_documents(spark, folder):
     return text.documents(_articles(spark, folder)[0])
 
 
+@register(
+    "txt_written",
+    f"""with {_ARTICLE_SQL.replace('SOURCE', 'pages')}
+    select filename, strftime(o_orderdate, '%Y-%m') as month, length(text) as n_chars from (
+      select page_id, strftime(o_orderdate, '%Y-%m-%d') || substr(filename, 8) as filename, o_orderdate,
+        '---' || chr(10) || 'title: ' || to_json(title)::varchar || chr(10) || 'date: "' || strftime(o_orderdate, '%Y-%m-%d') || '"' || chr(10) || 'url: ' || to_json(url)::varchar
+          || chr(10) || 'article_id: ' || to_json(article_id)::varchar || chr(10) || '---' || chr(10) || chr(10) || '# ' || title || chr(10) || chr(10) || body as text
+      from g join orders on o_orderkey = page_id where length(trim(body)) >= 20)""",
+)
+def txt_written(spark, folder):
+    """Articles dated by the order of their number, written by month and read back."""
+    dates = views.table(spark, folder, "orders").select(F.col("o_orderkey").alias("page_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("raw_date"))
+    parsed = text.extract(views.table(spark, folder, "pages")).drop("raw_date").join(dates, "page_id")
+    kept = text.write_documents(text.documents(text.articles(parsed)[0]), new_folder(spark, "articles"))
+    return kept.select("filename", "month", F.length("text").cast("bigint").alias("n_chars"))
+
+
 _TEASERS = "(select page_id, url, html from pages union all select -1 - page_id, url, regexp_replace(html, '(?s)</h1>.*</article>', '</h1></article>') from pages)"
 
 

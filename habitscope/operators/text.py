@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from habitscope.sources.store import write_table
+
 TITLE_SUFFIX = r"(?i)\s*[|–—-]\s*[^|–—-]*$"
 MINIMUM_BODY = 20
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
@@ -317,3 +319,14 @@ def documents(done: DataFrame) -> DataFrame:
         F.col("body"),
     )
     return done.select("filename", "date", text.alias("text"))
+
+
+def write_documents(finished: DataFrame, path: str) -> DataFrame:
+    """Write finished documents in one folder a month (``undated`` for others) and read them back.
+
+    Rows of a month are spread over tasks by file name; months that a call does not hold stay as they are.
+    """
+    month = F.when(F.col("date").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.substring("date", 1, 7)).otherwise("undated")
+    rows = finished.select("filename", "text", month.alias("month"))
+    write_table(rows, path, partition="month", files_by="filename")
+    return finished.sparkSession.read.schema(rows.schema).parquet(path)

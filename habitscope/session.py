@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,6 +47,11 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return current
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new path below the shared checkpoint folder."""
+    return os.path.join(checkpoint_folder(spark), "tables", f"{name}-{uuid.uuid4().hex}")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write a table that many operators read to the checkpoint folder, once.
 

@@ -40,6 +40,10 @@ FAST = (
     "act_presence_contexts",
     "knw_mechanics_tags",
     "txt_article_urls",
+    "txt_articles",
+    "txt_rejected",
+    "txt_written",
+    "snk_partitions",
     "snk_new_payloads",
     "snk_latest_payload",
     "snk_purge_counts",
