@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from habitscope.session import cut
 from habitscope.sources.store import write_table
 
 TITLE_SUFFIX = r"(?i)\s*[|–—-]\s*[^|–—-]*$"
@@ -111,8 +112,12 @@ def tokenise(pages: DataFrame) -> DataFrame:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """Title, raw date and Markdown of each page: simple pages by expressions, the others by the parser."""
-    told = tokenise(pages)
+    """Title, raw date and Markdown of each page: simple pages by expressions, the others by the parser.
+
+    What the expressions give is written once, so that neither branch evaluates them again; the HTML of simple pages
+    is not written.
+    """
+    told = cut(tokenise(pages).withColumn("html", F.when(~F.col("simple"), F.col("html"))))
     names = ["page_id", "url", "raw_title", "raw_date", "raw_markdown"]
     return told.where("simple").select(*names).unionByName(parse_pages(told.where(~F.col("simple"))))
 
