@@ -132,3 +132,15 @@ def test_broken_documents_stay_as_counted_rows(spark, tmp_path):
     assert store.document_ledger(nothing).count() == 0
     void = store.typed_documents(spark.createDataFrame([(None,)], "value string"), matches.DETAIL, "match_id")
     assert void.first()["problem"] == "blank"
+
+
+def test_a_table_that_was_cut_is_read_by_the_columns_in_use(spark):
+    from habitscope.session import cut
+
+    frame = spark.range(1000).select("id", F.lit("x").alias("text"), F.map_from_arrays(F.array("id"), F.array(F.lit(None).cast("string"))).alias("m"))
+    written = cut(frame)
+    assert [(f.name, f.dataType) for f in written.schema] == [(f.name, f.dataType) for f in frame.schema]
+    plan = written.select("id")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<id:bigint>" in plan
+    assert written.where("m[id] is null and text = 'x'").count() == 1000
+    assert cut(frame.where("id < 0")).count() == 0
