@@ -176,7 +176,8 @@ def agg_intervals(spark, folder):
     "robust_effect",
 )
 def agg_robust_effect(spark, folder):
-    table = features(spark, folder).select("account_id", "impact_score")
+    # Both spreads examine the scores and count them: they are written once.
+    table = cut(features(spark, folder).select("account_id", "impact_score"))
     own = spread(table, ["account_id"], "impact_score")
     overall = spread(table.withColumn("all", F.lit(1)), ["all"], "impact_score", "gc", "gm").drop("sample")
     scale = F.greatest(1.4826 * F.col("gm"), 1.4826 * F.col("mad"), F.lit(1e-9))

@@ -9,8 +9,10 @@ A table is examined once (:func:`chunked`): one pre-aggregated count per key.  W
 key is hot the frame only gets a marker column and every later scan is the plain window
 on one shuffle.  Hot keys are cut at quantiles of the first ordering column, and inside a
 value that fills a quantile, at quantiles of the tie column, so neither long tails nor
-equal values fill a chunk.  Nothing here is broadcast by order: the summaries of a scan
-by fine keys may approach the rows in number.
+equal values fill a chunk.  Hot keys and their bounds are broadcast by order: a hot key has
+more than ``hot_rows`` rows, so there are few, and a join that shuffled by key would bring all
+rows of a hot key to one task before they are cut.  The summaries of a scan by fine keys may
+approach the rows in number and are joined as they come.
 """
 
 from __future__ import annotations
@@ -70,7 +72,7 @@ def chunked(
         return df.withColumn(CHUNK, F.lit(0).cast("bigint"))
     shares = F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)])
     bounds = (
-        df.join(hot, list(keys), "left_semi")
+        df.join(F.broadcast(hot), list(keys), "left_semi")
         .groupBy(*keys)
         .agg(F.percentile_approx(position, shares, CUTS * 100).alias("_bounds"))
     )
@@ -81,7 +83,7 @@ def chunked(
     # A value that is a bound has a chunk number of its own, between those of its neighbours.
     values = F.array_distinct("_bounds")
     placed = (
-        df.join(bounds.withColumn("_bounds", values), list(keys), "left")
+        df.join(F.broadcast(bounds.withColumn("_bounds", values)), list(keys), "left")
         .withColumn(HOT, F.col("_bounds").isNotNull())
         .withColumn(
             CHUNK,
@@ -104,7 +106,7 @@ def chunked(
     )
     inner = F.when(F.col("_ties").isNull(), 0).otherwise(below("_ties", second))
     return (
-        placed.join(heavy, [*keys, CHUNK], "left")
+        placed.join(F.broadcast(heavy), [*keys, CHUNK], "left")
         .withColumn(CHUNK, F.col(CHUNK) * CUTS + inner)
         .select(*df.columns, HOT, CHUNK)
     )
@@ -196,5 +198,18 @@ def scan(
     return out.withColumns(merged).select(*[c for c in df.columns if c not in specs], *specs)
 
 
+def beside(df: DataFrame, per_key: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join of a frame that went through :func:`chunked` with one row per key.
+
+    The few hot keys meet their row by broadcast, so their rows stay where they are.
+    """
+    if HOT not in df.columns:
+        return df.join(per_key, list(keys))
+    hot = df.where(F.col(HOT)).select(*keys).distinct()
+    few = F.broadcast(per_key.join(F.broadcast(hot), list(keys), "left_semi"))
+    cold = df.where(~F.col(HOT)).join(per_key, list(keys))
+    return cold.unionByName(df.where(F.col(HOT)).join(few, list(keys)))
+
+
 def unchunked(df: DataFrame) -> DataFrame:
     return df.drop(CHUNK, HOT)

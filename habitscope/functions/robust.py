@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from habitscope.functions.ordered import HOT_ROWS, chunked, is_plain, scan, unchunked
+from habitscope.functions.ordered import HOT_ROWS, beside, chunked, is_plain, scan, unchunked
 from habitscope.session import cut
 
 TOLERANCE = 1e-9
@@ -79,9 +79,10 @@ def spread(
     histogram = keep(
         df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
     )
+    histogram = chunked(histogram, keys, value, hot_rows, plain)
     centres = middles(histogram, keys, value, "_c", hot_rows, plain).select(*keys, F.col("middle").alias(centre))
     distances = keep(
-        histogram.join(centres, list(keys))
+        beside(histogram, centres, keys)
         .groupBy(*keys, F.abs(F.col(value) - F.col(centre)).alias("_d"))
         .agg(F.first(centre).alias(centre), F.sum("_c").alias("_c"))
     )

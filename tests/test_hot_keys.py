@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from catalog.base import WINDOW_END
 from conftest import table
-from habitscope.functions.ordered import CHUNK, HOT, chunked, scan, unchunked
+from habitscope.functions.ordered import CHUNK, HOT, beside, chunked, scan, unchunked
 from habitscope.functions.robust import leave_one_out, lower_weighted_median
 from habitscope.operators import baselines, elements, measures, normalize, pools, sessions, windows
 from habitscope.operators.cohorts import cohort_metrics, select_narrowest
@@ -180,3 +180,22 @@ def test_the_next_value_is_found_in_one_pass(spark):
     assert "unboundedfollowing" not in found._jdf.queryExecution().executedPlan().toString()
     assert found.where("next <> id - id % 1000 + 999").count() == 0
     assert found.where("next is null").count() == 0
+
+
+def test_rows_of_a_hot_key_are_not_brought_together_by_a_join(spark):
+    """A join that shuffles by key would put all rows of a hot key in one task before they are cut."""
+    rows = [("hot", float(i % 400), i) for i in range(900)] + [("cold", float(i), i) for i in range(20)]
+    frame = spark.createDataFrame(rows, "k string, x double, t long")
+    small = spark.createDataFrame([("hot", 1), ("cold", 2), ("none", 3)], "k string, v long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        cut_up = chunked(frame, ["k"], "x", 50, tie="t")
+        joined = beside(cut_up, small, ["k"])
+        plan = cut_up._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert joined._jdf.queryExecution().sparkPlan().toString().count("SortMergeJoin") == 1  # the other keys
+        assert sorted((r.k, r.x, r.t, r.v) for r in joined.collect()) == sorted(
+            (k, x, t, 1 if k == "hot" else 2) for k, x, t in rows
+        )
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
