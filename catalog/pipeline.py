@@ -27,7 +27,7 @@ def documents(spark, folder):
 
     def log(count, time, victim_id, item):
         return F.transform(
-            F.filter(F.sequence(F.lit(0), F.lit(6)), lambda i: i < count),
+            F.slice(F.sequence(F.lit(0), F.lit(6)), 1, F.greatest(count, F.lit(0)).cast("int")),
             lambda i: F.struct(
                 (time + i * 60).cast("bigint").alias("time"),
                 F.lit(None).cast("string").alias("unit"),
@@ -36,7 +36,7 @@ def documents(spark, folder):
             ),
         )
 
-    empty = log(F.lit(0), F.lit(0), none, none)
+    empty = F.array().cast(M.PLAYER["kills_log"].dataType)
     values = {
         "player_slot": F.when(F.col("player_no") % 2 == 1, F.col("player_no")).otherwise(F.col("player_no") + 128),
         "denies": none,

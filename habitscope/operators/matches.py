@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from habitscope.functions.ordered import chunked, is_plain, scan, unchunked
+from habitscope.session import cut
 
 ITEM_SLOTS = ("item_0", "item_1", "item_2", "item_3", "item_4", "item_5", "item_neutral")
 FAMILIES = (
@@ -123,42 +126,50 @@ def participants(detail: DataFrame) -> DataFrame:
 def events(detail: DataFrame) -> DataFrame:
     """Kill, buyback, death and purchase events, and deaths seen only in another player's kills.
 
-    The logs of a match explode on their own; the victim's deaths come from an equi-join on
-    (match, victim), so no match is ever held in one row group.
+    Players and their logs are written once, since the logs, the kills and the victims are read from them.  The
+    logs of a player explode together; the victim's deaths come from an equi-join on (match, victim), so no match
+    is ever held in one row group.
     """
-    players = detail.select("match_id", F.posexplode("players").alias("player_no", "p"))
-
-    def log(kind: str, column: Column, payload: Column) -> DataFrame:
-        return players.select(
-            "match_id", "player_no", F.col("p.account_id").alias("account_id"), F.explode(column).alias("e")
-        ).select(
+    p = F.col("p")
+    deaths = F.when(F.size(p["death_log"]) > 0, p["death_log"]).otherwise(p["deaths_log"])
+    players = cut(
+        detail.select("match_id", F.posexplode("players").alias("player_no", "p")).select(
             "match_id",
             "player_no",
-            "account_id",
-            F.lit(kind).alias("event_type"),
-            F.col("e.time").alias("time_seconds"),
-            payload.alias("payload"),
+            p["account_id"].alias("account_id"),
+            *[p[c].alias(c) for c in ("kills_log", "buyback_log", "purchase_log")],
+            deaths.alias("deaths"),
         )
-
+    )
     nothing = F.create_map().cast("map<string,string>")
-    deaths = F.when(F.size("p.death_log") > 0, F.col("p.death_log")).otherwise(F.col("p.deaths_log"))
-    own = (
-        log("kill", F.col("p.kills_log"), F.create_map(F.lit("victim"), F.col("e.unit")))
-        .unionByName(log("buyback", F.col("p.buyback_log"), nothing))
-        .unionByName(log("death", deaths, F.create_map(F.lit("source"), F.lit("death_log"))))
-        .unionByName(
-            log("purchase", F.col("p.purchase_log"), F.create_map(F.lit("item_id"), F.col("e.item_id").cast("string")))
+
+    def log(kind: str, column: str, payload: Callable[[Column], Column]) -> Column:
+        entries = F.transform(
+            column,
+            lambda e: F.struct(
+                F.lit(kind).alias("event_type"), e["time"].alias("time_seconds"), payload(e).alias("payload")
+            ),
         )
+        return F.coalesce(entries, F.array())
+
+    logs = F.concat(
+        log("kill", "kills_log", lambda e: F.create_map(F.lit("victim"), e["unit"])),
+        log("buyback", "buyback_log", lambda e: nothing),
+        log("death", "deaths", lambda e: F.create_map(F.lit("source"), F.lit("death_log"))),
+        log("purchase", "purchase_log", lambda e: F.create_map(F.lit("item_id"), e["item_id"].cast("string"))),
+    )
+    own = players.select("match_id", "player_no", "account_id", F.explode(logs).alias("e")).select(
+        "match_id", "player_no", "account_id", "e.event_type", "e.time_seconds", "e.payload"
     )
     kills = players.select(
         "match_id",
         F.col("player_no").alias("_killer_no"),
-        F.col("p.account_id").alias("_killer"),
-        F.explode("p.kills_log").alias("e"),
+        F.col("account_id").alias("_killer"),
+        F.explode("kills_log").alias("e"),
     ).select("match_id", "_killer_no", "_killer", F.col("e.victim_account_id").alias("account_id"), "e.time")
-    victims = players.select("match_id", "player_no", F.col("p.account_id").alias("account_id"))
     inferred = (
-        victims.join(kills, ["match_id", "account_id"])
+        players.select("match_id", "player_no", "account_id")
+        .join(kills, ["match_id", "account_id"])
         .where(F.col("player_no") != F.col("_killer_no"))
         .select(
             "match_id",

@@ -38,6 +38,41 @@ def test_detail_documents_give_participants_and_events(spark, tmp_path):
     assert events == {(1, "kill"), (2, "death"), (2, "purchase")}
 
 
+def test_events_build_their_documents_once(spark):
+    """Logs, kills and victims were read from documents that each of them built anew."""
+    log = [(100, "two", 2, None), (200, None, None, None), None]
+    rows = [
+        (9, 1, log, None, None, None, [(5, None, None, 8)]),
+        (9, 2, None, [(7, None, None, None)], [], [(50, None, None, None)], None),
+        (9, 2, [(300, "two", 2, None)], None, [(60, None, None, None)], [(70, None, None, None)], None),
+        (None, None, None, None, None, None, None),
+    ]
+    entry = matches.PLAYER["kills_log"].dataType.simpleString()
+    names = ("kills_log", "buyback_log", "death_log", "deaths_log", "purchase_log")
+    table = spark.createDataFrame(rows, f"match_id long, account_id long, {', '.join(f'{n} {entry}' for n in names)}")
+    player = F.struct("account_id", *names)
+    detail = table.groupBy("match_id").agg(F.array_sort(F.collect_list(player)).alias("players"))
+    found = matches.events(detail)
+    assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = [(r.match_id, r.account_id, r.event_type, r.time_seconds, tuple(sorted(r.payload.items()))) for r in found.collect()]
+    seen = (("killer_account_id", "1"), ("source", "opponent_kills_log"))
+    other = (("killer_account_id", "2"), ("source", "opponent_kills_log"))
+    want = [
+        (9, 1, "kill", 100, (("victim", "two"),)),
+        (9, 1, "kill", 200, (("victim", None),)),
+        (9, 1, "kill", None, (("victim", None),)),
+        (9, 1, "purchase", 5, (("item_id", "8"),)),
+        (9, 2, "buyback", 7, ()),
+        (9, 2, "death", 50, (("source", "death_log"),)),
+        (9, 2, "kill", 300, (("victim", "two"),)),
+        (9, 2, "death", 60, (("source", "death_log"),)),
+        (9, 2, "death", 100, seen),  # one for each row of the victim
+        (9, 2, "death", 100, seen),
+        (9, 2, "death", 300, other),  # the killer's own row is left out
+    ]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_aggregate_files_carry_their_hero_in_the_path(spark, tmp_path):
     (tmp_path / "heroStats.json").write_text(json.dumps([{"id": 2, "1_pick": 4, "1_win": 1, "pub_pick": 4, "pub_win": 1}]))
     folder = tmp_path / "heroes" / "2"
