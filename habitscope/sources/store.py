@@ -61,7 +61,8 @@ def typed_documents(
     typed = F.from_json(
         "value", T.StructType([*schema.fields, T.StructField(broken, T.StringType())]), {"columnNameOfCorruptRecord": broken}
     )
-    read = lines.select("value", typed.alias("d"))
+    # A parsed document is a row of its own, so a filter on it does not parse the text again for each field it reads.
+    read = lines.select("value", F.explode(F.array(typed)).alias("d"))
     # The text is parsed a second time only where the first time left something open.
     kind = F.schema_of_variant(F.try_parse_json("value"))
     open_ = F.col(f"d.{broken}").isNotNull() | F.col(f"d.{identity}").isNull()

@@ -73,6 +73,13 @@ def test_events_build_their_documents_once(spark):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_documents_are_parsed_once_under_a_filter(spark):
+    lines = spark.createDataFrame([('{"match_id": 1, "players": []}',), ("x",), (None,), ("[]",)], "value string")
+    usable = store.typed_documents(lines, matches.DETAIL, "match_id", ["players"]).where("usable")
+    assert usable._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+    assert [r.match_id for r in usable.collect()] == [1]
+
+
 def test_aggregate_files_carry_their_hero_in_the_path(spark, tmp_path):
     (tmp_path / "heroStats.json").write_text(json.dumps([{"id": 2, "1_pick": 4, "1_win": 1, "pub_pick": 4, "pub_win": 1}]))
     folder = tmp_path / "heroes" / "2"
