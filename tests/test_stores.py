@@ -1,6 +1,7 @@
 """Readers with explicit schemas and written tables."""
 
 import json
+import os
 
 from pyspark.sql import functions as F
 
@@ -80,6 +81,16 @@ def test_documents_are_parsed_once_under_a_filter(spark):
     assert [r.match_id for r in usable.collect()] == [1]
 
 
+def test_written_lines_are_compressed_and_whole(spark, tmp_path):
+    from catalog.pipeline import written_lines
+
+    frame = spark.range(1, 4001).select(F.col("id").alias("match_id"), F.lit("the same words " * 20).alias("text"))
+    path = written_lines(frame, "match_id", {})
+    files = [f for f in os.listdir(path) if f.startswith("part-")]
+    assert files and sum(os.path.getsize(f"{path}/{f}") for f in files) < 200_000  # 1.3 MB of text
+    assert spark.read.text(path).count() == 4000
+
+
 def test_aggregate_files_carry_their_hero_in_the_path(spark, tmp_path):
     (tmp_path / "heroStats.json").write_text(json.dumps([{"id": 2, "1_pick": 4, "1_win": 1, "pub_pick": 4, "pub_win": 1}]))
     folder = tmp_path / "heroes" / "2"
