@@ -440,12 +440,9 @@ ROSTER = 127
 @register("her_semantic_recommendations")
 def her_semantic_recommendations(spark, folder):
     rows, known = cut(matches(spark, folder)), knowledge(spark, ROSTER)
-    picked = None
-    for intent in ("double_down", "adjacent_move", "fill_gap", "change_angle", "specialist"):
-        family = F.lit("engage_control") if intent == "fill_gap" else None
-        one = portfolio.recommend(portfolio.rationales(rows, known, intent, family)).withColumn("intent", F.lit(intent))
-        picked = one if picked is None else picked.unionByName(one)
-    return picked
+    intents = dict.fromkeys(("double_down", "adjacent_move", "fill_gap", "change_angle", "specialist"))
+    picked = portfolio.recommend_each(rows, known, {**intents, "fill_gap": F.lit("engage_control")})
+    return picked.select("account_id", "rank", "hero_id", "intent")
 
 
 @register("her_rationales")

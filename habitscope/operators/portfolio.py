@@ -6,7 +6,7 @@ per hero of the game for an account; arrays collected per account are bounded by
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -614,20 +614,43 @@ def themes(picks: DataFrame, traits: DataFrame) -> DataFrame:
 # Pool profile and toolkit --------------------------------------------------------------------
 
 
-def mean_jaccard(sets: Column) -> Column:
-    """Mean overlap of all pairs of job sets; the list has at most one set per hero of the game."""
+def _bits(names: Sequence[str], holds) -> Column:
+    """One bit for each of a few fixed names, set where ``holds(name)`` is true."""
+    return reduce(
+        lambda x, y: x.bitwiseOR(y), [F.when(holds(n), F.lit(1 << i)).otherwise(F.lit(0)) for i, n in enumerate(names)]
+    ).cast("bigint")
+
+
+def job_bits(jobs: Column) -> Column:
+    """The known jobs of an array as bits; null for a null array."""
+    return F.when(jobs.isNotNull(), _bits(JOBS, lambda j: F.array_contains(jobs, F.lit(j))))
+
+
+def mean_jaccard(sets: Column, bits: Column) -> Column:
+    """Mean overlap of all pairs of job sets; the list has at most one set per hero of the game.
+
+    ``bits`` are the known jobs of each set; where they tell a set apart in full, pairs are compared by them.  Both are
+    named columns: an expression would be worked out again for each pair.
+    """
     pairs = F.size(sets) * (F.size(sets) - 1) / 2
 
-    def with_later(one: Column, place: Column) -> Column:
-        return F.aggregate(
-            F.slice(sets, place + 2, F.size(sets)),
-            F.lit(0.0),
-            lambda acc, other: acc
-            + F.size(F.array_intersect(one, other)) / F.greatest(F.size(F.array_union(one, other)), F.lit(1)),
-        )
+    def total(values: Column, overlap) -> Column:
+        def with_later(one: Column, place: Column) -> Column:
+            later = F.slice(values, place + 2, F.size(values))
+            return F.aggregate(later, F.lit(0.0), lambda acc, other: acc + overlap(one, other))
 
-    total = F.aggregate(F.transform(sets, with_later), F.lit(0.0), lambda acc, x: acc + x)
-    return F.when(pairs > 0, total / pairs).otherwise(0.0)
+        return F.aggregate(F.transform(values, with_later), F.lit(0.0), lambda acc, x: acc + x)
+
+    by_bits = total(
+        bits,
+        lambda x, y: F.bit_count(x.bitwiseAND(y)) / F.greatest(F.bit_count(x.bitwiseOR(y)), F.lit(1)),
+    )
+    by_name = total(
+        sets,
+        lambda x, y: F.size(F.array_intersect(x, y)) / F.greatest(F.size(F.array_union(x, y)), F.lit(1)),
+    )
+    known = F.size(bits) == F.size(F.filter(F.zip_with(sets, bits, lambda x, y: F.size(x) == F.bit_count(y)), lambda k: k))
+    return F.when(pairs > 0, F.when(known, by_bits).otherwise(by_name) / pairs).otherwise(0.0)
 
 
 def relevant_families(roles: Column) -> Column:
@@ -673,7 +696,9 @@ def toolkit_breadth(rows: DataFrame, knowledge: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("c")
     )
     usable = (~F.col("review_status").isin("unknown", "stale", "draft")) & (F.size("functions") > 0)
-    records = dimension(knowledge).where(usable).select("hero_id", "functions", "families", "reviewed")
+    records = dimension(knowledge).where(usable).select(
+        "hero_id", "functions", "families", "reviewed", job_bits(F.col("functions")).alias("bits")
+    )
     joined = heroes.join(records, "hero_id", "left")
     reviewed = F.coalesce("reviewed", F.lit(False))
     packed = joined.groupBy("account_id").agg(
@@ -681,8 +706,8 @@ def toolkit_breadth(rows: DataFrame, knowledge: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("functions").isNotNull(), F.col("c")).otherwise(0)).alias("structural_rows"),
         F.sum(F.when(reviewed, F.col("c")).otherwise(0)).alias("reviewed_rows"),
         # One entry per hero of the game at most.
-        F.collect_list(F.when(reviewed, F.struct("hero_id", "c", "functions", "families"))).alias("heroes"),
-    )
+        F.collect_list(F.when(reviewed, F.struct("hero_id", "c", "functions", "families", "bits"))).alias("heroes"),
+    ).withColumns({"_sets": F.col("heroes.functions"), "_bits": F.col("heroes.bits")})
     usable_rows = rows.join(records.select("hero_id"), "hero_id", "left_semi")
     table = packed.join(credible_roles(usable_rows), "account_id", "left").withColumn(
         "relevant", relevant_families(F.coalesce("roles", F.array().cast("array<string>")))
@@ -705,7 +730,7 @@ def toolkit_breadth(rows: DataFrame, knowledge: DataFrame) -> DataFrame:
         {
             "family_entropy": _array_entropy(family_counts),
             "job_entropy": _array_entropy(job_counts),
-            "overlap": mean_jaccard(F.transform("heroes", lambda h: h["functions"])),
+            "overlap": mean_jaccard(F.col("_sets"), F.col("_bits")),
             "unique_jobs": unique,
             "role_coverage": role_coverage,
             "reviewed_coverage": ratio(F.col("reviewed_rows"), F.col("total")),
@@ -831,7 +856,9 @@ def pool_profile(rows: DataFrame, traits: DataFrame) -> DataFrame:
 
 def semantic_profile(rows: DataFrame, knowledge: DataFrame) -> DataFrame:
     """Job prevalence, overlap, unique jobs and complementarity of the reviewed pool."""
-    records = dimension(knowledge).select("hero_id", "functions", "families", "reviewed", "review_status")
+    records = dimension(knowledge).select(
+        "hero_id", "functions", "families", "reviewed", job_bits(F.col("functions")).alias("bits")
+    )
     used = (
         rows.where(F.col("hero_id").isNotNull())
         .groupBy("account_id", "hero_id")
@@ -842,35 +869,53 @@ def semantic_profile(rows: DataFrame, knowledge: DataFrame) -> DataFrame:
     packed = used.groupBy("account_id").agg(
         F.count(F.lit(1)).alias("heroes_used"),
         F.sum("c").alias("total"),
-        F.collect_list(F.when(reviewed, F.struct("hero_id", "c", "functions", "families"))).alias("heroes"),
+        F.collect_list(F.when(reviewed, F.struct("hero_id", "c", "functions", "families", "bits"))).alias("heroes"),
     )
     table = packed.join(credible_roles(rows), "account_id", "left").withColumn(
         "relevant", relevant_families(F.coalesce("roles", F.array().cast("array<string>")))
     )
     cap = F.greatest(F.lit(3.0), F.col("total") * F.lit(0.35))
-    jobs = F.array(*[F.lit(j) for j in JOBS])
+    family = {j: f for f, members in FAMILIES.items() for j in members}
+    jobs = F.array(
+        *[
+            F.struct(
+                F.lit(j).alias("job"), F.lit(1 << i).cast("bigint").alias("bit"),
+                F.lit(family.get(j)).cast("string").alias("family"),
+            )
+            for i, j in enumerate(JOBS)
+        ]
+    )
     # Jobs whose family matters for the account.
-    wanted = F.filter(jobs, lambda j: F.array_contains("relevant", family_of(j)))
+    wanted = F.filter(jobs, lambda j: F.array_contains("relevant", j["family"]))
+
+    def having(j: Column) -> Column:
+        return F.filter("_held", lambda h: h["bits"].bitwiseAND(j["bit"]) != 0)
 
     def job_weight(j: Column) -> Column:
-        return F.aggregate(
-            F.filter("heroes", lambda h: F.array_contains(h["functions"], j)),
-            F.lit(0).cast("bigint"),
-            lambda a, h: a + F.greatest(F.lit(1), F.floor(F.least(h["c"].cast("double"), F.col("_cap")))),
-        )
+        return F.aggregate(having(j), F.lit(0).cast("bigint"), lambda a, h: a + h["w"])
 
-    def holders(field: str, name: Column) -> Column:
-        return F.size(F.filter("heroes", lambda h: F.array_contains(h[field], name)))
+    def holders(name: Column) -> Column:
+        return F.size(F.filter("heroes", lambda h: F.array_contains(h["families"], name)))
 
-    staged = table.withColumn("_cap", cap).withColumns(
-        {
-            "_jobs": F.transform(wanted, lambda j: F.struct(j.alias("job"), job_weight(j).alias("c"))),
-            "_all": F.aggregate(F.transform(jobs, job_weight), F.lit(0).cast("bigint"), lambda a, x: a + x),
-            "_fams": F.transform("relevant", lambda f: holders("families", f)),
-            "unique_jobs": F.size(F.filter(wanted, lambda j: holders("functions", j) == 1)),
-            "overlap": mean_jaccard(F.transform("heroes", lambda h: h["functions"])),
-            "reviewed_coverage": F.size("heroes") / F.col("heroes_used"),
-        }
+    held = F.transform(
+        "heroes",
+        lambda h: F.struct(
+            h["bits"].alias("bits"), F.greatest(F.lit(1), F.floor(F.least(h["c"].cast("double"), F.col("_cap")))).alias("w")
+        ),
+    )
+    staged = (
+        table.withColumn("_cap", cap)
+        .withColumns({"_held": held, "_sets": F.col("heroes.functions"), "_bits": F.col("heroes.bits")})
+        .withColumns(
+            {
+                "_jobs": F.transform(wanted, lambda j: F.struct(j["job"].alias("job"), job_weight(j).alias("c"))),
+                "_all": F.aggregate(F.transform(jobs, job_weight), F.lit(0).cast("bigint"), lambda a, x: a + x),
+                "_fams": F.transform("relevant", holders),
+                "unique_jobs": F.size(F.filter(wanted, lambda j: F.size(having(j)) == 1)),
+                "overlap": mean_jaccard(F.col("_sets"), F.col("_bits")),
+                "reviewed_coverage": F.size("heroes") / F.col("heroes_used"),
+            }
+        )
     )
     family_coverage = F.size(F.filter("_fams", lambda c: c > 0)) / F.size("_fams")
     complementarity = clamp(
@@ -1029,76 +1074,77 @@ def observed_semantics(rows: DataFrame, knowledge: DataFrame) -> DataFrame:
     return heroes.join(demands, "account_id", "left").join(credible_roles(rows), "account_id", "left")
 
 
-def rationales(
-    rows: DataFrame,
-    knowledge: DataFrame,
-    intent: str = "adjacent_move",
-    family: Column | None = None,
-    targets: DataFrame | None = None,
-) -> DataFrame:
-    """Fit bands, anchors, additions and the rank of every unused hero for every account.
+def _band(source: str, key: Column) -> Column:
+    return F.coalesce(F.try_element_at(F.col(source), key), F.lit("unknown"))
 
-    The family that ``fill_gap`` looks for is one for all (``family``) or each account's own (``targets``:
-    account_id, target_family; other accounts are left out).
+
+def _pairs(rows: DataFrame, knowledge: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """Every account with every hero it does not use, compared by bits of jobs, demands and positions.
+
+    The bits are found once for each account and each hero.  A pair then costs a few operations on numbers; arrays
+    of names are built where a result shows them.  Jobs beyond the fixed list, or named twice, are in ``_rest``.
     """
+    places = sorted(set(ROLE_POSITIONS.values()))
     state = observed_semantics(rows, knowledge).withColumns(
         {
             "roles": F.coalesce("roles", F.array().cast("array<string>")),
             "bands": F.coalesce("bands", F.create_map().cast("map<string,string>")),
-            "target_family": family if family is not None else F.lit(None).cast("string"),
         }
     )
     if targets is not None:
-        state = state.drop("target_family").join(targets.select("account_id", "target_family"), "account_id")
-    pool = F.array_except("roster", "used")
+        state = state.join(targets.select("account_id", "target_family"), "account_id")
+    state = state.withColumns(
+        {
+            "_jobs": job_bits(F.col("jobs")),
+            "_met": _bits(DEMANDS, lambda d: _band("bands", F.lit(d)).isin("medium", "high")),
+            "_at": _bits(
+                places,
+                lambda p: F.arrays_overlap("roles", F.array(*[F.lit(r) for r, at in ROLE_POSITIONS.items() if at == p])),
+            ),
+        }
+    ).drop("bands")
+    known = F.array(*[F.lit(j) for j in JOBS])
+
+    def demand(*bands: str) -> Column:
+        return _bits(DEMANDS, lambda d: _band("demands", F.lit(d)).isin(*bands))
+
+    def place(credibility: str) -> Column:
+        return _bits(places, lambda p: _band("position_credibility", F.lit(p)) == credibility)
+
     records = knowledge.select(
         "hero_id",
         "functions",
-        "primary_functions",
-        "demands",
         "reviewed",
         "empirical_support",
         F.col("confidence").alias("_confidence"),
-        "position_credibility",
         F.col("roles").alias("hero_roles"),
+        F.size("primary_functions").alias("_primary"),
+        job_bits(F.col("functions")).alias("_functions"),
+        F.filter(
+            "functions",
+            lambda f, i: ~(F.array_contains(known, f) & (F.array_position("functions", f) == i + 1)),
+        ).alias("_rest"),
+        demand("medium", "high").alias("_asked"),
+        demand("high").alias("_hard"),
+        F.bit_count(demand("unknown")).alias("_unknown"),
+        place("primary").alias("_first"),
+        place("secondary").alias("_second"),
+        place("unsupported").alias("_never"),
     )
-    wide = with_roster(state, knowledge).withColumn("hero_id", F.explode(pool)).drop("roster").join(records, "hero_id")
-    known = F.array(*[F.lit(d) for d in DEMANDS])
-
-    def band(source: str, key: Column) -> Column:
-        return F.coalesce(F.try_element_at(F.col(source), key), F.lit("unknown"))
-
-    staged = wide.withColumns(
-        {
-            "anchors": F.filter("functions", lambda f: F.array_contains("jobs", f)),
-            "adds": F.filter("functions", lambda f: ~F.array_contains("jobs", f)),
-            "new_demands": F.filter(
-                known, lambda d: band("demands", d).isin("medium", "high") & ~band("bands", d).isin("medium", "high")
-            ),
-            "_unknown": F.size(F.filter(known, lambda d: band("demands", d) == "unknown")),
-            "_high_new": F.size(
-                F.filter(known, lambda d: (band("demands", d) == "high") & ~band("bands", d).isin("medium", "high"))
-            ),
-            "_high": F.size(F.filter(known, lambda d: band("demands", d) == "high")),
-            "_places": F.transform(
-                F.array_compact(
-                    F.transform(
-                        F.array_sort("roles"), lambda r: F.try_element_at(literal_map(ROLE_POSITIONS), r)
-                    )
-                ),
-                lambda p: band("position_credibility", p),
-            ),
-        }
+    wide = (
+        with_roster(state, knowledge)
+        .withColumn("hero_id", F.explode(F.array_except("roster", "used")))
+        .drop("roster", "used")
+        .join(records, "hero_id")
     )
-    target_adds = F.filter("adds", lambda f: family_of(f) == F.col("target_family"))
+    at = F.col("_at")
     position = (
-        F.when(F.size("_places") == 0, "unknown")
-        .when(F.array_contains("_places", "primary"), "primary")
-        .when(F.array_contains("_places", "secondary"), "secondary")
-        .when(F.forall("_places", lambda p: p == "unsupported"), "unsupported")
+        F.when(at == 0, "unknown")
+        .when(at.bitwiseAND(F.col("_first")) != 0, "primary")
+        .when(at.bitwiseAND(F.col("_second")) != 0, "secondary")
+        .when(at.bitwiseAND(F.bitwise_not("_never")) == 0, "unsupported")
         .otherwise("unknown")
     )
-    staged = staged.withColumn("position_fit", position).withColumn("target_adds", target_adds)
     role_fit = (
         F.when(F.col("position_fit") == "unsupported", "unsupported")
         .when(F.col("position_fit").isin("primary", "secondary"), "supported")
@@ -1106,80 +1152,149 @@ def rationales(
         .when(F.arrays_overlap("hero_roles", "roles"), "supported")
         .otherwise("unsupported")
     )
-    micro = F.array_contains("new_demands", "micro") & (band("demands", F.lit("micro")) == "high")
+    other = F.bitwise_not("_met")
+    high_new = F.col("_hard").bitwiseAND(other)
+    micro = high_new.bitwiseAND(F.lit(1 << DEMANDS.index("micro"))) != 0
     learning = (
-        F.when((F.col("_high_new") >= 3) | micro, "high")
-        .when((F.size("new_demands") >= 2) | (F.col("_unknown") >= 4), "moderate")
+        F.when((F.bit_count(high_new) >= 3) | micro, "high")
+        .when((F.col("_demands") >= 2) | (F.col("_unknown") >= 4), "moderate")
         .otherwise("low")
     )
-    staged = staged.withColumns({"role_fit": role_fit, "learning": learning})
+    plain = F.size("_rest") == 0
+    mine = F.filter("_rest", lambda f: F.array_contains("jobs", f))
+    more = F.filter("_rest", lambda f: ~F.array_contains("jobs", f))
+    shared = F.bit_count(F.col("_functions").bitwiseAND(F.col("_jobs")))
+    added = F.bit_count(F.col("_functions").bitwiseAND(F.bitwise_not("_jobs")))
+    return wide.withColumns(
+        {
+            "position_fit": position,
+            "_new": F.col("_asked").bitwiseAND(other),
+            "_demands": F.bit_count(F.col("_asked").bitwiseAND(other)),
+            "_high": F.bit_count("_hard"),
+            "_anchors": F.when(plain, shared).otherwise(shared + F.size(mine)),
+            "_adds": F.when(plain, added).otherwise(added + F.size(more)),
+        }
+    ).withColumns({"role_fit": role_fit, "learning_distance": learning})
+
+
+def _rated(intent: str, family: Column | None) -> dict[str, Column]:
+    """What a pair of :func:`_pairs` is worth for an intent; ``family`` is the one that ``fill_gap`` looks for."""
+    anchors = F.filter("functions", lambda f: F.array_contains("jobs", f))
+    adds = F.filter("functions", lambda f: ~F.array_contains("jobs", f))
+    target = F.lit(0)
+    if family is not None:
+        wanted = lambda f: family_of(f) == family
+        bits = F.coalesce(
+            *[F.when(family == name, F.lit(sum(1 << JOBS.index(j) for j in jobs))) for name, jobs in FAMILIES.items()],
+            F.lit(0),
+        ).cast("bigint")
+        target = F.bit_count(F.col("_functions").bitwiseAND(F.bitwise_not("_jobs")).bitwiseAND(bits))
+        more = F.size(F.filter("_rest", lambda f: ~F.array_contains("jobs", f) & wanted(f)))
+        target = F.when(F.size("_rest") == 0, target).otherwise(target + more)
+        adds = F.concat(F.filter(adds, wanted), adds)
     lowered = F.when(F.col("_confidence") == "high", "medium").otherwise("low")
     confidence = F.when(~F.col("reviewed") | (F.col("_unknown") >= 4), "low").when(
         (F.col("role_fit") == "conditional") | (F.col("empirical_support") == "unknown"), lowered
     )
     if intent in ("change_angle", "specialist"):
-        confidence = confidence.when(F.size("new_demands") == 0, lowered)
-    staged = staged.withColumn("confidence", confidence.otherwise(F.col("_confidence")))
-    near = F.col("learning") != "high"
+        confidence = confidence.when(F.col("_demands") == 0, lowered)
+    confidence = confidence.otherwise(F.col("_confidence"))
+    near = F.col("learning_distance") != "high"
     eligible = (
         (F.size("functions") > 0)
-        & (F.size("anchors") > 0)
+        & (F.col("_anchors") > 0)
         & (F.col("role_fit") != "unsupported")
-        & (F.col("confidence") != "low")
+        & (confidence != "low")
         & (F.col("_unknown") < len(DEMANDS))
     )
     eligible = eligible & {
         "double_down": near,
-        "adjacent_move": (F.size("adds") > 0) & near,
-        "fill_gap": F.col("target_family").isNotNull() & (F.size("target_adds") > 0) & near,
-        "change_angle": F.size("new_demands") > 0,
-        "specialist": (F.size("new_demands") > 0) & (~near | (F.col("_high") >= 3)),
+        "adjacent_move": (F.col("_adds") > 0) & near,
+        "fill_gap": (F.lit(False) if family is None else family.isNotNull()) & (target > 0) & near,
+        "change_angle": F.col("_demands") > 0,
+        "specialist": (F.col("_demands") > 0) & (~near | (F.col("_high") >= 3)),
     }[intent]
 
-    def rank(column: str, *order: str) -> Column:
-        return F.array_position(F.array(*[F.lit(o) for o in order]), F.col(column)).cast("bigint")
+    def rank(column: Column, *order: str) -> Column:
+        return F.array_position(F.array(*[F.lit(o) for o in order]), column).cast("bigint")
 
-    anchors, adds = F.least(F.size("anchors"), F.lit(4)), F.least(F.size("adds"), F.lit(4))
-    demands = F.least(F.size("new_demands"), F.lit(4))
-    distance = rank("learning", "low", "moderate", "high")
+    four = lambda count: F.least(count, F.lit(4))
+    distance = rank(F.col("learning_distance"), "low", "moderate", "high")
     lead = {
-        "double_down": (distance, adds, -anchors),
-        "adjacent_move": (-anchors, -adds, distance),
-        "fill_gap": (-F.least(F.size("target_adds"), F.lit(4)), -anchors, distance),
-        "change_angle": (-demands, adds, distance),
-        "specialist": (-F.col("_high"), -demands, distance),
+        "double_down": (distance, four(F.col("_adds")), -four(F.col("_anchors"))),
+        "adjacent_move": (-four(F.col("_anchors")), -four(F.col("_adds")), distance),
+        "fill_gap": (-four(target), -four(F.col("_anchors")), distance),
+        "change_angle": (-four(F.col("_demands")), four(F.col("_adds")), distance),
+        "specialist": (-F.col("_high"), -four(F.col("_demands")), distance),
     }[intent]
     order = (
         *lead,
-        rank("role_fit", "supported", "conditional", "unsupported"),
-        rank("position_fit", "primary", "secondary", "unsupported", "unknown"),
-        rank("empirical_support", "high", "medium", "low", "unknown"),
-        rank("confidence", "high", "medium", "low"),
-        -F.size("primary_functions"),
+        rank(F.col("role_fit"), "supported", "conditional", "unsupported"),
+        rank(F.col("position_fit"), "primary", "secondary", "unsupported", "unknown"),
+        rank(F.col("empirical_support"), "high", "medium", "low", "unknown"),
+        rank(confidence, "high", "medium", "low"),
+        -F.col("_primary"),
         F.col("hero_id"),
     )
-    ordered_adds = F.array_distinct(F.concat("target_adds", "adds"))
-    return staged.select(
+    new = F.filter(
+        F.array(*[F.when(F.col("_new").bitwiseAND(F.lit(1 << i)) != 0, F.lit(d)) for i, d in enumerate(DEMANDS)]),
+        lambda d: d.isNotNull(),
+    )
+    return {
+        "intent": F.lit(intent),
+        "eligible": eligible,
+        "anchors": F.slice(anchors, 1, 4),
+        "adds": F.slice(F.array_distinct(adds), 1, 4),
+        "new_demands": F.slice(new, 1, 4),
+        "confidence": confidence,
+        "order": F.struct(*[c.cast("bigint").alias(f"k{i}") for i, c in enumerate(order)]),
+    }
+
+
+def rationales(
+    rows: DataFrame,
+    knowledge: DataFrame,
+    intent: str = "adjacent_move",
+    family: Column | None = None,
+    targets: DataFrame | None = None,
+) -> DataFrame:
+    """Fit bands, anchors, additions and the rank of every unused hero for every account.
+
+    The family that ``fill_gap`` looks for is one for all (``family``) or each account's own (``targets``:
+    account_id, target_family; other accounts are left out).
+    """
+    rated = _rated(intent, F.col("target_family") if targets is not None else family)
+    names = ("intent", "eligible", "anchors", "adds", "new_demands")
+    return _pairs(rows, knowledge, targets).select(
         "account_id",
         "hero_id",
-        F.lit(intent).alias("intent"),
-        eligible.alias("eligible"),
-        F.slice("anchors", 1, 4).alias("anchors"),
-        F.slice(ordered_adds, 1, 4).alias("adds"),
-        F.slice("new_demands", 1, 4).alias("new_demands"),
-        F.col("learning").alias("learning_distance"),
+        *[rated[n].alias(n) for n in names],
+        "learning_distance",
         "role_fit",
         "position_fit",
         "empirical_support",
-        "confidence",
-        F.struct(*[c.cast("bigint").alias(f"k{i}") for i, c in enumerate(order)]).alias("order"),
+        *[rated[n].alias(n) for n in ("confidence", "order")],
+    )
+
+
+def recommend_each(rows: DataFrame, knowledge: DataFrame, intents: Mapping[str, Column | None]) -> DataFrame:
+    """The best eligible heroes of several intents (and the family of each), from one comparison of all pairs."""
+    fits = []
+    for intent, family in intents.items():
+        rated = _rated(intent, family)
+        fits.append(F.when(rated["eligible"], F.struct(rated["intent"].alias("intent"), rated["order"].alias("order"),
+                                                       rated["adds"].alias("adds"))))
+    candidates = _pairs(rows, knowledge).select(
+        "account_id", "hero_id", F.explode(F.array_compact(F.array(*fits))).alias("f")
     )
+    candidates = candidates.select("account_id", "hero_id", "f.*", F.lit(True).alias("eligible"))
+    return recommend(candidates, keys=("account_id", "intent"))
 
 
-def recommend(candidates: DataFrame, limit: int = 3) -> DataFrame:
+def recommend(candidates: DataFrame, limit: int = 3, keys: Sequence[str] = ("account_id",)) -> DataFrame:
     """The best eligible heroes; one whose additions are all covered already is passed over."""
-    pool = candidates.where(F.col("eligible")).groupBy("account_id").agg(
-        F.array_sort(F.collect_list(F.struct("order", "hero_id", "adds"))).alias("_pool")  # at most the roster
+    pool = candidates.where(F.col("eligible")).groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("order", "hero_id", "adds"))).alias("_pool")  # at most the roster
     )
     start = F.struct(
         F.array().cast("array<bigint>").alias("heroes"), F.array().cast("array<string>").alias("adds")
@@ -1197,7 +1312,7 @@ def recommend(candidates: DataFrame, limit: int = 3) -> DataFrame:
         )
 
     picked = F.aggregate("_pool", start, step)["heroes"]
-    return pool.select("account_id", F.posexplode(picked).alias("rank", "hero_id")).withColumn("rank", F.col("rank") + 1)
+    return pool.select(*keys, F.posexplode(picked).alias("rank", "hero_id")).withColumn("rank", F.col("rank") + 1)
 
 
 def recommend_by_traits(rows: DataFrame, picks: DataFrame, traits: DataFrame, limit: int = 3) -> DataFrame:
