@@ -299,7 +299,8 @@ def nrm_mean_coverage(spark, folder):
     "impact_score early_death",
 )
 def agg_event_features(spark, folder):
-    docs = documents(spark, folder)
+    # Read for the participants and for the events; each would else join, number and gather the players again.
+    docs = cut(documents(spark, folder))
     return M.match_features(M.participants(docs), M.events(docs)).select(
         "match_id", "player_no", "impact_score", "kill_events", "death_events", "early_death"
     )

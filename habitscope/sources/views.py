@@ -114,20 +114,31 @@ def raw_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def detail_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """lineitem, orders and part in the shape of the participants of matches."""
+    """lineitem, orders and part in the shape of the participants of matches.
+
+    Orders are met last and by ``match_id``: the passes by match that follow need no shuffle of the wide rows.
+    """
     lineitem = table(spark, folder, "lineitem").select(
-        "l_orderkey", "l_suppkey", "l_partkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_discount"
+        (F.col("l_orderkey").cast("bigint") + 1).alias("match_id"),
+        "l_suppkey",
+        "l_partkey",
+        "l_linenumber",
+        "l_extendedprice",
+        "l_quantity",
+        "l_discount",
+    )
+    orders = table(spark, folder, "orders").select(
+        (F.col("o_orderkey").cast("bigint") + 1).alias("match_id"), "o_orderstatus", "o_orderdate"
     )
-    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate")
     part = table(spark, folder, "part").select("p_partkey", "p_size", "p_brand")
     price, quantity = F.col("l_extendedprice").cast("double"), F.col("l_quantity").cast("double")
-    order, line = F.col("l_orderkey").cast("bigint"), F.col("l_linenumber").cast("bigint")
+    order, line = F.col("match_id") - 1, F.col("l_linenumber").cast("bigint")
     part_key, supplier = F.col("l_partkey").cast("bigint"), F.col("l_suppkey").cast("bigint")
     return (
-        lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(part, F.col("l_partkey") == F.col("p_partkey"))
+        lineitem.join(part, F.col("l_partkey") == F.col("p_partkey"))
+        .join(orders, "match_id")
         .select(
-            (order + 1).alias("match_id"),
+            "match_id",
             (supplier + 1).alias("account_id"),
             line.alias("line_no"),
             (part_key % 20 + 1).alias("hero_id"),
